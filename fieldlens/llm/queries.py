@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, packing, sharding
+from . import bpe, fingerprints, near_embeddings, packing, sharding
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.link_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -25,6 +29,6 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_virtual_slots, op9_best_fit_packing, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op6_virtual_slots, op9_best_fit_packing, op10_bottom_k)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, near_embeddings, packing, sharding
+from . import bpe, fingerprints, near_embeddings, packing, quality_gam, sharding
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings.link_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op4_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.scored(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -29,6 +34,6 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op6_virtual_slots, op9_best_fit_packing, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op4_additive_quality, op6_virtual_slots, op9_best_fit_packing, op10_bottom_k)}
 
 ORACLE_SQL: dict[str, str] = {}

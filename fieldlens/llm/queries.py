@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, near_embeddings, packing, quality_gam, sharding
-from .common import table
+from . import bpe, fingerprints, near_embeddings, packing, quality_gam, sharding, warc
+from .common import shared_path, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op8_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, keep_payload=False)
+    return found.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenise(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN))
 
@@ -34,6 +42,6 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op4_additive_quality, op6_virtual_slots, op9_best_fit_packing, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op4_additive_quality, op6_virtual_slots, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, near_embeddings, packing, quality_gam, sharding, warc
+from . import bpe, fingerprints, line_dedup, near_embeddings, packing, quality_gam, sharding, warc
 from .common import shared_path, table
 
 
@@ -27,6 +27,11 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.with_kept_text(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("n_lines").cast("bigint"), F.col("n_gone").cast("bigint"), "n_near", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -42,6 +47,6 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op4_additive_quality, op6_virtual_slots, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op4_additive_quality, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
 
 ORACLE_SQL: dict[str, str] = {}

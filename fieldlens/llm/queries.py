@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, near_embeddings, packing, quality_gam, sharding, warc
+from . import bpe, fingerprints, line_dedup, near_embeddings, ngram_join, packing, quality_gam, sharding, warc
 from .common import shared_path, table
 
 
@@ -18,6 +18,10 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings.link_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op3_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_gam.scored(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
@@ -47,6 +51,6 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op4_additive_quality, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op3_prefix_tree, op4_additive_quality, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, near_embeddings, ngram_join, packing, quality_gam, sharding, warc
+from . import attention_lm, bpe, fingerprints, line_dedup, near_embeddings, ngram_join, packing, quality_gam, sharding, warc
 from .common import shared_path, table
 
 
@@ -27,6 +27,10 @@ def op4_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.scored(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -51,6 +55,6 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op3_prefix_tree, op4_additive_quality, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op3_prefix_tree, op4_additive_quality, op5_attention_lm, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -60,7 +60,7 @@ def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def sequence_info(spark: SparkSession, path: str) -> DataFrame:
     """SRC10: key=value lines of one ini file for each sequence."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     m = F.str_to_map(F.regexp_replace("value", r"(?m)^\[.*\]\s*|\r", ""), F.lit("\n"), F.lit("="))
     rows = text.select(m.alias("m"))
     return rows.select(F.trim(F.col("m")["name"]).alias("seq"), *[F.expr(f"try_cast(m['{k}'] as {t})").alias(n) for k, n, t in (("seqLength", "n_frames", "int"), ("imWidth", "width", "int"), ("imHeight", "height", "int"), ("frameRate", "fps", "double"))])
@@ -75,7 +75,7 @@ def annotation_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def retimed_ball(spark: SparkSession, path: str, ratio: float) -> DataFrame:
     """SRC11: ball places keyed by source frame, on the frames of the tracks; the last of several wins."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("src", "p")).select(F.col("src").cast("bigint").alias("src"), "p")
     rows = rows.withColumn("frame", F.bround(F.col("src") / ratio).cast("bigint"))
     return rows.groupBy("frame").agg(F.max_by("p", "src").alias("p")).select("frame", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].alias("conf"))

@@ -57,4 +57,38 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op3_prefix_tree, op4_additive_quality, op5_attention_lm, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select x as node, x as least from (select distinct x from both_ways) union select b.y, r.least from reach r join both_ways b on b.x = r.node where r.least < b.y),
+best as (select node, min(least) as least from reach group by node)
+"""
+
+#: SQL states what these queries return; hashes, tokenizers, the learned models and sketches of the others have no SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op2_projection_forest": f"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+good as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as size from v where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_dot_product(e, e) > 0),
+links as (select a.vec_id as x, b.vec_id as y from good a join good b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+{_REACH}, n as (select x, count(*) as n from both_ways group by x)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(best.least, vec_id)) as component_id, vec_id = least(vec_id, coalesce(best.least, vec_id)) as kept
+from embeddings left join n on n.x = vec_id left join best on best.node = vec_id
+""",
+    "op3_prefix_tree": rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sets as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i + 4], ' ')))) when len(ws) > 0 then [md5(array_to_string(ws, ' '))] else [] end as s from w),
+sizes as (select doc_id, len(s) as n from sets),
+sh as (select doc_id, unnest(s) as h from sets),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.h = b.h and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+{_REACH}
+select doc_id, n as n_shingles, least(doc_id, coalesce(best.least, doc_id)) as component_id from sizes left join best on best.node = doc_id
+""",
+    "op8_warc_ranges": """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first, unhex(h)::bit::varchar as bits from p)
+select page_id, strlen(html) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, i * 5 + 1, 1)::int + 8 * substr(bits, i * 5 + 2, 1)::int + 4 * substr(bits, i * 5 + 3, 1)::int + 2 * substr(bits, i * 5 + 4, 1)::int + substr(bits, i * 5 + 5, 1)::int, 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from f
+""",
+}

@@ -3,8 +3,8 @@
 Lines of at least ``MIN_CHARS`` characters are duplicates when ``EDITS`` edits or fewer turn one into the other.  A line of a given length
 is cut into ``EDITS + 1`` segments; two such lines share one of them, at places that differ little.  Each line is indexed by
 its segments and probes the segments of lines as long or a little shorter by those of its substrings that can match (lengths,
-segment numbers and shifts are bounded).  Both meet by the hash of segment, number and length; a parity word of their
-words, which an edit changes in three bits at most, thins out pairs within the join, and what is left is verified by a
+segment numbers and shifts are bounded).  Both meet by the hash of segment, number and length; a word of parities of
+their words and letters, which an edit changes in few bits, thins out pairs within the join, and what is left is verified, without common beginnings and ends, by a
 bit-parallel edit distance in a band of ``2 * EDITS + 1`` diagonals.  Of each group of lines that links connect, the first by document and place
 stays and the others go.
 
@@ -22,6 +22,8 @@ from .components import connected_components
 
 MIN_CHARS = 16
 EDITS = 2
+#: Tables of counted rows up to here are broadcast (16 MB of ids).
+BROADCAST_ROWS = 1_000_000
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -34,10 +36,29 @@ def document_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("of_text")]
 
 
+#: Letters whose counts' parities a line's signature has, after bits for its words.
+LETTERS = "etaonisrhldubcmpgwvy"
+WORD_BITS = 64 - len(LETTERS)
+
+
 def parity(line: Column) -> Column:
-    """A bit for each word, added without carry: words in common cancel out when two of these are compared."""
-    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+    """Bits that cancel out for what two lines have in common: one for each word, by hash, and one for each of LETTERS, by count.
+
+    An edit takes away or adds three words at most (it may join or part two) and changes the counts of two letters at most.
+    """
+    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(WORD_BITS)).cast("int")))
+    out = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+    for k, letter in enumerate(LETTERS):
+        odd = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(1)).cast("bigint")
+        out = out.bitwiseXOR(F.shiftleft(odd, WORD_BITS + k))
+    return out
+
+
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two parities allow so few edits."""
+    apart = a.bitwiseXOR(b)
+    words = F.lit((1 << WORD_BITS) - 1).cast("bigint")
+    return (F.bit_count(apart.bitwiseAND(words)) <= 3 * edits) & (F.bit_count(F.shiftrightunsigned(apart, WORD_BITS)) <= 2 * edits)
 
 
 def segment(n: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -60,7 +81,7 @@ def probe_keys(line: Column, n: Column, edits: int) -> Column:
             start, m = segment(n - less, i, k)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 keys.append(F.xxhash64(F.substring(line, start + shift, m), F.lit(i), n - less))
-    return F.array_distinct(F.array(*keys))
+    return F.array(*keys)
 
 
 def bind(value: Column, f) -> Column:
@@ -113,25 +134,50 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         walked = F.aggregate(F.sequence(F.lit(1), F.size(t)), start, step, lambda x: x["score"])
         return F.when(more > edits, more.cast("bigint")).when(F.size(t) == 0, more.cast("bigint")).otherwise(walked)
 
-    longer = F.length(a) >= F.length(b)
-    chars = lambda x: F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(x, ""))
-    return bind(F.struct(chars(F.when(longer, a).otherwise(b)).alias("p"), chars(F.when(longer, b).otherwise(a)).alias("t")), of)
+    def core(pair: Column) -> Column:
+        x, y = pair["a"], pair["b"]
+        longer = F.length(x) >= F.length(y)
+        chars = lambda v: F.when(F.length(v) == 0, F.array().cast("array<string>")).otherwise(F.split(v, ""))
+        return bind(F.struct(chars(F.when(longer, x).otherwise(y)).alias("p"), chars(F.when(longer, y).otherwise(x)).alias("t")), of)
+
+    return bind(bind(F.struct(a.alias("a"), b.alias("b")), lambda s: trimmed(s, False)), lambda s: bind(trimmed(s, True), core))
+
+
+def trimmed(pair: Column, tails: bool) -> Column:
+    """Two strings without the beginning, or end, that they share, which binary search over its length finds."""
+
+    def of(n: Column) -> Column:
+        keep = lambda v: F.substring(v, F.lit(1) if tails else n + 1, F.length(v) - n)
+        return F.struct(keep(pair["a"]).alias("a"), keep(pair["b"]).alias("b"))
+
+    shorter = F.least(F.length(pair["a"]), F.length(pair["b"]))
+    part = (lambda v, n: F.right(v, n)) if tails else (lambda v, n: F.substring(v, F.lit(1), n))
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    longest = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= shorter) & (part(pair["a"], n + s) == part(pair["b"], n + s)), n + s).otherwise(n))
+    return bind(longest, of)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, of a few numbers each, are at most BROADCAST_ROWS; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc, of_text, place, near`` of each line that goes; ``near``: not equal to one that comes before it."""
     lines = lines_of(docs, min_chars)
-    hashed = lines.select("doc", "of_text", "place", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2"))
+    ids = [F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2")]
+    hashed = lines.select("doc", "of_text", "place", *ids)
     order = F.struct("doc", "place", "of_text")
     equal = checkpoint(hashed.groupBy("id", "id2").agg(F.min(order).alias("first"), F.count("*").alias("n")))
     n = F.length("line")
-    keyed = lines.select(F.xxhash64("line").alias("id"), "line", n.alias("n"), parity(F.col("line")).alias("words"))
-    index = keyed.select("id", "words", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key")).distinct()
-    probes = keyed.select(F.col("id").alias("by"), F.col("words").alias("by_words"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("by_key")).distinct()
-    meet = (F.col("key") == F.col("by_key")) & (F.col("id") != F.col("by")) & (F.bit_count(F.col("words").bitwiseXOR(F.col("by_words"))) <= 3 * edits)
+    keyed = lines.select(*ids, F.struct(parity(F.col("line")).alias("words"), index_keys(F.col("line"), n, edits).alias("index"), probe_keys(F.col("line"), n, edits).alias("probe")).alias("k"))
+    keyed = keyed.groupBy("id", "id2").agg(F.first("k").alias("k"))  # equal lines meet here, those of a task before they move
+    index = keyed.select("id", "k.words", F.explode("k.index").alias("key"))
+    probes = keyed.select(F.col("id").alias("by"), F.col("k.words").alias("by_words"), F.explode("k.probe").alias("by_key"))
+    meet = (F.col("key") == F.col("by_key")) & (F.col("id") != F.col("by")) & alike(F.col("words"), F.col("by_words"), edits)
     pairs = checkpoint(index.join(probes, meet).select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = keyed.select("id", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(small(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     texts = checkpoint(texts)
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     close = banded_distance(F.col("x"), F.col("y"), edits)

@@ -11,7 +11,7 @@ from .common import checkpoint
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -23,18 +23,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id``, ``component``: the least id that each id of the edges ``(a, b)`` reaches.
 
-    Every round hangs neighbours on the least node near them; rounds end when the edges stay as they are, stars by then.  Rounds
-    are written to the checkpoint folder, and only two numbers a round come to the driver.  Loops and repeated edges are harmless;
-    without edges the result is empty.
+    Every round hangs neighbours on the least node near them; rounds end when all edges are stars: no centre hangs on another node, and
+    none on two.  Rounds are written to the checkpoint folder, and only two numbers a round come to the driver.  Loops and repeated
+    edges are harmless; without edges the result is empty.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).where("a <> b").distinct())
-    state = None
-    while True:
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == state or not row[0]:
-            break
-        state = tuple(row)
+    while not edges.isEmpty():
         edges = checkpoint(_small_star(_large_star(edges)))
+        ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        if ends.groupBy("v").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or hangs > 0 and holds > 0").isEmpty():
+            break
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 

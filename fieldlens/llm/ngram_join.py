@@ -9,10 +9,11 @@ quarters of their union.  The join goes through these steps, all exact:
    counts come back, so this costs eight bytes for each of half the shingles.
 3. For the sets that are left, the shingles that occur in several of them are ordered by document frequency, the rarest first.
    Shingles of one set alone come before these, so its prefix of ``n - ceil(0.75 n) + 1`` reaches few or no shared ones.
-4. Sets with a common prefix shingle are compared: those of a shingle's group with its pivot, for two choices of pivots, and then all
-   that still lie in different components.  (Within a component a further link changes nothing.)  The sets to compare with one
-   set are stored in a prefix tree in the global order, and the set walks it once: overlaps of common beginnings are shared, and
-   a subtree goes as soon as what can still be gained on either side isn't enough.
+4. Sets with a common prefix shingle are compared.  Each shingle has a pivot among its sets, and each set joins the group of the
+   pivot it meets most often; the sets of a group are all compared, in pairs of blocks.  That is done for ROUNDS choices of pivots, and
+   then for those pairs that were in no group together and still lie in different components.  (Within a component a further link changes nothing.)  Sets to compare are stored in a
+   prefix tree in the global order, which the others walk: overlaps of common beginnings are shared, and a subtree goes as soon as
+   what can still be gained on either side isn't enough.
 5. Components of the links that were found.
 
 Null and empty texts have the empty set and link with nothing.  Texts with one to four words have one shingle.  Documents with a null
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, chunks
-from .components import connected_components
+from .components import Forest, connected_components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-GROUP = 256
+GROUP = 512
+#: Times that sets are grouped by pivots, each time by another choice of these.
+ROUNDS = 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,8 +247,11 @@ class Trie:
                 below.add(run, m, other)
             node, depth = below, depth + 1
 
-    def matches(self, tokens: list[int], n: int) -> list[int]:
-        """Names of the sets that link with a set of ``n`` shingles, ``tokens`` of them shared with others."""
+    def matches(self, tokens: list[int], n: int, joined=lambda name: False) -> list[int]:
+        """Names of the sets that link with a set of ``n`` shingles, ``tokens`` of them shared with others.
+
+        Sets that are ``joined`` to it already, by other links, are passed over.
+        """
         place = {t: i for i, t in enumerate(tokens)}
         have, total, found = place.keys(), len(tokens), []
         stack = [(self, 0, 0)]  # overlap so far, how far in ``tokens``
@@ -254,7 +260,7 @@ class Trie:
             if DENOMINATOR * (overlap + min(total - at, node.deepest)) < NUMERATOR * (n + node.least - overlap - min(total - at, node.deepest)):
                 continue
             for m, name in node.ends:
-                if DENOMINATOR * overlap >= NUMERATOR * (n + m - overlap):
+                if DENOMINATOR * overlap >= NUMERATOR * (n + m - overlap) and not joined(name):
                     found.append(name)
             for t, below in node.children.items():
                 i = place.get(t)
@@ -262,7 +268,7 @@ class Trie:
                 if isinstance(below, tuple):
                     run, m, name = below
                     most = o + min(total - a, len(run))
-                    if DENOMINATOR * most >= NUMERATOR * (n + m - most):
+                    if DENOMINATOR * most >= NUMERATOR * (n + m - most) and not joined(name):
                         o += len(have & set(run))
                         if DENOMINATOR * o >= NUMERATOR * (n + m - o):
                             found.append(name)
@@ -293,6 +299,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpoint(own.unionByName(others).groupBy("a", "salt").applyInPandas(_walk, "a bigint, b bigint"))
 
 
+def _among(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the sets of a block, or those of two blocks with each other."""
+    pdf = pdf.sort_values(["n", "rep"]).reset_index(drop=True)
+    whole = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    tokens = [np.frombuffer(x, np.uint64).tolist() for x in pdf["shared"]]
+    sizes, reps, left = pdf["n"].tolist(), pdf["rep"].tolist(), pdf["left"].tolist()
+    forest, trie, links = Forest(len(pdf)), Trie(), []
+    if not whole:
+        for k in range(len(pdf)):
+            if left[k]:
+                trie.add(tokens[k], sizes[k], k)
+    for k in range(len(pdf)):
+        if not whole and left[k]:
+            continue
+        for other in trie.matches(tokens[k], sizes[k], lambda x: forest.root(x) == forest.root(k)):
+            if forest.root(other) != forest.root(k):
+                forest.join(other, k)
+                links.append((reps[k], reps[other]))
+        if whole:
+            trie.add(tokens[k], sizes[k], k)
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _within(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among all sets of each group (rep, pivot), in pairs of blocks of about GROUP sets."""
+    sized = groups.join(groups.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1"), "pivot")
+    block = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), (block <= k).alias("left")))
+    dealt = sized.select("pivot", "rep", F.explode(each).alias("x")).select("pivot", "rep", "x.*").join(sets.select("rep", "n", "shared"), "rep")
+    return checkpoint(dealt.groupBy("pivot", "i", "j").applyInPandas(_among, "a bigint, b bigint"))
+
+
 def _fits(n: str, m: str):
     return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
 
@@ -302,26 +340,29 @@ def link_sets(sets: DataFrame) -> DataFrame:
     words = checkpoint(sets.select("rep", "n", F.explode("prefix").alias("w")))
     shared = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1").select("w")
     words = checkpoint(words.join(shared, "w"))
-    links, comps = None, None
-
-    def placed() -> DataFrame:
-        return words.withColumn("comp", F.col("rep")) if comps is None else words.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-
-    for turn in range(3):
-        now = placed()
-        mixed = now.groupBy("w").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        if turn < 2:
-            pairs = now.join(mixed.select("w", "p"), "w").where((F.col("comp") != F.col("p.comp")) & _fits("n", "p.n"))
-            pairs = pairs.groupBy(F.col("rep").alias("b"), F.col("p.rep").alias("a")).agg(F.count("*").alias("common"))
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a"))
-        else:
-            rest = checkpoint(now.join(mixed.select("w"), "w"))
-            x, y = rest.select("w", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), rest.select("w", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb")).select("a", "b").distinct()
-        new = _verified(checkpoint(pairs.select("a", "b")), sets)
-        links = new if links is None else links.unionByName(new)
-        comps = connected_components(links)
-    return comps
+    grouped, links = words, None
+    for turn in range(ROUNDS):
+        pivots = grouped.groupBy("w").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("p")).select("w", F.col("p.rep").alias("pivot"))
+        common = grouped.join(pivots, "w").groupBy("rep", "pivot").agg(F.count("*").alias("common"))
+        groups = checkpoint(common.groupBy("rep").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot")))
+        found = _within(groups, sets)
+        links = found if links is None else links.unionByName(found)
+        # on with the shingles whose sets aren't all in one group
+        grouped = grouped.join(groups.withColumnRenamed("pivot", f"p{turn}"), "rep")
+        apart = grouped.groupBy("w").agg(F.min(f"p{turn}").alias("lo"), F.max(f"p{turn}").alias("hi")).where("lo <> hi").select("w")
+        grouped = checkpoint(grouped.join(apart, "w"))
+    comps = connected_components(links)
+    placed = grouped.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    mixed = placed.groupBy("w").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("w")
+    rest = checkpoint(placed.join(mixed, "w"))
+    names = ["n", "c", *(f"p{t}" for t in range(ROUNDS))]
+    x, y = (rest.select("w", F.col("rep").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "ab")
+    # sets of one group have been compared, those of one component need no further link
+    new = (F.col("a") < F.col("b")) & _fits("n_a", "n_b")
+    for c in names[1:]:
+        new &= F.col(f"{c}_a") != F.col(f"{c}_b")
+    more = _verified(checkpoint(x.join(y, "w").where(new).select("a", "b").distinct()), sets)
+    return connected_components(links.unionByName(more))
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,8 +31,8 @@ LEAF = 256
 SAMPLE = 2000
 MARGIN = 0.03
 DEPTH = 4
-#: A group of which a part holds more than this share isn't split any more.
-STUCK = 0.7
+#: A part that holds more than this share of its group isn't split any more: it is dense, and would only be copied from split to split.
+STUCK = 0.3
 
 
 def directions(tree: int, label: int, path: str, dim: int) -> np.ndarray:
@@ -42,15 +42,16 @@ def directions(tree: int, label: int, path: str, dim: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def units(vectors) -> np.ndarray:
-    x = np.array([np.frombuffer(v, np.float64) for v in vectors])
+def units(vectors, dim: int) -> np.ndarray:
+    """Unit vectors in double precision; single-precision input is kept as such, which loses nothing."""
+    x = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in vectors]).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Medians of the splits below one node, in heap order."""
     tree, label, path, dim = (pdf[c].iloc[0] for c in ("tree", "label", "path", "dim"))
-    x = units(pdf["vec"])
+    x = units(pdf["vec"], int(dim))
     proj = x @ directions(int(tree), int(label), path, int(dim)).T
     cuts, held = np.zeros(2**DEPTH - 1), {0: np.arange(len(x))}
     for node in range(2**DEPTH - 1):
@@ -73,14 +74,14 @@ def route(x: np.ndarray, cuts: np.ndarray, dirs: np.ndarray, margin: float) -> t
 
 
 def _routes(margin: float):
-    kind = pa.schema([("tree", pa.int32()), ("label", pa.int64()), ("path", pa.string()), ("dim", pa.int32()), ("id", pa.int64()), ("copies", pa.int64()), ("vec", pa.binary()), ("was", pa.int64())])
+    kind = pa.schema([("tree", pa.int32()), ("label", pa.int64()), ("path", pa.string()), ("dim", pa.int32()), ("id", pa.int64()), ("was", pa.int64())])
 
     def run(batches):
         for b in batches:
             t = b.to_pandas()
             for (tree, label, path, dim), g in t.groupby(["tree", "label", "path", "dim"], sort=False):
-                rows, leaf = route(units(g["vec"]), np.asarray(g["cuts"].iloc[0]), directions(tree, label, path, dim), margin)
-                out = g.iloc[rows].drop(columns=["cuts", "path", "n"])
+                rows, leaf = route(units(g["vec"], dim), np.asarray(g["cuts"].iloc[0]), directions(tree, label, path, dim), margin)
+                out = g[["tree", "label", "dim", "id"]].iloc[rows]
                 out["path"] = [f"{path}{x:x}" for x in leaf]
                 out["was"] = int(g["n"].iloc[0])
                 yield pa.RecordBatch.from_pandas(out[kind.names], kind, preserve_index=False)
@@ -104,7 +105,8 @@ def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         holds[i, ls] = 1
     ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
     ia, ib = a.index.to_numpy(), b.index.to_numpy()
-    xa, xb = units(a["vec"]), units(b["vec"])
+    dim = int(pdf["dim"].iloc[0])
+    xa, xb = units(a["vec"], dim), units(b["vec"], dim)
     links, forest = np.zeros(len(pdf), np.int64), Forest(len(pdf))
     for lo in range(0, len(ia), 1024):
         near = xa[lo : lo + 1024] @ xb.T >= threshold
@@ -128,18 +130,20 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0)).alias("v"), F.col(label_col).cast("bigint").alias("label"))
     rows = rows.withColumn("n", F.size("v"))
     usable = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
-    same = checkpoint(usable.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    same = usable.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    same = checkpoint(same.withColumn("id", F.monotonically_increasing_id()))
+    kind = np.float32 if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
 
     def packed(batches):
         for b in batches:
-            v = [np.asarray(x, np.float64).tobytes() for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x) // 8 for x in v], pa.int32()), pa.array(v, pa.binary())], ["id", "copies", "label", "dim", "vec"])
+            v = [np.asarray(x, kind).tobytes() for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x) // kind().itemsize for x in v], pa.int32()), pa.array(v, pa.binary())], ["id", "copies", "label", "dim", "vec"])
 
-    points = same.select("id", "copies", "label", "v").mapInArrow(packed, "id bigint, copies bigint, label bigint, dim int, vec binary")
-    node = ["tree", "label", "path", "dim"]
-    going = points.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "label", F.lit("").alias("path"), "dim", "id", "copies", "vec", F.lit(0).cast("bigint").alias("was"))
+    points = checkpoint(same.select("id", "copies", "label", "v").mapInArrow(packed, "id bigint, copies bigint, label bigint, dim int, vec binary"))
+    node, vecs = ["tree", "label", "path", "dim"], points.select("id", "vec")
+    going = points.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "label", F.lit("").alias("path"), "dim", "id", F.lit(0).cast("bigint").alias("was"))
     done = None
-    while True:
+    while True:  # rows go without their vectors, which are joined where they are needed
         going = checkpoint(going)
         sized = going.join(going.groupBy(*node).agg(F.count("*").alias("n")), node)
         stays = (F.col("n") <= LEAF) | ((F.col("was") > 0) & (F.col("n") > STUCK * F.col("was")))
@@ -149,19 +153,20 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         if rest.isEmpty():
             break
         sample = rest.where(F.pmod(F.xxhash64("id", "tree", "path"), F.lit(1 << 20)) < F.lit(float(SAMPLE << 20)) / F.col("n"))
-        cuts = sample.select(*node, "vec").groupBy(*node).applyInPandas(fit, "tree int, label bigint, path string, dim int, cuts array<double>")
-        going = rest.join(cuts, node).select(*node, "id", "copies", "vec", "n", "cuts").mapInArrow(_routes(MARGIN), "tree int, label bigint, path string, dim int, id bigint, copies bigint, vec binary, was bigint")
-    done = checkpoint(done.withColumn("leaf", (F.col("tree").cast("bigint") * (1 << 56)) + F.pmod(F.xxhash64("label", "path", "dim"), F.lit(1 << 55))))
+        cuts = sample.join(vecs, "id").select(*node, "vec").groupBy(*node).applyInPandas(fit, "tree int, label bigint, path string, dim int, cuts array<double>")
+        going = rest.join(cuts, node).join(vecs, "id").select(*node, "id", "vec", "n", "cuts").mapInArrow(_routes(MARGIN), "tree int, label bigint, path string, dim int, id bigint, was bigint")
+    done = checkpoint(done.select("id", "n", ((F.col("tree").cast("bigint") * (1 << 56)) + F.pmod(F.xxhash64("label", "path", "dim"), F.lit(1 << 55))).alias("leaf")))
     held = done.groupBy("id").agg(F.collect_set("leaf").alias("leaves"))
-    done = done.join(held, "id")
+    done = done.where("n > 1").join(held, "id").join(points.drop("label"), "id")
     blocks = F.ceil(F.col("n") / (4 * LEAF)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
     each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), (block <= k).alias("left"), (block == k).alias("whole")))
-    dealt = done.where("n > 1").select("leaf", "leaves", "id", "copies", "vec", F.explode(each).alias("x")).select("leaf", "leaves", "id", "copies", "vec", "x.*")
+    dealt = done.select("leaf", "leaves", "id", "copies", "dim", "vec", F.explode(each).alias("x")).select("leaf", "leaves", "id", "copies", "dim", "vec", "x.*")
     found = checkpoint(dealt.groupBy("leaf", "i", "j").applyInPandas(lambda g: compare(g, threshold), "id bigint, links bigint, root bigint"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    per = same.join(links, "id", "left").join(comps, "id", "left").select("label", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+    per = same.join(links, "id", "left").join(comps, "id", "left").select("label", "v", "vec_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("of"))
+    per = per.join(per.groupBy("of").agg(F.min("vec_id").alias("component")), "of")
     per = per.withColumn("n_links", F.col("links") + F.col("copies") - 1)
     # back to all rows: a vector and its label are the key; the hash keeps the sort narrow
     key = [F.xxhash64("label", "v").alias("h")]

@@ -803,7 +803,7 @@ def class_remap(v, t):
 
 
 def ball_detections(v) -> DataFrame:
-    return v("ball").where("status <> 'lost' and frame <= 2000").select("seq", "frame", "x", "y", F.coalesce("picked_conf", F.lit(0.2)).alias("conf"))
+    return v("ball").where("status <> 'lost'").select("seq", "frame", "x", "y", F.coalesce("picked_conf", F.lit(0.2)).alias("conf"))
 
 
 @query(None)

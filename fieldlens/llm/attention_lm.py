@@ -2,8 +2,9 @@
 
 Model.  A text is its words, lower-cased, each as the subword ids of a space and the word, and an end.  Ids belong to classes by the
 ids around them; attention over the ids before gives the next class, and the id follows from its class by its share in all
-training texts, mixed with its share after the id before where that is known well.  The weights are trained by gradient descent on at most ``MAX_WINDOWS`` windows of training texts; the shares are
-counted over all of them.  A text is scored in windows of ``WINDOW`` inputs that overlap by ``OVERLAP``: each id once, with at least that
+training texts, mixed with its share after the id before where that is known well.  Ids' ranks, what stands around them, and shares are counted over all
+training texts, and the weights are trained on every window of them: in ``ROUNDS`` rounds each task takes gradient steps on its windows, a part of them in each round, and the
+mean of the tasks' weights begins the next round.  All windows are shown once, or up to ``ROUNDS`` times where that makes fewer than ``LEAST_SHOWN``.  A text is scored in windows of ``WINDOW`` inputs that overlap by ``OVERLAP``: each id once, with at least that
 much before it where the text has so much.  Windows of many texts go through the masked attention together.
 
 Base.  Word counts of the whole corpus are gathered and given back in packed form: for each block of documents and range of
@@ -15,7 +16,7 @@ Repeated rows are scored alike; a null id isn't held out.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,11 +34,18 @@ WINDOW, OVERLAP = 32, 8
 DIM, HIDDEN, CLASSES = 24, 48, 64
 #: Ids whose neighbours are counted in pairs.
 TOP = 1024
-MAX_WINDOWS = 16_000
-SAMPLE_DOCS = 3_000
+#: Ids as neighbours of which others get their classes, and how often an id has to be seen for that.
+AROUND, SEEN = 400, 5
 #: Characters that are tokenised together, and ids whose windows are laid out together; longer texts are taken whole.
 CHUNK, LAID_OUT = 12_000_000, 500_000
-EPOCHS, BATCH, RATE = 4, 128, 4e-3
+ROUNDS, BATCH, RATE = 4, 128, 4e-3
+LEAST_SHOWN = 64_000
+#: Windows that make a task of their own worth while.
+PER_TASK = 20_000
+#: Ids, or numbers of the other weights, whose means are taken together.
+SLICE = 1024
+#: How much the shares of ids after an id may count; the likeliest is taken.
+MIXTURES = np.linspace(0.05, 0.95, 19)
 END = 50256
 N_IDS = 50257
 FOLDS, HELD = 7, 2
@@ -89,6 +97,8 @@ class Model:
     top_of: np.ndarray
     follows: np.ndarray
     trust: np.ndarray
+    #: Windows that the weights were trained on, each as often as it was shown.
+    shown: int = 0
 
     def forward(self, inputs: np.ndarray, keep: bool = False):
         """Log-probabilities of the classes at the scored places of each window."""
@@ -116,13 +126,17 @@ class Model:
         logits -= np.log(np.exp(logits).sum(-1, keepdims=True))
         return (logits, (ids, x, own, q, k, v, a, mixed, h, act, top)) if keep else logits
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, scored: list | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """The loss and its gradients; to ``scored`` goes the log-probability of each target's class."""
         w = self.weights
         logp, (ids, x, own, q, k, v, a, mixed, h, act, top) = self.forward(inputs, True)
         mask = targets >= 0
         cls = self.class_of[np.where(mask, targets, END)]
         n = max(1, int(mask.sum()))
-        loss = -float(np.take_along_axis(logp, cls[..., None], -1)[..., 0][mask].sum()) / n
+        of_target = np.take_along_axis(logp, cls[..., None], -1)[..., 0]
+        if scored is not None:
+            scored.append(of_target)
+        loss = -float(of_target[mask].sum()) / n
         d = np.exp(logp)
         np.put_along_axis(d, cls[..., None], np.take_along_axis(d, cls[..., None], -1) - 1, -1)
         d *= mask[..., None] / np.float32(n)
@@ -144,7 +158,8 @@ class Model:
         d_x = d_k @ w["k"].T + d_v @ w["v"].T
         d_x[:, OVERLAP:] += d_h + d_q @ w["q"].T
         g["class_in"], g["id_in"] = np.zeros_like(w["class_in"]), (ids.ravel(), flat(d_x))
-        np.add.at(g["class_in"], self.class_of[ids].ravel(), flat(d_x))
+        some, total = summed(self.class_of[ids].ravel(), flat(d_x))
+        g["class_in"][some] = total
         return loss, g
 
     def class_log_probability(self, inputs: np.ndarray, classes_: np.ndarray) -> np.ndarray:
@@ -196,39 +211,40 @@ class Model:
         return out / np.log(10)
 
 
+def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur and the sum of the rows of each."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[starts], np.add.reduceat(rows[order], starts)
+
+
 _PLACES = np.arange(OVERLAP, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 DISTANCE = np.clip(_PLACES, 0, WINDOW - 1)
 MASK = np.where(_PLACES >= 0, np.float32(0), np.float32(-1e9))
 
 
-def classes(sample: np.ndarray, counts: np.ndarray, spaced: np.ndarray) -> np.ndarray:
-    """Ids to classes: frequent ones by k-means of what stands before and after them, rare ones by whether a word begins with them."""
+def known_ids(counts: np.ndarray) -> np.ndarray:
+    """Ids that are seen often enough to get a class by what stands around them, most frequent first."""
+    seen = counts.copy()
+    seen[END] = 0
+    known = np.flatnonzero(seen >= SEEN)
+    return known[np.argsort(-seen[known], kind="stable")]
+
+
+def classes(known: np.ndarray, around: np.ndarray, counts: np.ndarray, spaced: np.ndarray) -> np.ndarray:
+    """Ids to classes: known ones by k-means of what stands before and after them, rare ones by whether a word begins with them."""
     of = np.where(spaced, CLASSES - 2, CLASSES - 3).astype(np.int32)
     of[END] = CLASSES - 1
-    seen = np.bincount(sample[sample >= 0], minlength=N_IDS)
-    seen[END] = 0
-    known = np.flatnonzero(seen >= 5)
-    known = known[np.argsort(-seen[known], kind="stable")][:3000]
     k = min(CLASSES - 3, len(known))
     if k < 2:
         return of
-    wide = min(400, len(known))
-    row, col = np.full(N_IDS, -1), np.full(N_IDS, wide)
-    row[known], col[known[:wide]] = np.arange(len(known)), np.arange(wide)
-    a, b = sample[:, :-1].ravel(), sample[:, 1:].ravel()
-    ok = (a >= 0) & (b >= 0)
-    a, b = a[ok], b[ok]
-    x = np.zeros((len(known), 2 * (wide + 1)))
-    keep = row[a] >= 0
-    np.add.at(x, (row[a[keep]], col[b[keep]]), 1)
-    keep = row[b] >= 0
-    np.add.at(x, (row[b[keep]], wide + 1 + col[a[keep]]), 1)
-    x = np.sqrt(x)
+    x = np.sqrt(around)
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    x = (u * s)[:, :32]
+    _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
+    x = x @ axes[:, ::-1][:, :32]
     centres = x[:k].copy()
-    weight = np.sqrt(seen[known])
+    weight = np.sqrt(counts[known])
     for _ in range(20):
         label = (x @ centres.T * 2 - (centres**2).sum(1)).argmax(1)
         for c in range(k):
@@ -246,88 +262,204 @@ def fresh(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {"class_in": r(CLASSES, DIM) * 3, "id_in": np.zeros((N_IDS, DIM), np.float32), "q": r(DIM, DIM), "k": r(DIM, DIM), "v": r(DIM, DIM), "o": r(DIM, DIM) * 0.5, "by_distance": np.linspace(1, -1, WINDOW, dtype=np.float32), "up": r(DIM, HIDDEN), "up_bias": np.zeros(HIDDEN, np.float32), "down": r(HIDDEN, DIM) * 0.5, "out": r(DIM, CLASSES) * 0.5, "out_bias": np.zeros(CLASSES, np.float32)}
 
 
-def fit(inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray, pairs: np.ndarray, top_of: np.ndarray, spaced: np.ndarray, seed: int = 7) -> Model:
-    """``counts`` of ids and ``pairs`` of the most frequent ids, over all training texts; the weights by the sample."""
-    rng = np.random.default_rng(seed)
-    class_of = classes(np.where(inputs >= 0, inputs, -1), counts, spaced)
+def begin(counts: np.ndarray, pairs: np.ndarray, top_of: np.ndarray, class_of: np.ndarray, seed: int = 7) -> tuple[Model, np.ndarray]:
+    """A model with its shares and fresh weights, and how far each id's followers are known."""
     smooth = counts + 0.05
     total = np.bincount(class_of, smooth, CLASSES)
     follows = np.zeros((TOP + 1, TOP + 1), np.float32)
     follows[:TOP, :TOP] = pairs / np.maximum(pairs.sum(1, keepdims=True), 1)
     after = np.append(pairs.sum(1), 0.0)
-    model = Model(fresh(rng), class_of, np.log(smooth / total[class_of]).astype(np.float32), top_of, follows, np.zeros(N_IDS, np.float32))
-    w, m, v = model.weights, {}, {}
+    model = Model(fresh(np.random.default_rng(seed)), class_of, np.log(smooth / total[class_of]).astype(np.float32), top_of, follows, np.zeros(N_IDS, np.float32))
     mass = np.bincount(class_of, counts, CLASSES) + 1.0
-    w["out_bias"][:] = np.log(mass / mass.sum())
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(inputs))
-        for i in range(0, len(order), BATCH):
-            step += 1
-            rows = order[i : i + BATCH]
-            _, g = model.gradients(inputs[rows], targets[rows])
-            rate = RATE * (1 - (epoch + i / len(order)) / EPOCHS) + 1e-5
-            ids, d = g.pop("id_in")
-            if epoch:  # ids move away from their classes once those have settled
-                np.add.at(w["id_in"], ids, -np.float32(4 * rate) * np.clip(d * BATCH, -1, 1))
-            for key, grad in g.items():
-                m[key] = 0.9 * m.get(key, 0) + 0.1 * grad
-                v[key] = 0.98 * v.get(key, 0) + 0.02 * grad * grad
-                w[key] -= (rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
-    trust_of = (after / (after + 50.0))[top_of]
-    some, t = inputs[:1500], targets[:1500]
-    own = np.exp(model.log_probability(some, t))
-    safe, before = np.where(t >= 0, t, END), np.where(t >= 0, some[:, OVERLAP:], END)
-    other, part, share = follows[top_of[before], top_of[safe]], trust_of[before], 0.5
-    for _ in range(15 if len(some) else 0):
-        r = share * part * other / (share * part * other + (1 - share * part) * own)
-        share = float(np.clip(r[t >= 0].sum() / max(1e-9, part[t >= 0].sum()), 0.01, 0.95))
-    model.trust = (share * trust_of).astype(np.float32)
+    model.weights["out_bias"][:] = np.log(mass / mass.sum())
+    return model, (after / (after + 50.0))[top_of].astype(np.float32)
+
+
+ROUND = "part int, n bigint, a binary, b binary, c binary"
+ROUND_KIND = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+
+
+@dataclass
+class State:
+    """What a round begins with: the model, running means of the gradients and of their squares, and steps taken."""
+
+    model: Model
+    known: np.ndarray
+    mean: dict[str, np.ndarray]
+    square: dict[str, np.ndarray]
+    step: int = 0
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([d[k].ravel() for d in (self.model.weights, self.mean, self.square) for k in self.mean])
+
+    def set(self, flat: np.ndarray) -> None:
+        at = 0
+        for d in (self.model.weights, self.mean, self.square):
+            for k in self.mean:
+                d[k] = flat[at : at + d[k].size].reshape(d[k].shape).astype(np.float32)
+                at += d[k].size
+
+    def copy(self) -> State:
+        own = lambda d: {k: x.copy() for k, x in d.items()}
+        return replace(self, model=replace(self.model, weights=own(self.model.weights)), mean=own(self.mean), square=own(self.square))
+
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, rate: float, move_ids: bool, likelihood: np.ndarray | None) -> None:
+        """A gradient step; ``likelihood`` of the targets under each of MIXTURES is added to."""
+        self.step += 1
+        w, scored = self.model.weights, []
+        _, g = self.model.gradients(inputs, targets, scored)
+        if likelihood is not None:
+            mask = targets >= 0
+            after, before = targets[mask], inputs[:, OVERLAP:][mask]
+            own = np.exp(scored[0][mask] + self.model.log_share[after])
+            more = self.known[before] * (self.model.follows[self.model.top_of[before], self.model.top_of[after]] - own)
+            for k, share in enumerate(MIXTURES):
+                likelihood[k] += np.log(own + np.float32(share) * more).sum(dtype=np.float64)
+        ids, d = g.pop("id_in")
+        if move_ids:  # ids move away from their classes once those have settled
+            some, total = summed(ids, np.clip(d * BATCH, -1, 1))
+            w["id_in"][some] -= np.float32(4 * rate) * total
+        for key, grad in g.items():
+            m, v = self.mean[key], self.square[key]
+            m += np.float32(0.1) * (grad - m)
+            v += np.float32(0.02) * (grad * grad - v)
+            w[key] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.98**self.step)) + 1e-8)).astype(np.float32)
+
+
+def _round(sent, rnd: int, passes: int):
+    """Steps on the windows whose turn it is; weights, and how far ids have moved, in slices."""
+
+    def run(batches):
+        state, rng = sent.value.copy(), np.random.default_rng([7, rnd, TaskContext.get().partitionId()])
+        old, seen, n, at = sent.value.model.weights["id_in"], np.zeros(N_IDS, np.int64), 0, 0
+        likelihood = np.zeros(len(MIXTURES))
+        rate = RATE * (1 - rnd / ROUNDS) + 1e-5
+        for ids, cuts in ((i, c) for b in batches for i, c in zip(b.column(0), b.column(1))):
+            inputs, targets, _ = windows(np.frombuffer(ids.as_py(), np.uint16).astype(np.int32), np.frombuffer(cuts.as_py(), np.int64))
+            turn = np.flatnonzero((np.arange(at, at + len(inputs)) + rnd) % ROUNDS < passes)
+            at += len(inputs)
+            n += len(turn)
+            order = rng.permutation(turn)
+            for i in range(0, len(order), BATCH):
+                x = inputs[order[i : i + BATCH]]
+                seen += np.bincount(x[x >= 0], minlength=N_IDS)
+                state.learn(x, targets[order[i : i + BATCH]], rate, rnd > 0, likelihood if rnd == ROUNDS - 1 else None)
+        if not n:
+            return
+        flat = state.flat()
+        rows = [(-2 - k // SLICE, n, flat[k : k + SLICE].tobytes(), None, None) for k in range(0, len(flat), SLICE)]
+        rows.append((-1, n, likelihood.tobytes(), np.array([state.step], np.int64).tobytes(), None))
+        moved = state.model.weights["id_in"] - old
+        for k in range(0, N_IDS, SLICE):
+            some = np.flatnonzero(seen[k : k + SLICE]) if rnd else []
+            if len(some):
+                rows.append((k // SLICE, n, moved[k + some].tobytes(), seen[k + some].tobytes(), some.astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ROUND_KIND)], schema=ROUND_KIND)
+
+    return run
+
+
+def _means(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A slice's mean over the tasks: of weights by their windows, of an id's move by how often each task met it; likelihoods are summed."""
+    part, n = int(pdf["part"].iloc[0]), int(pdf["n"].sum())
+    if part == -1:
+        a, b = sum(np.frombuffer(x, np.float64) for x in pdf["a"]), max(int(np.frombuffer(x, np.int64)[0]) for x in pdf["b"])
+        return pd.DataFrame([(part, n, a.tobytes(), np.array([b], np.int64).tobytes(), None)], columns=ROUND_KIND.names)
+    if part < -1:
+        a = sum(np.frombuffer(x, np.float32).astype(np.float64) * m for x, m in zip(pdf["a"], pdf["n"])) / n
+        return pd.DataFrame([(part, n, a.astype(np.float32).tobytes(), None, None)], columns=ROUND_KIND.names)
+    moved, times = np.zeros((SLICE, DIM)), np.zeros(SLICE)
+    for a, b, c in pdf[["a", "b", "c"]].itertuples(index=False):
+        some, m = np.frombuffer(c, np.int32), np.frombuffer(b, np.int64)
+        moved[some] += np.frombuffer(a, np.float32).reshape(-1, DIM) * m[:, None]
+        times[some] += m
+    mean = (moved / np.maximum(times, 1)[:, None]).astype(np.float32)
+    return pd.DataFrame([(part, n, mean.tobytes(), None, None)], columns=ROUND_KIND.names)
+
+
+def fit(blocks: DataFrame, n_windows: int, model: Model, known: np.ndarray) -> Model:
+    """Trains the weights on all windows of the blocks."""
+    zeros = lambda: {k: np.zeros_like(x) for k, x in model.weights.items() if k != "id_in"}
+    state, passes = State(model, known, zeros(), zeros()), min(ROUNDS, max(1, -(-LEAST_SHOWN // max(1, n_windows))))
+    blocks, share = blocks.select("ids", "cuts").coalesce(max(1, n_windows // PER_TASK)), 0.5
+    for rnd in range(ROUNDS if n_windows else 0):
+        sent = blocks.sparkSession.sparkContext.broadcast(state)  # of fixed size, about 15 MB
+        got = blocks.mapInArrow(_round(sent, rnd, passes), ROUND).groupBy("part").applyInPandas(_means, ROUND).toPandas()  # at most the weights
+        sent.destroy()
+        got = got.set_index("part").sort_index()
+        if not len(got):
+            continue
+        state.set(np.concatenate([np.frombuffer(x, np.float32) for x in got.loc[got.index < -1, "a"][::-1]]))
+        for k, x in got.loc[got.index >= 0, "a"].items():
+            own = model.weights["id_in"][k * SLICE : (k + 1) * SLICE]
+            own += np.frombuffer(x, np.float32).reshape(-1, DIM)[: len(own)]
+        state.step = int(np.frombuffer(got.at[-1, "b"], np.int64)[0])
+        model.shown += int(got.at[-1, "n"])
+        share = float(MIXTURES[np.frombuffer(got.at[-1, "a"], np.float64).argmax()])
+    model.trust = (share * known).astype(np.float32)
     return model
 
 
 def train(docs: DataFrame, path: str, pattern: str) -> Model:
-    """Shares of ids over all training texts, weights on a bounded sample of their windows."""
+    """Classes, shares and weights, all of them by every training text, which is tokenised once."""
     data, kind = load(path)
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")))
+    rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
 
-    def cut(batches):
+    def tokenise(batches):
         for b in chunks(batches, "text", CHUNK):
-            inputs, targets, of = windows(*id_runs(b.column(1), encoder(data, pattern, kind)))
-            both = np.concatenate([inputs, targets], 1)
-            keys = b.column(0).to_pylist()
-            for i in range(0, len(both), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in of[i : i + 5000]], pa.int64()), pa.array(np.arange(i, min(i + 5000, len(both)))), pa.array(list(both[i : i + 5000]), pa.list_(pa.int32()))], ["key", "i", "both"])
-
-    share = SAMPLE_DOCS / max(1, rows.count())
-    key = F.xxhash64(F.col("doc_id"), F.lit("window"))
-    sample = rows.where(F.pmod(key, F.lit(1 << 20)) <= F.lit(float(1 << 20)) * share).select(key.alias("key"), "text").mapInArrow(cut, "key bigint, i bigint, both array<int>")
-    got = sample.orderBy(F.xxhash64("key", "i"), "both").limit(MAX_WINDOWS).toPandas()
-    both = np.array(got["both"].tolist(), np.int32).reshape(-1, 2 * WINDOW - OVERLAP)
-    targets = both[:, WINDOW:]
-    seen = np.bincount(targets[targets >= 0], minlength=N_IDS)
+            ids, cuts = id_runs(b.column(0), encoder(data, pattern, kind))
+            i, n = 0, len(cuts) - 1
+            while i < n:
+                j = max(i + 1, min(n, int(np.searchsorted(cuts, cuts[i] + LAID_OUT, "right")) - 1))
+                own = cuts[i : j + 1] - cuts[i]
+                per = int((-(-np.diff(own) // (WINDOW - OVERLAP))).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[cuts[i] : cuts[j]].astype(np.uint16).tobytes()], pa.binary()), pa.array([own.astype(np.int64).tobytes()], pa.binary()), pa.array([per], pa.int64())], ["ids", "cuts", "n_windows"])
+                i = j
+
+    blocks = checkpoint(rows.mapInArrow(tokenise, "ids binary, cuts binary, n_windows bigint"))
+    n_windows = int(blocks.agg(F.coalesce(F.sum("n_windows"), F.lit(0))).first()[0])
+
+    def totals(of, *sizes: int) -> list[np.ndarray]:
+        """Over all blocks, the sums of the counts of cells that ``of`` gives for ids and those before them."""
+
+        def run(batches):
+            sums = [np.zeros(n, np.int32) for n in sizes]
+            for ids, cuts in ((i, c) for b in batches for i, c in zip(b.column(0), b.column(1))):
+                own, begins = np.frombuffer(ids.as_py(), np.uint16).astype(np.int64), np.frombuffer(cuts.as_py(), np.int64)[:-1]
+                before = np.append(END, own[:-1])
+                before[begins] = END
+                for total, cells in zip(sums, of(before, own)):
+                    some, n = np.unique(cells, return_counts=True)
+                    total[some] += n.astype(np.int32)
+            for k, total in enumerate(sums):
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["what", "cell", "n"])
+
+        got = blocks.select("ids", "cuts").mapInArrow(run, "what int, cell int, n bigint").groupBy("what", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each cell
+        out = [np.zeros(n) if n <= (TOP + 1) ** 2 else np.zeros(n, np.float32) for n in sizes]
+        for k, into in enumerate(out):
+            own = got[got["what"] == k]
+            into[own["cell"].to_numpy()] = own["n"].to_numpy()
+        return out
+
+    (counts,) = totals(lambda before, own: (own,), N_IDS)
     top_of = np.full(N_IDS, TOP, np.int64)
-    top_of[np.argsort(-seen, kind="stable")[:TOP]] = np.arange(TOP)
+    top_of[np.argsort(-counts, kind="stable")[:TOP]] = np.arange(TOP)
+    known = known_ids(counts)
+    wide = min(AROUND, len(known))
+    row, col = np.full(N_IDS, -1), np.full(N_IDS, wide)
+    row[known], col[known[:wide]] = np.arange(len(known)), np.arange(wide)
+    width = 2 * (wide + 1)
 
-    def count(batches):
-        singles, pairs = np.zeros(N_IDS, np.int64), np.zeros((TOP + 1) ** 2, np.int64)
-        for b in chunks(batches, "text", CHUNK):
-            ids, cuts = id_runs(b.column(0), encoder(data, pattern, kind))
-            singles += np.bincount(ids, minlength=N_IDS)
-            before = np.append(END, ids[:-1])
-            before[cuts[:-1]] = END
-            pairs += np.bincount(top_of[before] * (TOP + 1) + top_of[ids], minlength=len(pairs))
-        for k, total in enumerate((singles, pairs)):
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(total[some])], ["pair", "cell", "n"])
-
-    totals = rows.select("text").mapInArrow(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most N_IDS + TOP ** 2 rows
-    counts, pairs = np.zeros(N_IDS), np.zeros((TOP + 1) ** 2)
-    for k, into in enumerate((counts, pairs)):
-        own = totals[totals["pair"] == k]
-        into[own["cell"].to_numpy()] = own["n"].to_numpy()
+    def neighbours(before, own):
+        a, b = row[before] >= 0, row[own] >= 0
+        return top_of[before] * (TOP + 1) + top_of[own], np.append(row[before[a]] * width + col[own[a]], row[own[b]] * width + wide + 1 + col[before[b]])
+
+    pairs, around = totals(neighbours, (TOP + 1) ** 2, len(known) * width)
     spaced = np.array([t.startswith(b" ") for t in encoder(data, pattern, kind).vocabulary.tokens] + [False] * N_IDS)[:N_IDS]
-    return fit(both[:, :WINDOW], targets, counts, pairs.reshape(TOP + 1, TOP + 1)[:TOP, :TOP], top_of, spaced)
+    class_of = classes(known, around.reshape(len(known), width), counts, spaced)
+    model, trust_of = begin(counts, pairs.reshape(TOP + 1, TOP + 1)[:TOP, :TOP], top_of, class_of)
+    return fit(blocks, n_windows, model, trust_of)
 
 
 def _pack(parts: int, data: bytes, pattern: str, kind: str, model):

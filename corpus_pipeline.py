@@ -5,7 +5,7 @@ the next one's ``docs``.  All but the last return the columns of the documents t
 
 1. ``quality``: a document goes if the additive model scores its whole text below 0.7.  The model learns from the labelled rows that aren't
    held out, at most ``quality_gam.MAX_TRAIN``.
-2. ``lines``: of lines that differ by two edits or fewer the first in the corpus stays.  A document can lose all its lines; its row stays.
+2. ``lines``: of lines that differ by two edits or fewer the first in the corpus stays; of lines under 16 characters that aren't blank, of equal ones only.  A document can lose all its lines; its row stays.
 3. ``near_duplicates``: of documents whose five-word shingle sets link at 0.75 the one with the least id stays.
 4. ``packing``: the tokenised documents as sequences of at most 1024 ids, a row for each piece.
 
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(docs)
+    return line_dedup.deduplicate(docs, short=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

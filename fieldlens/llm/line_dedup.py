@@ -8,7 +8,8 @@ their words and letters, which an edit changes in few bits, thins out pairs with
 bit-parallel edit distance in a band of ``2 * EDITS + 1`` diagonals.  Of each group of lines that links connect, the first by document and place
 stays and the others go.
 
-Equal lines count as one, by 128 bits of hash, before the join.  Shorter lines, empty ones too, always stay, and null texts stay null.
+Equal lines count as one, by 128 bits of hash, before the join.  With ``short`` that holds for shorter lines too: of equal ones, if they aren't
+blank, the first stays; they have no part in the edit join.  Without it they always stay.  Blank ones do either way, and null texts stay null.
 Rows with one id and one text are one document; a null id comes first in order.  Extra columns pass through.
 """
 
@@ -26,10 +27,11 @@ EDITS = 2
 BROADCAST_ROWS = 1_000_000
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``key`` (of the document), ``place``, ``line`` for lines long enough."""
+def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """``key`` (of the document), ``place``, ``line`` for lines long enough; with ``short`` for shorter ones too that aren't blank."""
     rows = docs.where(F.col("text").isNotNull()).select(*document_key(), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return rows.where(F.length("line") >= min_chars)
+    enough = F.length("line") >= min_chars
+    return rows.where(enough | F.col("line").rlike(r"\S") if short else enough)
 
 
 def document_key() -> list[Column]:
@@ -162,11 +164,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``doc, of_text, place, near`` of each line that goes; ``near``: not equal to one that comes before it."""
     lines = lines_of(docs, min_chars)
     ids = [F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2")]
-    hashed = lines.select("doc", "of_text", "place", *ids)
+    hashed = (lines_of(docs, min_chars, True) if short else lines).select("doc", "of_text", "place", *ids)
     order = F.struct("doc", "place", "of_text")
     equal = checkpoint(hashed.groupBy("id", "id2").agg(F.min(order).alias("first"), F.count("*").alias("n")))
     n = F.length("line")
@@ -191,9 +193,9 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     return out.select("doc", "of_text", "place", (F.col("first") == F.struct("doc", "place", "of_text")).alias("near"))
 
 
-def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """The documents with ``kept`` (the text without the lines that go), ``n_lines``, ``n_gone`` and ``n_near``."""
-    gone = duplicate_lines(docs, edits, min_chars).groupBy("doc", "of_text").agg(F.collect_set("place").alias("places"), F.count_if("near").alias("n_near"))
+    gone = duplicate_lines(docs, edits, min_chars, short).groupBy("doc", "of_text").agg(F.collect_set("place").alias("places"), F.count_if("near").alias("n_near"))
     doc, of_text = document_key()
     names = docs.columns
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], doc.alias("__doc"), of_text.alias("__of_text"))
@@ -204,8 +206,8 @@ def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return rows.select(*[F.col(f"`{c}`") for c in names], kept.alias("kept"), F.size(lines).alias("n_lines"), F.coalesce(F.size("__places"), F.lit(0)).alias("n_gone"), F.coalesce("__near", F.lit(0)).alias("n_near"))
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """The documents, their texts without the lines that go; ``n_chars`` follows where there is one."""
-    rows = with_kept_text(docs, edits, min_chars)
+    rows = with_kept_text(docs, edits, min_chars, short)
     columns = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns)

@@ -36,7 +36,7 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.with_kept_text(table(spark, sf_dir, "documents"))
+    rows = line_dedup.with_kept_text(table(spark, sf_dir, "documents"), short=True)
     return rows.select("doc_id", F.col("n_lines").cast("bigint"), F.col("n_gone").cast("bigint"), "n_near", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 

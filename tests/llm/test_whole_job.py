@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 
-from fieldlens.llm import attention_lm, bpe
+import corpus_pipeline
+from fieldlens.llm import attention_lm, bpe, queries
 
 WORDS = "the of and river stone light carried under over seven green window table paper winter summer quiet garden yellow mountain".split()
 
@@ -31,3 +32,13 @@ def test_attention_learns_from_every_training_text(spark):
     x, y = a[inside][0], b[inside][0]
     assert np.isclose(model.follows[model.top_of[x], model.top_of[y]], ((a == x) & (b == y)).sum() / (a == x).sum())
     assert model.log_probability(inputs, targets).sum() > 1.01 * (np.log(counts[ids] / len(ids))).sum()
+
+
+def test_equal_short_lines_go_too(spark, tmp_path):
+    rows = [(1, "Les.\n\nAnd ornd.\nLes.\n  "), (2, "Les.\nLex.\n\n  \nAnd ornd."), (3, None), (4, "a line that is long enough\nLes."), (5, "a line that is long enouhg")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {1: "Les.\n\nAnd ornd.\n  ", 2: "Lex.\n\n  ", 3: None, 4: "a line that is long enough", 5: ""}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_gone, r.n_near) for r in queries.op7_segment_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), 3: (0, 0), 4: (1, 0), 5: (1, 1)}

@@ -3,14 +3,22 @@
 Lines of at least ``MIN_CHARS`` characters are duplicates when ``EDITS`` edits or fewer turn one into the other.  A line of a given length
 is cut into ``EDITS + 1`` segments; two such lines share one of them, at places that differ little.  Each line is indexed by
 its segments and probes the segments of lines as long or a little shorter by those of its substrings that can match (lengths,
-segment numbers and shifts are bounded).  Both meet by the hash of segment, number and length; a word of parities of
-their words and letters, which an edit changes in few bits, thins out pairs within the join, and what is left is verified, without common beginnings and ends, by a
-bit-parallel edit distance in a band of ``2 * EDITS + 1`` diagonals.  Of each group of lines that links connect, the first by document and place
-stays and the others go.
+segment numbers and shifts are bounded).  Both meet by the hash of segment, number and length.
+
+1. Keys are counted first: only lines whose key another line has go on, with their texts.
+2. These get two signatures, counts of letters in Gray code and parities of words, which an edit changes in few bits.  Signatures of two
+   lines that link agree in one of ``2 * EDITS + 1`` chunks, so a key is split by chunks: what only shares a segment is parted.
+3. In ``ROUNDS`` rounds every line of such a cell is compared with the cell's pivot, and the components of what links are
+   contracted.  Then index and probe meet within cells, for lines of different components only.
+4. Pairs whose signatures allow it are verified, without common beginnings and ends, by a bit-parallel edit distance in a band of
+   ``2 * EDITS + 1`` diagonals.
+
+Of each group of lines that links connect, the first by document and place stays and the others go.
 
 Equal lines count as one, by 128 bits of hash, before the join.  With ``short`` that holds for shorter lines too: of equal ones, if they aren't
 blank, the first stays; they have no part in the edit join.  Without it they always stay.  Blank ones do either way, and null texts stay null.
-Rows with one id and one text are one document; a null id comes first in order.  Extra columns pass through.
+Rows with one id and one text are one document; a null id comes first in order.  Extra columns pass through, whatever their names.  Very long
+texts and lines are taken whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +31,8 @@ from .components import connected_components
 
 MIN_CHARS = 16
 EDITS = 2
+#: Times that the lines of a cell are compared with a pivot, each time another one.
+ROUNDS = 2
 #: Tables of counted rows up to here are broadcast (16 MB of ids).
 BROADCAST_ROWS = 1_000_000
 
@@ -38,29 +48,36 @@ def document_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("of_text")]
 
 
-#: Letters whose counts' parities a line's signature has, after bits for its words.
-LETTERS = "etaonisrhldubcmpgwvy"
-WORD_BITS = 64 - len(LETTERS)
-
+#: Characters whose counts a line's signature has.
+LETTERS = "abcdefghijklmnopqrstuvwxyz.,ETAO"
 
-def parity(line: Column) -> Column:
-    """Bits that cancel out for what two lines have in common: one for each word, by hash, and one for each of LETTERS, by count.
 
-    An edit takes away or adds three words at most (it may join or part two) and changes the counts of two letters at most.
-    """
-    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(WORD_BITS)).cast("int")))
-    out = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+def letters_of(line: Column) -> Column:
+    """Two bits for each of LETTERS: its count, modulo 4, in Gray code.  An edit changes two counts by one at most, and so two bits."""
+    out = F.lit(0).cast("bigint")
     for k, letter in enumerate(LETTERS):
-        odd = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(1)).cast("bigint")
-        out = out.bitwiseXOR(F.shiftleft(odd, WORD_BITS + k))
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(3))
+        out = out.bitwiseXOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).cast("bigint"), 2 * k))
     return out
 
 
-def alike(a: Column, b: Column, edits: int) -> Column:
-    """Whether two parities allow so few edits."""
-    apart = a.bitwiseXOR(b)
-    words = F.lit((1 << WORD_BITS) - 1).cast("bigint")
-    return (F.bit_count(apart.bitwiseAND(words)) <= 3 * edits) & (F.bit_count(F.shiftrightunsigned(apart, WORD_BITS)) <= 2 * edits)
+def words_of(line: Column) -> Column:
+    """A bit for each word, by hash, that cancels out in pairs; an edit takes away or adds three words at most, as it may join or part two."""
+    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
+
+def alike(edits: int) -> Column:
+    """Whether the signatures (letters, words) and (by_letters, by_words) allow so few edits."""
+    apart = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"by_{c}")))
+    return (apart("letters") <= 2 * edits) & (apart("words") <= 3 * edits)
+
+
+def chunks_of(letters: Column, edits: int) -> Column:
+    """The signature in ``2 * edits + 1`` numbered parts: it differs in ``2 * edits`` bits at most, so one of them is equal."""
+    k = 2 * edits + 1
+    cuts = [64 * i // k for i in range(k + 1)]
+    return F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft(letters, 64 - hi), 64 - hi + lo)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
 
 
 def segment(n: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -69,21 +86,15 @@ def segment(n: Column, i: int, k: int) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(0), i - k + longer) + 1, base + F.when(F.lit(k) - i <= longer, 1).otherwise(0)
 
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
-    k = edits + 1
-    parts = [segment(n, i, k) for i in range(k)]
-    return F.array(*[F.xxhash64(F.substring(line, s, m), F.lit(i), n) for i, (s, m) in enumerate(parts)])
-
-
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Substrings that can match a segment of a line that is up to ``edits`` shorter."""
-    k, keys = edits + 1, []
+def line_keys(line: Column, n: Column, edits: int) -> Column:
+    """Hashes of the line's segments, ``edits + 1`` of them, and then of other substrings that can match a segment of a line up to ``edits`` shorter."""
+    k, own, other = edits + 1, [], []
     for less in range(edits + 1):
         for i in range(k):
             start, m = segment(n - less, i, k)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                keys.append(F.xxhash64(F.substring(line, start + shift, m), F.lit(i), n - less))
-    return F.array(*keys)
+                (other if less or shift else own).append(F.xxhash64(F.substring(line, start + shift, m), F.lit(i), n - less))
+    return F.array(*own, *other)
 
 
 def bind(value: Column, f) -> Column:
@@ -164,33 +175,59 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The pairs of nodes (a, b) that few enough edits part."""
+    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("x")), texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+
+
+def more_than_one(rows: DataFrame, key: str, what: str) -> DataFrame:
+    """The rows of keys that hold several values."""
+    return rows.join(rows.groupBy(key).agg(F.min(what).alias("__lo"), F.max(what).alias("__hi")).where("__lo <> __hi").select(key), key)
+
+
+def edit_components(hashed: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """``id, id2, component`` of the lines that link, of ``hashed`` (id, id2, keys) with texts in ``lines`` (id, id2, line)."""
+    keys = hashed.where("keys is not null").select("id", F.posexplode("keys").alias("at", "key"))
+    live = checkpoint(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
+    met = checkpoint(keys.join(small(live), "key").groupBy("key", "id").agg((F.min("at") <= edits).alias("indexed")))
+    wanted = checkpoint(met.select("id").distinct())
+    texts = lines.join(small(wanted), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line"))
+    texts = checkpoint(texts.select("id", "id2", "line", F.monotonically_increasing_id().alias("node"), letters_of(F.col("line")).alias("letters"), words_of(F.col("line")).alias("words")))
+    signed = texts.select("id", "node", "letters", "words", F.explode(chunks_of(F.col("letters"), edits)).alias("chunk"))
+    cells = met.join(signed, "id").select(F.xxhash64("key", "chunk").alias("cell"), "node", "indexed", "letters", "words")
+    cells = checkpoint(more_than_one(cells, "cell", "node").withColumn("c", F.col("node")))
+    pair = [F.least("node", "by").alias("a"), F.greatest("node", "by").alias("b")]
+    links, comps = None, None
+    for turn in range(ROUNDS):
+        least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("by"), F.col("letters").alias("by_letters"), F.col("words").alias("by_words")))
+        pivots = cells.groupBy("cell").agg(least.alias("p")).select("cell", "p.by", "p.by_letters", "p.by_words")
+        found = checkpoint(verified(cells.join(pivots, "cell").where(F.col("node") != F.col("by")).where(alike(edits)).select(*pair).distinct(), texts, edits))
+        links = found if links is None else links.unionByName(found)
+        comps = connected_components(links).withColumnRenamed("id", "node")
+        cells = cells.drop("c").join(comps.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        cells = checkpoint(more_than_one(cells, "cell", "c"))
+    probes = cells.select("cell", F.col("node").alias("by"), F.col("c").alias("by_c"), F.col("letters").alias("by_letters"), F.col("words").alias("by_words"))
+    rest = cells.where("indexed").join(probes, "cell").where(F.col("c") != F.col("by_c")).where(alike(edits)).select(*pair).distinct()
+    comps = connected_components(links.unionByName(checkpoint(verified(rest, texts, edits))))
+    return comps.withColumnRenamed("id", "node").join(texts.select("node", "id", "id2"), "node").select("id", "id2", "component")
+
+
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``doc, of_text, place, near`` of each line that goes; ``near``: not equal to one that comes before it."""
-    lines = lines_of(docs, min_chars)
+    line, n = F.col("line"), F.length("line")
     ids = [F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2")]
-    hashed = (lines_of(docs, min_chars, True) if short else lines).select("doc", "of_text", "place", *ids)
+    hashed = lines_of(docs, min_chars, short).select("doc", "of_text", "place", *ids, F.when(n >= min_chars, line_keys(line, n, edits)).alias("keys"))
+    hashed = checkpoint(hashed)
+    comps = edit_components(hashed, lines_of(docs, min_chars).select(*ids, "line"), edits)
     order = F.struct("doc", "place", "of_text")
-    equal = checkpoint(hashed.groupBy("id", "id2").agg(F.min(order).alias("first"), F.count("*").alias("n")))
-    n = F.length("line")
-    keyed = lines.select(*ids, F.struct(parity(F.col("line")).alias("words"), index_keys(F.col("line"), n, edits).alias("index"), probe_keys(F.col("line"), n, edits).alias("probe")).alias("k"))
-    keyed = keyed.groupBy("id", "id2").agg(F.first("k").alias("k"))  # equal lines meet here, those of a task before they move
-    index = keyed.select("id", "k.words", F.explode("k.index").alias("key"))
-    probes = keyed.select(F.col("id").alias("by"), F.col("k.words").alias("by_words"), F.explode("k.probe").alias("by_key"))
-    meet = (F.col("key") == F.col("by_key")) & (F.col("id") != F.col("by")) & alike(F.col("words"), F.col("by_words"), edits)
-    pairs = checkpoint(index.join(probes, meet).select(F.least("id", "by").alias("a"), F.greatest("id", "by").alias("b")).distinct())
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(small(wanted), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    texts = checkpoint(texts)
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    close = banded_distance(F.col("x"), F.col("y"), edits)
-    links = pairs.join(left, "a").join(right, "b").where(close <= edits).select("a", "b")
-    comps = connected_components(links)
-    grouped = equal.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    linked = grouped.where("component is not null")
-    firsts = linked.join(comps.select("component").distinct().withColumnRenamed("component", "c"), F.col("component") == F.col("c"), "left_semi").groupBy("component").agg(F.min("first").alias("group_first"))
-    per_line = grouped.join(firsts, "component", "left").select("id", "id2", "first", F.coalesce("group_first", "first").alias("keep"), "n").where("n > 1 or first <> keep")
-    out = hashed.join(per_line, ["id", "id2"]).where(F.struct("doc", "place", "of_text") != F.col("keep"))
-    return out.select("doc", "of_text", "place", (F.col("first") == F.struct("doc", "place", "of_text")).alias("near"))
+    equal = hashed.groupBy("id", "id2").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    linked = checkpoint(equal.join(comps, ["id", "id2"]))
+    kept = linked.groupBy("component").agg(F.min("first").alias("keep"))
+    kept = linked.join(kept, "component").select("id", "id2", "keep")
+    per_line = equal.join(kept, ["id", "id2"], "left").select("id", "id2", "first", F.coalesce("keep", "first").alias("keep"), "n").where("n > 1 or first <> keep")
+    out = hashed.select("doc", "of_text", "place", "id", "id2").join(per_line, ["id", "id2"]).where(order != F.col("keep"))
+    return out.select("doc", "of_text", "place", (F.col("first") == order).alias("near"))
 
 
 def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
@@ -202,7 +239,9 @@ def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     gone = gone.select(F.col("doc").alias("__doc"), F.col("of_text").alias("__of_text"), F.col("places").alias("__places"), F.col("n_near").alias("__near"))
     rows = keyed.join(gone, ["__doc", "__of_text"], "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n"))
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__places"))
+    kept = bind(lines, lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"))
+    kept = F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept)
     return rows.select(*[F.col(f"`{c}`") for c in names], kept.alias("kept"), F.size(lines).alias("n_lines"), F.coalesce(F.size("__places"), F.lit(0)).alias("n_gone"), F.coalesce("__near", F.lit(0)).alias("n_near"))
 
 

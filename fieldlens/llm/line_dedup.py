@@ -215,9 +215,9 @@ def edit_components(hashed: DataFrame, lines: DataFrame, edits: int) -> DataFram
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``doc, of_text, place, near`` of each line that goes; ``near``: not equal to one that comes before it."""
-    line, n = F.col("line"), F.length("line")
+    line, n = F.col("line"), F.col("n")
     ids = [F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit("second")).alias("id2")]
-    hashed = lines_of(docs, min_chars, short).select("doc", "of_text", "place", *ids, F.when(n >= min_chars, line_keys(line, n, edits)).alias("keys"))
+    hashed = lines_of(docs, min_chars, short).withColumn("n", F.length("line")).select("doc", "of_text", "place", *ids, F.when(n >= min_chars, line_keys(line, n, edits)).alias("keys"))
     hashed = checkpoint(hashed)
     comps = edit_components(hashed, lines_of(docs, min_chars).select(*ids, "line"), edits)
     order = F.struct("doc", "place", "of_text")
@@ -226,6 +226,7 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     kept = linked.groupBy("component").agg(F.min("first").alias("keep"))
     kept = linked.join(kept, "component").select("id", "id2", "keep")
     per_line = equal.join(kept, ["id", "id2"], "left").select("id", "id2", "first", F.coalesce("keep", "first").alias("keep"), "n").where("n > 1 or first <> keep")
+    per_line = checkpoint(per_line)  # so that the join below deals both sides out and can split a common line's rows
     out = hashed.select("doc", "of_text", "place", "id", "id2").join(per_line, ["id", "id2"]).where(order != F.col("keep"))
     return out.select("doc", "of_text", "place", (F.col("first") == order).alias("near"))
 

@@ -11,13 +11,17 @@ quarters of their union.  The join goes through these steps, all exact:
    Shingles of one set alone come before these, so its prefix of ``n - ceil(0.75 n) + 1`` reaches few or no shared ones.
 4. Sets with a common prefix shingle are compared.  Each shingle has a pivot among its sets, and each set joins the group of the
    pivot it meets most often; the sets of a group are all compared, in pairs of blocks.  That is done for ROUNDS choices of pivots, and
-   then for those pairs that were in no group together and still lie in different components.  (Within a component a further link changes nothing.)  Sets to compare are stored in a
+   then for those pairs that were in no group together and still lie in different components.  (Within a component a further link changes nothing.)
+   These pairs must also pass a bound: a set's signature has the parities of its shared shingles by hash, SIGNED bits, so that two sets differ
+   in at least as many shingles as their signatures in bits, and in those that one of them has alone.  Sets to compare are stored in a
    prefix tree in the global order, which the others walk: overlaps of common beginnings are shared, and a subtree goes as soon as
    what can still be gained on either side isn't enough.
 5. Components of the links that were found.
 
 Null and empty texts have the empty set and link with nothing.  Texts with one to four words have one shingle.  Documents with a null
-id link with nothing either, and their component is null.  Rows with one id are nodes of one name.  Ties don't matter.
+id link with nothing either, and their component is null.  Rows with one id but different texts are documents of their own that share a name.
+Ties don't matter.  Very long texts are taken whole; how many parts the work has goes by bytes.  Other columns are left out, whatever
+their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, chunks
@@ -39,6 +43,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 GROUP = 512
 #: Times that sets are grouped by pivots, each time by another choice of these.
 ROUNDS = 3
+#: Bits of a set's signature, a multiple of 64.
+SIGNED = 1024
+#: Bytes of text, or shingles, that make a part of its own worth while.
+PART_BYTES, PART_SHINGLES = 24_000_000, 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,7 +125,7 @@ def _cut(block: int, tokens: np.ndarray, owners: np.ndarray, parts: int) -> list
 
 
 def _blocks(parts: int, half: bool):
-    """Packs batches of (id, text[, k1, k2]); ``half``: the longer prefix only, 48 bits of each hash."""
+    """Packs batches of (id, text, hash of the text) or (id, text, k1, k2); ``half``: the longer prefix only, 48 bits of each hash."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -132,6 +140,8 @@ def _blocks(parts: int, half: bool):
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             known = np.asarray(pc.is_valid(ids))
             head = np.stack([np.asarray(pc.fill_null(ids, 0)).astype(np.int64), sizes, known.astype(np.int64), *np.array([set_key(s) for s in sets], np.int64).T])
+            if half:
+                head = np.vstack([head, np.asarray(b.column(2)).astype(np.int64)])
             rows = [(number % parts, number, 0, head.tobytes(), None, None)]
             taken = [s[: n - need(n) + longer(n)] if half else s for s, n in zip(sets, sizes.tolist())]
             owners = np.repeat(np.arange(len(sets)), list(map(len, taken)))
@@ -171,21 +181,21 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     for block, i, j in zip(blocks, cuts.tolist(), cuts[1:].tolist()):
         own = owners[i:j][shared[i:j]]
         if len(own):
-            rows.append((0, block, 1, np.bincount(own).astype(np.uint16).tobytes(), None, None))
+            rows.append((0, block, 1, np.bincount(own).astype(np.uint32).tobytes(), None, None))
     return pd.DataFrame(rows, columns=PACKED_KIND.names)
 
 
 def _alive(pdf: pd.DataFrame) -> pd.DataFrame:
     """The documents of a block, and whether step 2 leaves them."""
     heads = pdf[pdf["kind"] == 0]
-    ids, sizes, known, k1, k2 = np.frombuffer(heads["a"].iloc[0], np.int64).reshape(5, -1)
+    ids, sizes, known, k1, k2, of_text = np.frombuffer(heads["a"].iloc[0], np.int64).reshape(6, -1)
     counts = np.zeros(len(ids), np.int64)
     for x in pdf.loc[pdf["kind"] == 1, "a"]:
-        c = np.frombuffer(x, np.uint16)
+        c = np.frombuffer(x, np.uint32)
         counts[: len(c)] += c
     least = np.array([longer(need(n)) for n in sizes.tolist()])
     alive = (sizes > 0) & (counts >= least) & (known > 0)
-    return pd.DataFrame({"doc_id": pd.array(np.where(known, ids, 0), "Int64").copy(), "n": sizes, "k1": k1, "k2": k2, "alive": alive}).assign(doc_id=lambda d: d["doc_id"].mask(known == 0))
+    return pd.DataFrame({"doc_id": pd.array(np.where(known, ids, 0), "Int64").copy(), "n": sizes, "k1": k1, "k2": k2, "of_text": of_text, "alive": alive}).assign(doc_id=lambda d: d["doc_id"].mask(known == 0))
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,6 +210,12 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=PACKED_KIND.names)
 
 
+def _signature(tokens: np.ndarray) -> np.ndarray:
+    """Parities of how many tokens fall on each of SIGNED places, in 64-bit words."""
+    odd = np.bincount((tokens % np.uint64(SIGNED)).astype(np.int64), minlength=SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Each set's shared shingles, the rarest first, and those of them in its prefix."""
     heads, own = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
@@ -216,8 +232,8 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
             n = int(sizes[k])
             prefix = n - need(n) + 1 - (n - (j - i))
             if j > i and prefix > 0:
-                out.append((int(ids[k]), n, tokens[i:j].tobytes(), tokens[i : i + prefix].view(np.int64).tolist()))
-    return pd.DataFrame(out, columns=["rep", "n", "shared", "prefix"])
+                out.append((int(ids[k]), n, tokens[i:j].tobytes(), tokens[i : i + prefix].view(np.int64).tolist(), n - (j - i), _signature(tokens[i:j]).tolist()))
+    return pd.DataFrame(out, columns=["rep", "n", "shared", "prefix", "alone", "signature"])
 
 
 class Trie:
@@ -335,8 +351,16 @@ def _fits(n: str, m: str):
     return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
 
 
+def _may_link() -> Column:
+    """Whether sizes and signatures of the sets a and b allow that they link: seven times what one has alone is at most what both have."""
+    apart = F.col("alone_a") + F.col("alone_b")
+    for k in range(SIGNED // 64):
+        apart += F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b")))
+    return _fits("n_a", "n_b") & (apart * (DENOMINATOR + NUMERATOR) <= (F.col("n_a") + F.col("n_b")) * (DENOMINATOR - NUMERATOR))
+
+
 def link_sets(sets: DataFrame) -> DataFrame:
-    """Components of the ordered sets (rep, n, shared, prefix) that link with another: ``id, component``."""
+    """Components of the ordered sets (rep, n, shared, prefix, alone, signature) that link with another: ``id, component``."""
     words = checkpoint(sets.select("rep", "n", F.explode("prefix").alias("w")))
     shared = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1").select("w")
     words = checkpoint(words.join(shared, "w"))
@@ -354,32 +378,47 @@ def link_sets(sets: DataFrame) -> DataFrame:
     comps = connected_components(links)
     placed = grouped.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = placed.groupBy("w").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("w")
-    rest = checkpoint(placed.join(mixed, "w"))
-    names = ["n", "c", *(f"p{t}" for t in range(ROUNDS))]
+    signed = sets.select("rep", "alone", *[F.col("signature")[k].alias(f"s{k}") for k in range(SIGNED // 64)])
+    rest = checkpoint(placed.join(mixed, "w").join(signed, "rep"))
+    parted = ["c", *(f"p{t}" for t in range(ROUNDS))]
+    names = [*parted, "n", "alone", *(f"s{k}" for k in range(SIGNED // 64))]
     x, y = (rest.select("w", F.col("rep").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "ab")
     # sets of one group have been compared, those of one component need no further link
-    new = (F.col("a") < F.col("b")) & _fits("n_a", "n_b")
-    for c in names[1:]:
+    new = (F.col("a") < F.col("b")) & _may_link()
+    for c in parted:
         new &= F.col(f"{c}_a") != F.col(f"{c}_b")
     more = _verified(checkpoint(x.join(y, "w").where(new).select("a", "b").distinct()), sets)
     return connected_components(links.unionByName(more))
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+def _power(n: int) -> int:
+    return max(64, 1 << n.bit_length())
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, of_text, n_shingles, least, component_id`` of every document; ``least``: id and text hash of the first in its component."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(64, 1 << (rows.count() // 8000).bit_length())
-    packed = rows.mapInArrow(_blocks48(parts), PACKED)
-    known = checkpoint(packed.groupBy("part").applyInPandas(_counted, PACKED).groupBy("block").applyInPandas(_alive, "doc_id bigint, n bigint, k1 bigint, k2 bigint, alive boolean"))
-    reps = checkpoint(known.where("alive").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")))
-    texts = rows.join(reps.select("id", "k1", "k2"), "id").select("id", "text", "k1", "k2")
-    few = max(64, 1 << (reps.count() // 4000).bit_length())
+    parts = _power(int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES)
+    packed = rows.withColumn("of_text", F.xxhash64("text")).mapInArrow(_blocks48(parts), PACKED)
+    known = packed.groupBy("part").applyInPandas(_counted, PACKED).groupBy("block").applyInPandas(_alive, "doc_id bigint, n bigint, k1 bigint, k2 bigint, of_text bigint, alive boolean")
+    known = checkpoint(known)
+    name = F.struct("doc_id", "of_text")
+    reps = known.where("alive").groupBy("k1", "k2", "n").agg(F.min(name).alias("first"), F.min("doc_id").alias("id"))
+    reps = checkpoint(reps.withColumn("rep", F.monotonically_increasing_id()))
+    texts = rows.join(reps.select("id", "rep", "k1", "k2"), "id").select("rep", "text", "k1", "k2")
+    few = _power(int(reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // PART_SHINGLES)
     sets = texts.mapInArrow(_blocks(few, False), PACKED).groupBy("part").applyInPandas(_shared, PACKED)
-    sets = checkpoint(sets.groupBy("block").applyInPandas(_ordered, "rep bigint, n bigint, shared binary, prefix array<bigint>"))
-    comps = link_sets(sets)
-    named = reps.join(comps, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component_id"))
-    out = known.where("alive").join(named, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(known.where("not alive").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    sets = checkpoint(sets.groupBy("block").applyInPandas(_ordered, "rep bigint, n bigint, shared binary, prefix array<bigint>, alone bigint, signature array<bigint>"))
+    comps = link_sets(sets).withColumnRenamed("id", "rep")
+    named = reps.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("least")), "component").select("k1", "k2", "n", "least")
+    out = known.where("alive").join(named, ["k1", "k2", "n"]).unionByName(known.where("not alive").withColumn("least", name))
+    return out.select("doc_id", "of_text", F.col("n").alias("n_shingles"), "least", F.col("least.doc_id").alias("component_id"))
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    return linked(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def _blocks48(parts: int):
@@ -400,8 +439,8 @@ def _blocks48(parts: int):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns, without those that have an earlier near-duplicate; of rows with one id one stays."""
-    found = link_documents(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The documents, all their columns, without those that have an earlier near-duplicate, by id and then by text hash; of equal rows one stays."""
+    kept = linked(docs).where(F.struct("doc_id", "of_text") == F.col("least")).select(F.col("doc_id").alias("__id"), F.col("of_text").alias("__of_text")).distinct()
+    rows = docs.where("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("bigint"), "__of_text": F.xxhash64(F.col("text").cast("string"))})
+    rows = rows.join(kept, ["__id", "__of_text"], "left_semi").dropDuplicates(["__id", "__of_text"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

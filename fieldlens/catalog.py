@@ -282,8 +282,7 @@ FILL = ", f as (select *, last_value(pitch_x_m ignore nulls) over (partition by
 
 
 def filled(v) -> DataFrame:
-    w = windows.ordered(["seq"], "frame")
-    return v("ball").withColumn("x", windows.interpolate(F.col("pitch_x_m"), F.col("frame"), w))
+    return v("ball").withColumn("x", windows.interpolate(F.col("pitch_x_m"), F.col("frame"), ["seq"], "frame"))
 
 
 @query(FILL + " select seq, frame, round(x, 4) + 0e0 as x from x", "ball")
@@ -334,15 +333,6 @@ def ball_weight(v, t):
     return v("ball").withColumn("age", age).select("seq", "frame", r(F.when(F.col("status") == "detected", 1.0).when((F.col("status") == "predicted") & F.col("age").isNotNull(), F.exp(-F.col("age") / 6.0)).otherwise(0.0)).alias("w"))
 
 
-@query(f", h as (select seq, frame, status, x, last_value(case when status <> 'lost' then x end ignore nulls) over (partition by seq order by frame rows between unbounded preceding and current row) as held, frame - last_value(case when status <> 'lost' then frame end ignore nulls) over (partition by seq order by frame rows between unbounded preceding and current row) as age from ball) select seq, frame, case when status <> 'lost' then 'ball' when age <= 50 then 'holder' else 'centroid' end as source, round(case when status <> 'lost' then x when age <= 50 then held else 480e0 end, 4) as target from h", "ball")
-def handoff_target(v, t):
-    w = windows.ordered(["seq"], "frame")
-    seen = F.col("status") != "lost"
-    rows = v("ball").withColumn("age", windows.since(seen, F.col("frame"), w)).withColumn("held", F.last(F.when(seen, F.col("x")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    source = F.when(seen, "ball").when(F.col("age") <= 50, "holder").otherwise("centroid")
-    return rows.select("seq", "frame", source.alias("source"), r(F.when(seen, F.col("x")).when(F.col("age") <= 50, F.col("held")).otherwise(480.0)).alias("target"))
-
-
 @query(f", c as (select seq, frame, case when x is null then 480e0 else greatest(320e0, least(x, 640e0)) end as cx from ball), d as (select *, cx - lag(cx) over w as v from c {BALL_W}), e as (select *, v - lag(v) over w as a from d {BALL_W}), f as (select *, a - lag(a) over w as j from e {BALL_W}) select seq, round(avg(abs(a)), 4) as accel, round(avg(abs(j)), 4) as jerk, round(avg(case when cx in (320e0, 640e0) then 1e0 else 0e0 end), 4) as clamped from f group by seq", "ball")
 def crop_jerk(v, t):
     w = windows.ordered(["seq"], "frame")
@@ -535,9 +525,7 @@ def iou_best_match(v, t):
 
 @query(PAIRS + " select cls, count(*) as n, round(avg(iou), 4) as mean_iou from p where iou > 0 group by cls", "boxes", "gt")
 def iou_pairs(v, t):
-    m = evaluation.best_overlaps
     a, b = v("boxes"), v("gt").select("frame", "cls", *[F.col(c).alias(f"g_{c}") for c in ("x", "y", "w", "h")])
-    del m
     p = a.join(b, ["frame", "cls"]).withColumn("iou", g.iou(("x", "y", "w", "h"), ("g_x", "g_y", "g_w", "g_h"))).where("iou > 0")
     return p.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), r(F.avg("iou")).alias("mean_iou"))
 
@@ -546,7 +534,7 @@ def iou_pairs(v, t):
 def greedy_detection_match(v, t):
     b = v("gt").select("frame", "cls", *[F.col(c).alias(f"g_{c}") for c in ("det_id", "x", "y", "w", "h")])
     p = v("boxes").join(b, ["frame", "cls"]).withColumn("iou", g.iou(("x", "y", "w", "h"), ("g_x", "g_y", "g_w", "g_h"))).where("iou >= 0.5")
-    return joins.greedy_matches(p, ["frame", "cls"], "iou", "det_id", "g_det_id").select("frame", "cls", "det_id", "g_det_id", r("iou").alias("iou"))
+    return joins.greedy_matches(p, ["frame", "cls"], "iou", "det_id", "g_det_id", first="conf").select("frame", "cls", "det_id", "g_det_id", r("iou").alias("iou"))
 
 
 @query("select cls, count(case when conf >= 0.25 and y_true = 1 then 1 end) as tp, count(case when conf >= 0.25 and y_true = 0 then 1 end) as fp, count(case when conf < 0.25 and y_true = 1 then 1 end) as fn, round(count(case when conf >= 0.25 and y_true = 1 then 1 end) / nullif(count(case when conf >= 0.25 then 1 end), 0), 4) as \"precision\", round(count(case when conf >= 0.25 and y_true = 1 then 1 end) / nullif(count(case when y_true = 1 then 1 end), 0), 4) as recall from scored group by cls", "scored")
@@ -603,7 +591,7 @@ CENTRES = ", an as (select max(case when crop_idx = 0 then embedding end) as a,
 def nearest_centroid(v, t):
     c = v("crops")
     anchors = c.where("crop_idx in (0, 1)").agg(F.max(F.when(F.col("crop_idx") == 0, F.col("embedding"))).alias("a"), F.max(F.when(F.col("crop_idx") == 1, F.col("embedding"))).alias("b"))
-    rows = c.join(F.broadcast(anchors)).withColumn("da", g.squared_distance("embedding", "a")).withColumn("db", g.squared_distance("embedding", "b"))  # one row
+    rows = c.join(anchors).withColumn("da", g.squared_distance("embedding", "a")).withColumn("db", g.squared_distance("embedding", "b"))  # one row
     return rows.select("crop_idx", big(F.when(F.col("db") < F.col("da"), 1).otherwise(0)).alias("cluster"), r(F.sqrt(F.least("da", "db"))).alias("d"))
 
 
@@ -611,7 +599,7 @@ def nearest_centroid(v, t):
 def anchor_cosine(v, t):
     c = v("crops")
     anchor = c.where("crop_idx = 0").select(F.col("embedding").alias("a"))
-    return c.join(F.broadcast(anchor)).select("crop_idx", r(evaluation.anchor_similarity(c, "embedding", F.col("a"))).alias("similarity"))
+    return c.join(anchor).select("crop_idx", r(evaluation.anchor_similarity(c, "embedding", F.col("a"))).alias("similarity"))
 
 
 @query("select crop_idx from crops where 1 / (1 + exp(-(list_sum(list_transform(embedding, lambda x: x::double * 0.8e0)) + 0.1e0))) >= 0.5", "crops")
@@ -674,11 +662,6 @@ def relink_chain(v, t):
     return folds.resolve_chains(links)
 
 
-@query(SHORT + " select cause, count(*) as n from (select case when n_frames < 4 then 'BLIP' when abs(x1) > 48 or abs(y1) > 31 then 'EDGE' when f1 >= 60 then 'GENUINE_END' when sqrt(vx1 * vx1 + vy1 * vy1) > 7 then 'FAST_MOTION' else 'OCCLUSION' end as cause from ends) group by cause", "trk")
-def break_causes(v, t):
-    return identity.break_causes(identity.endpoints(short_tracks(v), dt=0.4), F.lit(60), blip=4).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(", f as (select seq, track_id, cast(floor((min(frame) - 1) / 2e0) as bigint) as minute from trk group by seq, track_id), c as (select seq, minute, count(*) as n from f group by seq, minute), sp as (select seq, unnest(range(0, cast(floor((max(frame) - 1) / 2e0) as bigint) + 1)) as minute from trk group by seq) select sp.seq, sp.minute, coalesce(n, 0) as new_ids, cast(sum(coalesce(n, 0)) over (partition by sp.seq order by sp.minute) as bigint) as total_ids from sp left join c on c.seq = sp.seq and c.minute = sp.minute", "trk")
 def id_accumulation(v, t):
     return metrics.id_accumulation(v("trk"), fps=1 / 30)
@@ -706,22 +689,10 @@ def ball_plausibility(v, t):
     return v("features").groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("n_detected"), r(F.avg(F.col("detected").cast("double"))).alias("detected_share"), F.count_if(F.col("speed") > 11).alias("fast"), *[r(F.expr(f"percentile(speed, {q})")).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])
 
 
-@query(", z as (select frame, status, bool_or(d <= 60) as near, bool_or(abs(b_x - cx) <= 12 and b_y between cy - h / 2e0 and cy - h / 2e0 + 0.18e0 * h) as head from touch group by frame, status) select cause, count(*) as n from (select case when status = 'lost' then 'miss' when head then 'head' when not near then 'noplayer' else 'ok' end as cause from z) group by cause", "touch")
-def ball_fp_diagnosis(v, t):
-    head = (F.abs(F.col("b_x") - F.col("cx")) <= 12) & F.col("b_y").between(F.col("cy") - F.col("h") / 2, F.col("cy") - F.col("h") / 2 + 0.18 * F.col("h"))
-    z = v("touch").groupBy("frame", "status").agg(F.bool_or(F.col("d") <= 60).alias("near"), F.bool_or(head).alias("head"))
-    return z.select(F.when(F.col("status") == "lost", "miss").when(F.col("head"), "head").when(~F.col("near"), "noplayer").otherwise("ok").alias("cause")).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(", z as (select frame, bool_or(d <= 60) as near from touch where status <> 'lost' group by frame) select round(avg(case when near then 0e0 else 1e0 end), 4) as fp_noplayer, count(*) as n from z", "touch")
-def fp_latch_rate(v, t):
-    return touching(v).groupBy("frame").agg(F.bool_or(F.col("d") <= 60).alias("near")).agg(r(F.avg((~F.col("near")).cast("double"))).alias("fp_noplayer"), F.count(F.lit(1)).alias("n"))
-
-
-@query(", s as (select frame, count(*) as n, count(case when abs(x - 640) <= 100 and abs(y - 300) <= 100 then 1 end) as centre, count(case when x < 640 then 1 end) as l, count(case when x >= 640 then 1 end) as rr from boxes group by frame), k as (select frame from s where n >= 4 and centre <= 2 and l >= 2 and rr >= 2), m as (select frame, case when frame - lag(frame) over (order by frame) <= 20 then 0 else 1 end as nw from k), g as (select *, sum(nw) over (order by frame) as run from m) select min(frame) as start, max(frame) as \"end\", count(*) as n_rows from g group by run", "boxes")
+@query(", s as (select frame, count(*) as n, count(case when abs(x - 640) <= 100 and abs(y - 300) <= 100 then 1 end) as centre, count(case when x < 640 then 1 end) as l, count(case when x >= 640 then 1 end) as rr from boxes group by frame), k as (select frame from s where n >= 4 and centre <= 2 and l >= 2 and rr >= 2), m as (select frame, frame // 4096 as part, case when frame - lag(frame) over (partition by frame // 4096 order by frame) <= 20 then 0 else 1 end as nw from k), g as (select *, sum(nw) over (partition by part order by frame) as run from m) select min(frame) as start, max(frame) as \"end\", count(*) as n_rows from g group by part, run", "boxes")
 def kickoff_anchors(v, t):
     s = v("boxes").groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(F.col("x") - 640) <= 100) & (F.abs(F.col("y") - 300) <= 100)).alias("centre"), F.count_if(F.col("x") < 640).alias("l"), F.count_if(F.col("x") >= 640).alias("rr"))
-    k = s.where("n >= 4 and centre <= 2 and l >= 2 and rr >= 2").withColumn("seq", F.lit(0))
+    k = s.where("n >= 4 and centre <= 2 and l >= 2 and rr >= 2").withColumn("seq", F.floor(F.col("frame") / 4096))
     return windows.islands(k, ["seq"], "frame", 20).drop("seq")
 
 
@@ -782,9 +753,7 @@ def job_progress(v, t):
 @query("select l_orderkey as frame, pk, dense_rank() over (order by first, pk) as new_id from (select l_orderkey, l_partkey as pk, min(l_orderkey) over (partition by l_partkey) as first from lineitem)")
 def mot_reindex(v, t):
     li = t("lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("pk"))
-    first = li.groupBy("pk").agg(F.min("frame").alias("first"))
-    ids = first.withColumn("new_id", big(F.row_number().over(Window.orderBy("first", "pk"))))  # a row for each identity
-    return li.join(ids.drop("first"), "pk").select("frame", "pk", "new_id")
+    return files.reindexed(li, "pk", "frame", "new_id").select("frame", "pk", "new_id")
 
 
 @query("select frame, det_id, round((x + w / 2) / 1280, 4) as cx, round((y + h / 2) / 720, 4) as cy, round(w / 1280, 4) as w, round(h / 720, 4) as h from boxes where frame % 5 = 1 and w > 0 and h > 0", "boxes")
@@ -793,9 +762,9 @@ def yolo_normalise(v, t):
     return v("boxes").where("(frame - 1) % 5 = 0 and w > 0 and h > 0").select("frame", "det_id", r(cx).alias("cx"), r(cy).alias("cy"), r(w).alias("w"), r(h).alias("h"))
 
 
-@query("select code, count(*) as n from (select case when contains(lower(p_type), 'brass') then 0 when regexp_matches(lower(p_type), 'steel|copper') then 1 end as code from (select replace(p_type, ' ', '') as p_type from part)) where code is not null group by code")
+@query("select code, count(*) as n from (select case when lower(p_type) = 'promo' then 0 when lower(p_type) in ('small', 'large') then 1 end as code from part) where code is not null group by code")
 def class_remap(v, t):
-    name = F.regexp_replace(F.regexp_replace(F.lower(F.replace(F.col("p_type"), F.lit(" "), F.lit(""))), "brass", "ball"), "steel|copper", "player")
+    name = F.regexp_replace(F.regexp_replace("p_type", "PROMO", "Match Ball"), "SMALL|LARGE", "Goalkeeper 1")
     return t("part").select(files.class_code(name).alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -854,3 +823,6 @@ def stream_sessions(v, t):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def stream_window_counts(v, t):
     return live.counts_by_window(t("events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+from . import catalog_extra  # noqa: E402, F401  (registers more queries)

@@ -76,19 +76,25 @@ def band_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, lo
 
 def contained(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, keys: Sequence[str]) -> DataFrame:
     """JN21: points with ``covered``: whether any range of their key holds them."""
-    hit = points.join(ranges.select(*keys, start, end), [*keys], "left").withColumn("__in", F.col(at).between(F.col(start), F.col(end)))
-    return hit.groupBy(*points.columns).agg(F.coalesce(F.bool_or("__in"), F.lit(False)).alias("covered"))
+    own = points.withColumns({"__at": F.col(at), "__kind": F.lit(1), "__open": F.lit(0)})
+    opened = ranges.where(F.col(start) <= F.col(end))
+    ends = [opened.select(*keys, F.col(c).alias("__at"), F.lit(kind).alias("__kind"), F.lit(step).alias("__open")) for c, kind, step in ((start, 0, 1), (end, 2, -1))]
+    rows = own.unionByName(ends[0], allowMissingColumns=True).unionByName(ends[1], allowMissingColumns=True)
+    open_here = F.sum("__open").over(Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("covered", open_here > 0).where("__kind = 1").drop("__at", "__kind", "__open")
 
 
-def greedy_matches(pairs: DataFrame, group: Sequence[str], score: str, left: str, right: str) -> DataFrame:
-    """JN12, JN13: one-to-one matches of a group, the best score first, equals by left and right id.
+def greedy_matches(pairs: DataFrame, group: Sequence[str], score: str, left: str, right: str, first: str | None = None) -> DataFrame:
+    """JN13: one-to-one matches of a group, the best score first, equals by left and right id.
 
-    A group is one image or one chain of candidates, small by nature, and is walked in one Python call.
+    With ``first`` (JN12) left rows choose in turn, those of the highest ``first`` (a detection's confidence) before others, each the best
+    that is free.  A group is one image or one chain of candidates, small by nature, and is walked in one Python call.
     """
-    kind = pairs.select(*group, left, right, score).schema
+    kind = pairs.select(*group, left, right, score, *([first] if first else [])).schema
+    order = [(first, False), (left, True), (score, False), (right, True)] if first else [(score, False), (left, True), (right, True)]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values([c for c, _ in order], ascending=[up for _, up in order], kind="stable")
         used_l, used_r, keep = set(), set(), []
         for k, a, b in zip(zip(*(pdf[c] for c in group)), pdf[left], pdf[right]):
             ok = (k, a) not in used_l and (k, b) not in used_r
@@ -98,14 +104,31 @@ def greedy_matches(pairs: DataFrame, group: Sequence[str], score: str, left: str
                 used_r.add((k, b))
         return pdf[keep]
 
-    return in_batches(pairs.select(*group, left, right, score), group, walk, kind)
+    return in_batches(pairs.select(*kind.names), group, walk, kind)
 
 
 def in_batches(df: DataFrame, group: Sequence[str], f, kind) -> DataFrame:
-    """Applies ``f`` to many small groups at a time, whole ones: a call for each group costs more than most groups' work."""
-    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batch = F.pmod(F.xxhash64(*group), F.lit(n))
-    return df.groupBy(batch).applyInPandas(f, kind)
+    """Applies ``f`` to many small groups at a time, whole ones: a call for each group costs more than most groups' work.
+
+    Rows are dealt out and sorted by group; a task takes an Arrow batch after the other and keeps back only the last group of each.
+    """
+    group = list(group)
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            last = b[group].eq(b[group].iloc[-1]) | (b[group].isna() & b[group].iloc[-1].isna())
+            last = last.all(axis=1)
+            if not last.all():
+                yield f(b[~last].reset_index(drop=True))
+            rest = b[last]
+        if rest is not None and len(rest):
+            yield f(rest.reset_index(drop=True))
+
+    return df.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, kind)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -155,3 +178,34 @@ def optimal_matches(pairs: DataFrame, group: Sequence[str], cost: str, left: str
         return pd.concat([solve(x) for _, x in pdf.groupby(list(group), sort=False)])
 
     return in_batches(pairs.select(*group, left, right, cost), group, each, kind)
+
+
+def heaviest_matches(pairs: DataFrame, group: Sequence[str], worth: str, left: str, right: str) -> DataFrame:
+    """JN17: of each group (a sequence) the one-to-one matches of greatest total worth; pairs that aren't given are worth nothing.
+
+    The pairs are counts by two ids, so a group is as large as the product of the ids that meet in a sequence.
+    """
+    kind = pairs.select(*group, left, right, worth).schema
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = sorted(pdf[left].unique()), sorted(pdf[right].unique())
+        m, ia, ib = np.zeros((len(a), len(b))), {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
+        m[[ia[x] for x in pdf[left]], [ib[x] for x in pdf[right]]] = pdf[worth]
+        chosen = {(a[i], b[j]) for i, j in assign(-m) if m[i, j] > 0}
+        return pdf[[x in chosen for x in zip(pdf[left], pdf[right])]]
+
+    return in_batches(pairs.select(*group, left, right, worth), group, lambda pdf: pd.concat([solve(x) for _, x in pdf.groupby(list(group), sort=False)]), kind)
+
+
+def near_another(rows: DataFrame, keys: Sequence[str], frame: str, track: str, x: str, y: str, radius: float) -> DataFrame:
+    """JN18: the rows with ``occluded``: whether another track's row of the same frame is nearer than the radius.
+
+    Rows meet in squares as wide as the radius, their own and those around it.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    step = F.array(*map(F.lit, (-1, 0, 1)))
+    there = rows.select(*keys, frame, F.col(track).alias("__t"), F.col(x).alias("__x"), F.col(y).alias("__y"), cell(x).alias("__i"), cell(y).alias("__j"))
+    here = rows.select(*keys, frame, track, x, y).distinct().withColumn("__di", F.explode(step)).withColumn("__dj", F.explode(step)).withColumn("__i", cell(x) + F.col("__di")).withColumn("__j", cell(y) + F.col("__dj"))
+    apart = F.sqrt((F.col(x) - F.col("__x")) ** 2 + (F.col(y) - F.col("__y")) ** 2)
+    hit = here.join(there, [*keys, frame, "__i", "__j"]).where((F.col(track) != F.col("__t")) & (apart < radius)).select(*keys, frame, track, x, y).distinct()
+    return rows.join(hit.withColumn("__hit", F.lit(True)), [*keys, frame, track, x, y], "left").withColumn("occluded", F.coalesce("__hit", F.lit(False))).drop("__hit")

@@ -166,3 +166,25 @@ def tagging_volume(clips: DataFrame, seconds: Sequence[float] = (5.0, 10.0, 20.0
     """AG22: clips, and hours of work for each time that one takes."""
     one = clips.agg(F.count(F.lit(1)).alias("n_clips"), F.countDistinct("track_id").alias("n_tracks"))
     return one.select("n_clips", "n_tracks", F.explode(F.array(*[F.lit(s) for s in seconds])).alias("seconds_each")).withColumn("hours", F.col("n_clips") * F.col("seconds_each") / 3600)
+
+
+def possession_exclusions(timeline: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """AG12: why frames weren't counted (status, pitch_x_m, aerial, d): ``d`` is the nearest player's distance, null without players."""
+    return timeline.groupBy(*group, exclusion().alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def exclusion(most: float = 5.0) -> Column:
+    """AG12: the first reason that holds, ``counted`` if there is none."""
+    return (
+        F.when(F.col("status") == "lost", "no_ball_track").when(F.col("pitch_x_m").isNull(), "no_pitch").when(F.col("aerial"), "aerial")
+        .when(F.col("d").isNull(), "no_players").when(F.col("d") > most, "ball_too_far").otherwise("counted")
+    )
+
+
+def possession_strip(timeline: DataFrame, keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """WN25: stretches of one colour along the frames: who has the ball from where to where."""
+    w = ordered(list(keys), "frame")
+    colour = F.when(F.col("possession") == 1, "TeamA").when(F.col("possession") == 2, "TeamB").otherwise("none")
+    rows = timeline.withColumn("colour", colour)
+    rows = rows.withColumn("__run", F.sum(F.coalesce((F.col("colour") != F.lag("colour").over(w)).cast("int"), F.lit(1))).over(w))
+    return rows.groupBy(*keys, "__run", "colour").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).drop("__run")

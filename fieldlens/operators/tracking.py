@@ -19,9 +19,12 @@ class BallFilter:
     gate: float = 80.0
     max_gap: int = 12
     init_conf: float = 0.35
-    q_pos: float = 1.0
-    q_vel: float = 4.0
+    q_pos: float = 4.0
+    q_vel: float = 16.0
     r_meas: float = 9.0
+    #: Variances of a new track: of its place and of its speed.
+    p_pos: float = 16.0
+    p_vel: float = 100.0
     #: Basketball: a re-acquired ball must be seen so many frames in a row, and not be on a head.
     reacquire: int = 1
     reject_flag: str | None = None
@@ -52,7 +55,7 @@ class BallFilter:
                 pending = pending + 1 if best[2] >= self.init_conf else 0
                 if pending >= self.reacquire:
                     picked, missed = best, 0
-                    state, cov = np.array([best[0], best[1], 0.0, 0.0]), np.diag([self.r_meas] * 2 + [100.0] * 2)
+                    state, cov = np.array([best[0], best[1], 0.0, 0.0]), np.diag([self.p_pos] * 2 + [self.p_vel] * 2)
             if state is None:
                 out.append((f, "lost", None, None, None, None, len(dets), None))
             else:

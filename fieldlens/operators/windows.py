@@ -5,11 +5,14 @@ All take the key columns of a sequence and its order; a plan that chains them sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint
+
 
 def ordered(keys: Sequence[str], order: Sequence[str] | str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
@@ -34,12 +37,17 @@ def gradient(v: Column, w: WindowSpec) -> Column:
     return F.coalesce((nxt - prv) / 2, nxt - v, v - prv, F.lit(0.0))
 
 
-def interpolate(v: Column, i: Column, w: WindowSpec) -> Column:
+def reversed_order(keys: Sequence[str], order: str) -> WindowSpec:
+    """What comes after a row comes before it here: frames that begin at the first row are kept up from row to row."""
+    return Window.partitionBy(*keys).orderBy(F.desc(order))
+
+
+def interpolate(v: Column, i: Column, keys: Sequence[str], order: str) -> Column:
     """WN3: linear over gaps, held at the ends; 0 if nothing is known."""
     at = F.when(v.isNotNull(), i)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past, future = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (ordered(keys, order), reversed_order(keys, order)))
     v0, i0 = F.last(v, True).over(past), F.last(at, True).over(past)
-    v1, i1 = F.first(v, True).over(future), F.first(at, True).over(future)
+    v1, i1 = F.last(v, True).over(future), F.last(at, True).over(future)
     inside = v0 + (v1 - v0) * (i - i0) / F.nullif(i1 - i0, F.lit(0))
     return F.coalesce(v, inside, v0, v1, F.lit(0.0))
 
@@ -76,12 +84,6 @@ def longest(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(best).select(*keys, "__best.start", "__best.end")
 
 
-def run_of(mask: Column, w: WindowSpec) -> Column:
-    """Number of the run of equal ``mask`` values a row is in."""
-    change = F.coalesce((mask != F.lag(mask).over(w)).cast("int"), F.lit(0))
-    return change
-
-
 def longest_streak(df: DataFrame, keys: Sequence[str], order: str, mask: Column) -> DataFrame:
     """WN11: the most rows in a row for which ``mask`` holds, 0 if it never does."""
     w = ordered(keys, order)
@@ -102,3 +104,41 @@ def endpoint_velocity(v: Column, n: Column, at: Column, w: WindowSpec, k: int, d
     past = [F.lag(v, s).over(w) for s in range(1, k)]
     first = F.coalesce(*[F.when(steps == s, past[s - 1]) for s in range(1, k)]) if k > 1 else v
     return F.when(steps < 1, 0.0).otherwise((v - first) / (steps * dt))
+
+
+def held(v: Column, w: WindowSpec) -> Column:
+    """The last value that is known, up to this row."""
+    return F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def differences(v: Column, w: WindowSpec, n: int) -> Column:
+    """WN18: the ``n``-th difference between rows: 1 is velocity, 2 acceleration, 3 jerk."""
+    out = None
+    for k in range(n + 1):  # binomial weights
+        weight = (-1) ** k * math.comb(n, k)
+        term = weight * (v if k == 0 else F.lag(v, k).over(w))
+        out = term if out is None else out + term
+    return out
+
+
+def dead_where_missing(v: Column, known: Column) -> Column:
+    """WN4: a smoothed value, 0 where nothing was measured; applied after smoothing."""
+    return F.when(known, v).otherwise(0.0)
+
+
+def jumps(df: DataFrame, keys: Sequence[str], frame: str, conf: str, x: str, y: str) -> DataFrame:
+    """WN10: how far the most confident detection moves between frames that follow each other."""
+    best = df.groupBy(*keys, frame).agg(F.max_by(F.struct(x, y), F.struct(conf, F.negative(x), F.negative(y))).alias("p"))
+    w = ordered(keys, frame)
+    dx, dy = (F.col(f"p.{c}") - F.lag(F.col(f"p.{c}")).over(w) for c in (x, y))
+    follows = F.col(frame) - F.lag(frame).over(w) == 1
+    return best.withColumn("jump", F.when(follows, F.sqrt(dx * dx + dy * dy))).where("jump is not null").select(*keys, frame, "jump")
+
+
+def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Gapless numbers from 1 over a whole table in order: ranges are numbered in their partitions and moved on by the rows of those before."""
+    rows = checkpoint(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each partition
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.join(before, "__part").withColumn(name, (own + F.col("__before")).cast("bigint")).drop("__part", "__before")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp
 from ..operators.folds import emitted
-from ..operators.windows import islands, ordered
+from ..operators.windows import islands, ordered, reversed_order
 
 KEYS = ["seq"]
 
@@ -78,7 +78,8 @@ def lost_runs(f: DataFrame, frames: int, least: list[Column], most: list[Column]
     """Stretches without detection that lie between two detected rows, which come along as ``pre`` and ``post``."""
     w = ordered(KEYS, "i")
     here = F.when(F.col("detected"), F.struct("i", *least))
-    rows = f.withColumn("pre", F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("post", F.first(here, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = f.withColumn("pre", F.last(here, True).over(before(w))).withColumn("post", F.last(here, True).over(before(reversed_order(KEYS, "i"))))
     ends = [F.min_by("pre", "i").alias("pre"), F.max_by("post", "i").alias("post")]
     return islands(rows.where(~F.col("detected")), KEYS, "i", 3, frames, [*ends, *most]).where("pre is not null and post is not null")
 
@@ -100,21 +101,27 @@ def transitions(f: DataFrame, c: Football = Football()) -> DataFrame:
     """EV3: a fast ball over many frames that gets far up or down the pitch."""
     best = [_first_best(F.col("speed")).alias("peak"), F.avg("speed").alias("mean"), F.max_by("px", "i").alias("x1"), F.min_by("px", "i").alias("x0")]
     fast = islands(f.where(F.col("speed") > c.run_speed), KEYS, "i", c.bridge + 1, c.run_frames, best)
-    inside = fast.join(f.select("seq", "i", "speed"), "seq").where("i between start and end").groupBy("seq", "start", "end", "peak", "x0", "x1").agg(F.avg("speed").alias("mean"))
+    inside = during(fast, f.select("seq", "i", "speed")).groupBy("seq", "start", "end", "peak", "x0", "x1").agg(F.avg("speed").alias("mean"))
     rows = inside.withColumn("dx", F.abs(F.col("x1") - F.col("x0"))).where(F.col("dx") >= c.run_metres)
     return _event(rows.withColumn("confidence", clamp(0.4 + 0.4 * (F.col("dx") / 50.0) + 0.2 * (F.col("mean") / 15.0), 0.2, 0.95)), "fast_transition")
 
 
+def during(runs: DataFrame, frames: DataFrame, start: str | Column = "start", end: str | Column = "end") -> DataFrame:
+    """The runs with the frames (seq, i) from ``start`` to ``end``: a row for each place meets its frame by equality."""
+    place = F.explode(F.sequence(F.col(start) if isinstance(start, str) else start, F.col(end) if isinstance(end, str) else end))
+    return runs.withColumn("i", place).join(frames, ["seq", "i"])
+
+
 def ahead(f: DataFrame, events: DataFrame, n: int, *aggs: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """WN14: aggregates over the frames [end, end + n) of each event."""
     names = ["seq", "start", "end", "peak", "confidence", *keep]
-    w = events.select(*names).distinct().join(f, "seq").where((F.col("i") >= F.col("end")) & (F.col("i") < F.col("end") + n))
+    w = during(events.select(*names).distinct(), f, "end", F.col("end") + (n - 1))
     return w.groupBy(*names).agg(*aggs)
 
 
 def likely_goals(f: DataFrame, found: DataFrame, flights: DataFrame, c: Football = Football()) -> DataFrame:
     """EV4: after a shot the ball gets into the goal zone or goes dead; and flights that end close to a goal."""
-    last = F.broadcast(f.groupBy("seq").agg(F.max("i").alias("last")))  # a row for each sequence
+    last = f.groupBy("seq").agg(F.max("i").alias("last"))
     w = ahead(f, found, c.look_ahead, F.bool_or("in_goal_zone").alias("zone"), ((F.avg((~F.col("detected")).cast("double")) > 0.5) | (F.avg((F.col("possession") == 0).cast("double")) > 0.5)).alias("dead"))
     rows = w.where("zone or dead").join(last, "seq")
     conf = clamp(0.25 + 0.15 * F.col("zone").cast("int") + 0.1 * F.col("dead").cast("int") + 0.2 * F.col("confidence"), 0.15, 0.6)
@@ -133,9 +140,9 @@ def tackles(f: DataFrame, c: Football = Football()) -> DataFrame:
 
 def stoppages(f: DataFrame, c: Football = Football()) -> DataFrame:
     """EV6: the ball is slow or lost for long, and players stand close or nobody has it."""
-    middle = F.broadcast(f.groupBy("seq").agg(F.expr("percentile(spread, 0.5)").alias("middle")))
+    middle = f.groupBy("seq").agg(F.expr("percentile(spread, 0.5)").alias("middle"))
     runs = islands(f.where((F.col("speed") < c.halt_speed) | ~F.col("detected")), KEYS, "i", c.bridge + 1, c.halt_frames)
-    inside = runs.join(f.select("seq", "i", "spread", "possession"), "seq").where("i between start and end")
+    inside = during(runs, f.select("seq", "i", "spread", "possession"))
     per = inside.groupBy("seq", "start", "end").agg(F.avg("spread").alias("spread"), F.avg((F.col("possession") == 0).cast("double")).alias("free")).join(middle, "seq")
     rows = per.where("spread < middle or free > 0.6").withColumn("peak", F.col("start") + F.floor((F.col("end") - F.col("start")) / 2))
     return _event(rows.withColumn("confidence", clamp(0.25 + 0.1 * (F.col("end") - F.col("start")) / 50.0, 0.2, 0.55)), "stoppage_review")
@@ -161,7 +168,7 @@ def moments(events: DataFrame, frames: DataFrame, interest: dict[str, float] | N
     rows = rows.withColumn("__new", F.coalesce((F.col("peak") - F.lag("peak").over(w) > gap).cast("int"), F.lit(1))).withColumn("__at", F.row_number().over(w))
     rows = rows.withColumn("__c", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     per = rows.groupBy("seq", "__c").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.max_by("peak", F.struct("worth", -F.col("__at"))).alias("peak"), F.max("confidence").alias("confidence"), F.max("worth").alias("interest"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.count(F.lit(1)).alias("n_events"))
-    per = per.join(F.broadcast(frames), "seq").withColumn("start", F.greatest(F.lit(0), F.least("s", F.col("peak") - before))).withColumn("end", F.least(F.col("n") - 1, F.col("e") + after))
+    per = per.join(frames, "seq").withColumn("start", F.greatest(F.lit(0), F.least("s", F.col("peak") - before))).withColumn("end", F.least(F.col("n") - 1, F.col("e") + after))
     long = F.col("end") - F.col("start") > longest
     per = per.withColumn("__s", F.when(long, F.greatest(F.lit(0), F.col("peak") - longest // 2)).otherwise(F.col("start"))).withColumn("end", F.when(long, F.least(F.col("n") - 1, F.col("peak") + longest // 2)).otherwise(F.col("end")))
     out = per.select("seq", F.col("__s").alias("start"), "end", "peak", "confidence", "types", "n_events", *([F.round("interest", 3).alias("interest")] if interest else []))
@@ -186,7 +193,7 @@ def hoop_shots(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
     for hoop in ("left", "right"):
         x = _at_hoop(f, hoop)
         runs = lost_runs(x, c.lost_frames, ["d"], [F.min("d").alias("least")])
-        inside = runs.join(x.select("seq", "i", F.col("d").alias("dd")), "seq").where("i between start and end").groupBy("seq", "start", "end", "pre", "post").agg(F.min("dd").alias("least"))
+        inside = during(runs, x.select("seq", "i", F.col("d").alias("dd"))).groupBy("seq", "start", "end", "pre", "post").agg(F.min("dd").alias("least"))
         reach = F.least("least", "post.d")
         near = F.col("pre.d") - reach
         a = inside.where((near >= c.approach) & (reach <= c.rim + 1.5)).select("seq", F.col("pre.i").alias("start"), F.col("post.i").alias("end"), F.col("pre.i").alias("peak"), clamp(0.5 + 0.4 * near / 8.0, 0.35, 0.95).alias("confidence"))
@@ -201,7 +208,7 @@ def hoop_shots(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
 
 def made_baskets(f: DataFrame, found: DataFrame, c: Basketball = Basketball()) -> DataFrame:
     """EV10: the ball at the rim, then away from it or in other hands."""
-    last = F.broadcast(f.groupBy("seq").agg(F.max("i").alias("last")))
+    last = f.groupBy("seq").agg(F.max("i").alias("last"))
     out = None
     for hoop in ("left", "right"):
         x = _at_hoop(f, hoop)
@@ -221,7 +228,7 @@ def made_baskets(f: DataFrame, found: DataFrame, c: Basketball = Basketball()) -
 
 def blocks(f: DataFrame) -> DataFrame:
     """EV11: near the rim and heading for it, then sharply away."""
-    last = F.broadcast(f.groupBy("seq").agg(F.max("i").alias("last")))
+    last = f.groupBy("seq").agg(F.max("i").alias("last"))
     out = None
     for hoop in ("left", "right"):
         x = _at_hoop(f, hoop)
@@ -236,14 +243,14 @@ def fast_breaks(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
     """EV12: a fast ball over many frames that gets far along the court while the players stream one way."""
     x = f.withColumn("cx", F.col("px") / 4.0)
     runs = islands(x.where(F.col("speed") > c.break_speed), KEYS, "i", c.bridge + 1, c.break_frames, [_first_best(F.col("speed")).alias("peak"), F.max_by("cx", "i").alias("x1"), F.min_by("cx", "i").alias("x0")])
-    inside = runs.join(x.select("seq", "i", "stream"), "seq").where("i between start and end").groupBy("seq", "start", "end", "peak", "x0", "x1").agg(F.avg("stream").alias("stream"))
+    inside = during(runs, x.select("seq", "i", "stream")).groupBy("seq", "start", "end", "peak", "x0", "x1").agg(F.avg("stream").alias("stream"))
     rows = inside.withColumn("dx", F.abs(F.col("x1") - F.col("x0"))).where((F.col("dx") >= c.break_metres) & (F.abs("stream") > 2.0))
     return _event(rows.withColumn("confidence", clamp(0.45 + 0.35 * F.col("dx") / 20.0, 0.3, 0.9)), "fast_break")
 
 
 def steals(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
     """EV13: possession flips away from both hoops, those soon after one that counted left out."""
-    last = F.broadcast(f.groupBy("seq").agg(F.max("i").alias("last")))
+    last = f.groupBy("seq").agg(F.max("i").alias("last"))
     rows = f.where(F.col("flip") & (F.least("d_left", "d_right") >= 5.0))
     kept = emitted(rows, KEYS, "i", c.dedupe).join(last, "seq")
     kept = kept.select("seq", F.greatest(F.lit(0), F.col("i") - 10).alias("start"), F.least("last", F.col("i") + 10).alias("end"), F.col("i").alias("peak"), F.lit(0.4).alias("confidence"))
@@ -258,5 +265,9 @@ def basketball_events(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
 
 def label_plausibility(f: DataFrame, labels: DataFrame, reach: int = 38) -> DataFrame:
     """EV17: the highest speed near each label (seq, at) and the share of frames that are slower."""
-    top = labels.join(f, "seq").where(F.abs(F.col("i") - F.col("at")) <= reach).groupBy("seq", "at").agg(F.max("speed").alias("peak_speed"))
-    return top.join(f.select("seq", "speed"), "seq").groupBy("seq", "at", "peak_speed").agg(F.avg((F.col("speed") < F.col("peak_speed")).cast("double")).alias("slower"))
+    top = during(labels, f.select("seq", "i", "speed"), F.col("at") - reach, F.col("at") + reach).groupBy("seq", "at").agg(F.max("speed").alias("peak_speed"))
+    none = F.lit(None).cast("bigint")
+    both = f.where("speed is not null").select("seq", F.col("speed").alias("v"), none.alias("at"), F.lit(1).alias("frame")).unionByName(top.select("seq", F.col("peak_speed").alias("v"), F.col("at").cast("bigint").alias("at"), F.lit(0).alias("frame")))
+    below = F.sum("frame").over(Window.partitionBy("seq").orderBy("v", "frame").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = both.withColumn("slower", below / F.sum("frame").over(Window.partitionBy("seq"))).where("frame = 0")
+    return ranked.select("seq", "at", F.col("v").alias("peak_speed"), "slower")

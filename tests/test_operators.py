@@ -32,10 +32,10 @@ def test_edge_moving_average_as_numpy(spark, n):
 def test_gradient_and_interpolation_as_numpy(spark):
     v = [None, 1.0, None, None, 4.0, 9.0, None]
     w = windows.ordered(["seq"], "i")
-    got = series(spark, v).withColumn("f", windows.interpolate(F.col("v"), F.col("i"), w)).withColumn("d", windows.gradient(F.col("f"), w)).orderBy("i").toPandas()
+    got = series(spark, v).withColumn("f", windows.interpolate(F.col("v"), F.col("i"), ["seq"], "i")).withColumn("d", windows.gradient(F.col("f"), w)).orderBy("i").toPandas()
     want = np.interp(np.arange(7), [1, 4, 5], [1, 4, 9])
     assert np.allclose(got["f"], want) and np.allclose(got["d"], np.gradient(want))
-    assert series(spark, [None, None]).withColumn("f", windows.interpolate(F.col("v"), F.col("i"), w)).toPandas()["f"].tolist() == [0, 0]
+    assert series(spark, [None, None]).withColumn("f", windows.interpolate(F.col("v"), F.col("i"), ["seq"], "i")).toPandas()["f"].tolist() == [0, 0]
 
 
 def test_islands_bridge_exactly(spark):
@@ -141,7 +141,7 @@ def test_votes_prefer_the_least_of_equals(spark):
 
 def test_moments_cluster_and_cap(spark):
     ev = spark.createDataFrame([("s", "shot", 10, 12, 11, 0.5), ("s", "tackle_proxy", 50, 52, 51, 0.6), ("s", "shot", 92, 93, 92, 0.9), ("s", "shot", 500, 900, 600, 0.4)], "seq string, type string, start bigint, end bigint, peak bigint, confidence double")
-    got = events.moments(ev, spark.createDataFrame([("s", 1000)], "seq string, n bigint")).orderBy("start").collect()
+    got = events.moments(ev, spark.createDataFrame([("s", 1000)], "seq string, n bigint")).orderBy("start", "end").collect()
     assert [(r.start, r.end, r.peak, r.types) for r in got] == [(0, 102, 51, "shot,tackle_proxy"), (0, 143, 92, "shot"), (450, 750, 600, "shot")]
 
 

@@ -252,11 +252,11 @@ def clip_padding(v, t):
     return metrics.presence(v("trk")).select("track_id", F.col("start").alias("s"), big(a).alias("start"), big(b).alias("end"))
 
 
-COVER = RUNS + ", have as (select track_id, count(*) as n from runs where e - s + 1 >= 4 group by track_id), tracks as (select seq, track_id, count(*) as n_frames from trk group by seq, track_id having count(*) >= 5)"
+COVER = RUNS + ", have as (select track_id, count(*) as n from runs where e - s + 1 >= 10 group by track_id), tracks as (select seq, track_id, count(*) as n_frames from trk group by seq, track_id having count(*) >= 5)"
 
 
 def covered(v) -> tuple[DataFrame, DataFrame]:
-    return v("trk").groupBy("seq", "track_id").agg(F.count(F.lit(1)).alias("n_frames")), metrics.presence(v("trk"), min_len=4)
+    return v("trk").groupBy("seq", "track_id").agg(F.count(F.lit(1)).alias("n_frames")), metrics.presence(v("trk"), min_len=10)
 
 
 @query(COVER + " select seq, count(*) as n_tracks, count(case when n > 0 then 1 end) as via_involvement, count(case when coalesce(n, 0) = 0 then 1 end) as via_presence, min(coalesce(n, 0)) as least, cast(floor(median(coalesce(n, 0))) as bigint) as median, max(coalesce(n, 0)) as most from tracks left join have using (track_id) group by seq", "trk")
@@ -461,9 +461,9 @@ def bb_shots(v, t):
     return event(events.hoop_shots(v("features"), HOOPS), "hoop")
 
 
-@query(EV_BEST.format(b=7, c="speed > 6") + ", run as (select seq, min(i) as s, max(i) as e, arg_max(i, speed * 1e9 - i) as peak, abs(arg_max(px, i) / 4e0 - arg_min(px, i) / 4e0) as dx from g group by seq, run having max(i) - min(i) + 1 >= 4) select r.seq, 'fast_break' as type, r.s as start, r.e as \"end\", r.peak, round(least(greatest(0.45e0 + 0.35e0 * dx / 20e0, 0.3e0), 0.9e0), 2) as confidence from run r join features f on f.seq = r.seq and f.i between r.s and r.e where dx >= 0.5e0 group by r.seq, r.s, r.e, r.peak, dx having abs(avg(f.stream)) > 2", "features")
+@query(EV_BEST.format(b=7, c="speed > 2") + ", run as (select seq, min(i) as s, max(i) as e, arg_max(i, speed * 1e9 - i) as peak, abs(arg_max(px, i) / 4e0 - arg_min(px, i) / 4e0) as dx from g group by seq, run having max(i) - min(i) + 1 >= 2) select r.seq, 'fast_break' as type, r.s as start, r.e as \"end\", r.peak, round(least(greatest(0.45e0 + 0.35e0 * dx / 20e0, 0.3e0), 0.9e0), 2) as confidence from run r join features f on f.seq = r.seq and f.i between r.s and r.e where dx >= 0.1e0 group by r.seq, r.s, r.e, r.peak, dx having abs(avg(f.stream)) > 2", "features")
 def bb_fast_breaks(v, t):
-    return event(events.fast_breaks(v("features"), events.Basketball(break_frames=4, break_metres=0.5)))
+    return event(events.fast_breaks(v("features"), events.Basketball(break_speed=2.0, break_frames=2, break_metres=0.1)))
 
 
 def near_sql(hoop: str, cond: str, least: int, ahead: int, aggs: str) -> str:

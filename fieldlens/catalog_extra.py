@@ -139,9 +139,9 @@ def landmark_errors(v, t):
 # ---- signals
 
 
-@query(", s as (select *, case when frame - lag(frame) over w = 1 then (x_m - lag(x_m) over w) * 25 end as v from trk window w as (partition by seq, track_id order by frame)) select seq, frame, round(avg(v), 4) + 0e0 as stream from s group by seq, frame", "trk")
+@query(", s as (select *, case when frame - lag(frame) over w = 1 then (x_m - lag(x_m) over w) * 25 end as v from trk window w as (partition by seq, track_id order by frame)) select seq, frame, round(avg(v), 6) + 0e0 as stream from s group by seq, frame", "trk")
 def player_stream(v, t):
-    return signals.stream(v("trk"), ["seq"], "x_m").select("seq", "frame", r("stream").alias("stream"))
+    return signals.stream(v("trk"), ["seq"], "x_m").select("seq", "frame", r("stream", 6).alias("stream"))
 
 
 @query(", c as (select *, avg(x_m) over w as mx, avg(y_m) over w as my, count(*) over w as n from trk window w as (partition by seq, frame)), j as (select c.*, sqrt(pow(c.x_m - b.x_m, 2) + pow(c.y_m - b.y_m, 2)) / 0.04e0 as v from c left join trk b on b.seq = c.seq and b.track_id = c.track_id and b.frame = c.frame - 1) select seq, frame, count(*) as n, round(median(v), 3) as speed, round(case when count(*) >= 3 then avg(sqrt(pow(x_m - mx, 2) + pow(y_m - my, 2))) else 0e0 end, 4) as spread from j group by seq, frame", "trk")

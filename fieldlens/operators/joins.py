@@ -128,7 +128,8 @@ def in_batches(df: DataFrame, group: Sequence[str], f, kind) -> DataFrame:
         if rest is not None and len(rest):
             yield f(rest.reset_index(drop=True))
 
-    return df.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, kind)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as small rows may stand for much work
+    return df.repartition(n, *group).sortWithinPartitions(*group).mapInPandas(run, kind)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

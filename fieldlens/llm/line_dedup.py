@@ -198,7 +198,7 @@ def edit_components(hashed: DataFrame, lines: DataFrame, edits: int) -> DataFram
     cells = met.join(signed, "id").select(F.xxhash64("key", "chunk").alias("cell"), "node", "indexed", "letters", "words")
     cells = checkpoint(more_than_one(cells, "cell", "node").withColumn("c", F.col("node")))
     pair = [F.least("node", "by").alias("a"), F.greatest("node", "by").alias("b")]
-    links, comps = None, None
+    links = None
     for turn in range(ROUNDS):
         least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("by"), F.col("letters").alias("by_letters"), F.col("words").alias("by_words")))
         pivots = cells.groupBy("cell").agg(least.alias("p")).select("cell", "p.by", "p.by_letters", "p.by_words")
@@ -209,7 +209,8 @@ def edit_components(hashed: DataFrame, lines: DataFrame, edits: int) -> DataFram
         cells = checkpoint(more_than_one(cells, "cell", "c"))
     probes = cells.select("cell", F.col("node").alias("by"), F.col("c").alias("by_c"), F.col("letters").alias("by_letters"), F.col("words").alias("by_words"))
     rest = cells.where("indexed").join(probes, "cell").where(F.col("c") != F.col("by_c")).where(alike(edits)).select(*pair).distinct()
-    comps = connected_components(links.unionByName(checkpoint(verified(rest, texts, edits))))
+    found = checkpoint(verified(rest, texts, edits))
+    comps = connected_components(found if links is None else links.unionByName(found))
     return comps.withColumnRenamed("id", "node").join(texts.select("node", "id", "id2"), "node").select("id", "id2", "component")
 
 

@@ -8,9 +8,10 @@ Reading.  Spark cuts files into byte ranges and its line reader, with the gzip m
 candidates that start inside its range, read to the next magic even beyond the range's end.  A candidate is a record if it
 decompresses and what comes out begins with a WARC version line; a magic that is compressed data by chance fails this and is joined to
 the member that it belongs to.  Where such a member crosses into the next range, both tasks hand their parts on and the parts are joined by
-file and place.  Archives must not be named ``*.gz``: Spark would decompress them as one stream.
+file and place.  Spark would decompress files named ``*.gz`` as one stream; they are read under other names, by links of Hadoop's view file
+system that last for this read, and so are split like others.
 
-Null html is an empty payload.  Equal payloads of rows with one id are all ``response``; a null id can only refer, never be referred
+Null html is an empty payload.  Very long payloads are one record.  Other columns are left out, whatever their names.  Equal payloads of rows with one id are all ``response``; a null id can only refer, never be referred
 to, unless no row of its payload has one.  Empty tables give empty archives and no records.
 """
 
@@ -20,6 +21,7 @@ import base64
 import gzip
 import hashlib
 import re
+import uuid
 import zlib
 
 import pandas as pd
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import checkpoint, chunks
 
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member that holds nothing.
@@ -59,6 +61,7 @@ def write_archives(pages: DataFrame, path: str, smallest: int = SMALLEST, date:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     shared = rows.where(F.octet_length("html") >= smallest).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = checkpoint(shared)  # so that the join deals both sides out and can split a common payload's rows
     rows = rows.join(shared, "sha", "left").select("page_id", "url", "html", "first")
 
     def run(batches):
@@ -144,10 +147,21 @@ def _schema() -> pa.Schema:
     return pa.schema([("part", pa.int32()), ("path", pa.string()), ("at", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
 
+def _as_they_are(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between gzip magics in the files below ``path``, not decompressed whatever the files are called."""
+    reader = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1")
+    files = spark.read.text(path).inputFiles()
+    if not any(f.endswith(".gz") for f in files):
+        return reader.text(path)
+    view = f"archives-{uuid.uuid4().hex}"
+    for k, f in enumerate(files):
+        reader = reader.option(f"fs.viewfs.mounttable.{view}.link./{k}.warc", f)
+    return reader.text([f"viewfs://{view}/{k}.warc" for k in range(len(files))])
+
+
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """The records of all archives below ``path``: COLUMNS."""
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
-    lines = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    lines = _as_they_are(spark, path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
 
     def run(batches):
         kind, members, now = _schema(), Members(), None

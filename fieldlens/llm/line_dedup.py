@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, compact
 from .components import connected_components
 
 MIN_CHARS = 16
@@ -190,26 +190,26 @@ def edit_components(hashed: DataFrame, lines: DataFrame, edits: int) -> DataFram
     """``id, id2, component`` of the lines that link, of ``hashed`` (id, id2, keys) with texts in ``lines`` (id, id2, line)."""
     keys = hashed.where("keys is not null").select("id", F.posexplode("keys").alias("at", "key"))
     live = checkpoint(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
-    met = checkpoint(keys.join(small(live), "key").groupBy("key", "id").agg((F.min("at") <= edits).alias("indexed")))
-    wanted = checkpoint(met.select("id").distinct())
+    met = compact(keys.join(small(live), "key").groupBy("key", "id").agg((F.min("at") <= edits).alias("indexed")))
+    wanted = compact(met.select("id").distinct())
     texts = lines.join(small(wanted), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line"))
     texts = checkpoint(texts.select("id", "id2", "line", F.monotonically_increasing_id().alias("node"), letters_of(F.col("line")).alias("letters"), words_of(F.col("line")).alias("words")))
     signed = texts.select("id", "node", "letters", "words", F.explode(chunks_of(F.col("letters"), edits)).alias("chunk"))
     cells = met.join(signed, "id").select(F.xxhash64("key", "chunk").alias("cell"), "node", "indexed", "letters", "words")
-    cells = checkpoint(more_than_one(cells, "cell", "node").withColumn("c", F.col("node")))
+    cells = compact(more_than_one(cells, "cell", "node").withColumn("c", F.col("node")))
     pair = [F.least("node", "by").alias("a"), F.greatest("node", "by").alias("b")]
     links = None
     for turn in range(ROUNDS):
         least = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("by"), F.col("letters").alias("by_letters"), F.col("words").alias("by_words")))
         pivots = cells.groupBy("cell").agg(least.alias("p")).select("cell", "p.by", "p.by_letters", "p.by_words")
-        found = checkpoint(verified(cells.join(pivots, "cell").where(F.col("node") != F.col("by")).where(alike(edits)).select(*pair).distinct(), texts, edits))
+        found = compact(verified(cells.join(pivots, "cell").where(F.col("node") != F.col("by")).where(alike(edits)).select(*pair).distinct(), texts, edits))
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links).withColumnRenamed("id", "node")
         cells = cells.drop("c").join(comps.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        cells = checkpoint(more_than_one(cells, "cell", "c"))
+        cells = compact(more_than_one(cells, "cell", "c"))
     probes = cells.select("cell", F.col("node").alias("by"), F.col("c").alias("by_c"), F.col("letters").alias("by_letters"), F.col("words").alias("by_words"))
     rest = cells.where("indexed").join(probes, "cell").where(F.col("c") != F.col("by_c")).where(alike(edits)).select(*pair).distinct()
-    found = checkpoint(verified(rest, texts, edits))
+    found = compact(verified(rest, texts, edits))
     comps = connected_components(found if links is None else links.unionByName(found))
     return comps.withColumnRenamed("id", "node").join(texts.select("node", "id", "id2"), "node").select("id", "id2", "component")
 
@@ -223,7 +223,7 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     comps = edit_components(hashed, lines_of(docs, min_chars).select(*ids, "line"), edits)
     order = F.struct("doc", "place", "of_text")
     equal = hashed.groupBy("id", "id2").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    linked = checkpoint(equal.join(comps, ["id", "id2"]))
+    linked = compact(equal.join(comps, ["id", "id2"]))
     kept = linked.groupBy("component").agg(F.min("first").alias("keep"))
     kept = linked.join(kept, "component").select("id", "id2", "keep")
     per_line = equal.join(kept, ["id", "id2"], "left").select("id", "id2", "first", F.coalesce("keep", "first").alias("keep"), "n").where("n > 1 or first <> keep")

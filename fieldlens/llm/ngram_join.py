@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks
+from .common import checkpoint, chunks, compact
 from .components import Forest, connected_components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 GROUP = 512
 #: Times that sets are grouped by pivots, each time by another choice of these.
-ROUNDS = 3
+ROUNDS = 2
 #: Bits of a set's signature, a multiple of 64.
 SIGNED = 1024
 #: Bytes of text, or shingles, that make a part of its own worth while.
@@ -312,7 +312,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     others = others.join(sets.select(F.col("rep").alias("b"), "n", "shared"), "b").select("a", "salt", "b", "n", "shared")
     own = salts.join(sets.select(F.col("rep").alias("a"), "n", "shared"), "a")
     own = own.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "n", "shared")
-    return checkpoint(own.unionByName(others).groupBy("a", "salt").applyInPandas(_walk, "a bigint, b bigint"))
+    return compact(own.unionByName(others).groupBy("a", "salt").applyInPandas(_walk, "a bigint, b bigint"))
 
 
 def _among(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -344,7 +344,7 @@ def _within(groups: DataFrame, sets: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), (block <= k).alias("left")))
     dealt = sized.select("pivot", "rep", F.explode(each).alias("x")).select("pivot", "rep", "x.*").join(sets.select("rep", "n", "shared"), "rep")
-    return checkpoint(dealt.groupBy("pivot", "i", "j").applyInPandas(_among, "a bigint, b bigint"))
+    return compact(dealt.groupBy("pivot", "i", "j").applyInPandas(_among, "a bigint, b bigint"))
 
 
 def _fits(n: str, m: str):
@@ -361,25 +361,25 @@ def _may_link() -> Column:
 
 def link_sets(sets: DataFrame) -> DataFrame:
     """Components of the ordered sets (rep, n, shared, prefix, alone, signature) that link with another: ``id, component``."""
-    words = checkpoint(sets.select("rep", "n", F.explode("prefix").alias("w")))
+    words = compact(sets.select("rep", "n", F.explode("prefix").alias("w")))
     shared = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1").select("w")
-    words = checkpoint(words.join(shared, "w"))
+    words = compact(words.join(shared, "w"))
     grouped, links = words, None
     for turn in range(ROUNDS):
         pivots = grouped.groupBy("w").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("p")).select("w", F.col("p.rep").alias("pivot"))
         common = grouped.join(pivots, "w").groupBy("rep", "pivot").agg(F.count("*").alias("common"))
-        groups = checkpoint(common.groupBy("rep").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot")))
+        groups = compact(common.groupBy("rep").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot")))
         found = _within(groups, sets)
         links = found if links is None else links.unionByName(found)
         # on with the shingles whose sets aren't all in one group
         grouped = grouped.join(groups.withColumnRenamed("pivot", f"p{turn}"), "rep")
         apart = grouped.groupBy("w").agg(F.min(f"p{turn}").alias("lo"), F.max(f"p{turn}").alias("hi")).where("lo <> hi").select("w")
-        grouped = checkpoint(grouped.join(apart, "w"))
+        grouped = compact(grouped.join(apart, "w"))
     comps = connected_components(links)
     placed = grouped.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = placed.groupBy("w").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("w")
     signed = sets.select("rep", "alone", *[F.col("signature")[k].alias(f"s{k}") for k in range(SIGNED // 64)])
-    rest = checkpoint(placed.join(mixed, "w").join(signed, "rep"))
+    rest = compact(placed.join(mixed, "w").join(signed, "rep"))
     parted = ["c", *(f"p{t}" for t in range(ROUNDS))]
     names = [*parted, "n", "alone", *(f"s{k}" for k in range(SIGNED // 64))]
     x, y = (rest.select("w", F.col("rep").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "ab")
@@ -387,7 +387,7 @@ def link_sets(sets: DataFrame) -> DataFrame:
     new = (F.col("a") < F.col("b")) & _may_link()
     for c in parted:
         new &= F.col(f"{c}_a") != F.col(f"{c}_b")
-    more = _verified(checkpoint(x.join(y, "w").where(new).select("a", "b").distinct()), sets)
+    more = _verified(compact(x.join(y, "w").where(new).select("a", "b").distinct()), sets)
     return connected_components(links.unionByName(more))
 
 

@@ -429,16 +429,16 @@ def merge_moments(v, t):
     return events.moments(events.shots(f).unionByName(events.tackles(f)), sizes(f))
 
 
-@query(SHOT + ", lab as (select seq, i from features where i % 50 = 0) select l.seq, l.i, coalesce(bool_or(l.i between s.start and s.\"end\"), false) as covered from lab l left join shots s on s.seq = l.seq group by l.seq, l.i", "features")
+@query(SHOT + ", lab as (select seq, i from features where flip) select l.seq, l.i, coalesce(bool_or(l.i between s.start and s.\"end\"), false) as covered from lab l left join shots s on s.seq = l.seq group by l.seq, l.i", "features")
 def label_coverage(v, t):
     f = v("features")
-    return joins.contained(f.where("i % 50 = 0").select("seq", "i"), events.shots(f), "i", "start", "end", ["seq"])
+    return joins.contained(f.where("flip").select("seq", "i"), events.shots(f), "i", "start", "end", ["seq"])
 
 
-@query(", lab as (select seq, i as pos from features where i % 97 = 0), p as (select lab.seq, pos, max(speed) as top from lab join features f on f.seq = lab.seq and abs(f.i - pos) <= 38 group by lab.seq, pos) select p.seq, p.pos as \"at\", round(top, 4) as peak_speed, round(avg(case when f.speed < top then 1e0 else 0e0 end), 4) as slower from p join features f on f.seq = p.seq group by p.seq, p.pos, top", "features")
+@query(", lab as (select seq, i as pos from features where flip), p as (select lab.seq, pos, max(speed) as top from lab join features f on f.seq = lab.seq and abs(f.i - pos) <= 38 group by lab.seq, pos) select p.seq, p.pos as \"at\", round(top, 4) as peak_speed, round(avg(case when f.speed < top then 1e0 else 0e0 end), 4) as slower from p join features f on f.seq = p.seq group by p.seq, p.pos, top", "features")
 def label_plausibility(v, t):
     f = v("features")
-    return events.label_plausibility(f, f.where("i % 97 = 0").select("seq", F.col("i").alias("at"))).select("seq", "at", r("peak_speed").alias("peak_speed"), r("slower").alias("slower"))
+    return events.label_plausibility(f, f.where("flip").select("seq", F.col("i").alias("at"))).select("seq", "at", r("peak_speed").alias("peak_speed"), r("slower").alias("slower"))
 
 
 # ---- basketball events
@@ -491,11 +491,11 @@ def made_sql(hoop: str) -> str:
     )
 
 
-SH = ", sh as (select seq, 'shot_attempt' as type, i as start, i + 3 as \"end\", i as peak, 0.5e0 as confidence from features where i % 40 = 0), nn as (select seq, max(i) + 1 as n from features group by seq)"
+SH = ", sh as (select seq, 'shot_attempt' as type, i as start, i + 3 as \"end\", i as peak, 0.5e0 as confidence from features where flip and detected), nn as (select seq, max(i) + 1 as n from features group by seq)"
 
 
 def sample_shots(f: DataFrame) -> DataFrame:
-    return f.where("i % 40 = 0").select("seq", F.lit("shot_attempt").alias("type"), F.col("i").alias("start"), (F.col("i") + 3).alias("end"), F.col("i").alias("peak"), F.lit(0.5).alias("confidence"))
+    return f.where("flip and detected").select("seq", F.lit("shot_attempt").alias("type"), F.col("i").alias("start"), (F.col("i") + 3).alias("end"), F.col("i").alias("peak"), F.lit(0.5).alias("confidence"))
 
 
 @query(SH + made_sql("left") + made_sql("right") + " select * from l8 union all select * from r8", "features")

@@ -435,10 +435,10 @@ def label_coverage(v, t):
     return joins.contained(f.where("flip").select("seq", "i"), events.shots(f), "i", "start", "end", ["seq"])
 
 
-@query(", lab as (select seq, i as pos from features where flip), p as (select lab.seq, pos, max(speed) as top from lab join features f on f.seq = lab.seq and abs(f.i - pos) <= 38 group by lab.seq, pos) select p.seq, p.pos as \"at\", round(top, 4) as peak_speed, round(avg(case when f.speed < top then 1e0 else 0e0 end), 4) as slower from p join features f on f.seq = p.seq group by p.seq, p.pos, top", "features")
+@query(", lab as (select seq, i as pos from features where flip), p as (select lab.seq, pos, max(speed) as top from lab join features f on f.seq = lab.seq and abs(f.i - pos) <= 38 group by lab.seq, pos) select p.seq, p.pos as \"at\", round(top, 6) as peak_speed, round(avg(case when f.speed < top then 1e0 else 0e0 end), 4) as slower from p join features f on f.seq = p.seq group by p.seq, p.pos, top", "features")
 def label_plausibility(v, t):
     f = v("features")
-    return events.label_plausibility(f, f.where("flip").select("seq", F.col("i").alias("at"))).select("seq", "at", r("peak_speed").alias("peak_speed"), r("slower").alias("slower"))
+    return events.label_plausibility(f, f.where("flip").select("seq", F.col("i").alias("at"))).select("seq", "at", r("peak_speed", 6).alias("peak_speed"), r("slower").alias("slower"))
 
 
 # ---- basketball events

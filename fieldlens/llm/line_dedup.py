@@ -232,8 +232,8 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     return out.select("doc", "of_text", "place", (F.col("first") == order).alias("near"))
 
 
-def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """The documents with ``kept`` (the text without the lines that go), ``n_lines``, ``n_gone`` and ``n_near``."""
+def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False, named: tuple[str, str, str, str] = ("kept", "n_lines", "n_gone", "n_near")) -> DataFrame:
+    """The documents with ``kept`` (the text without the lines that go), ``n_lines``, ``n_gone`` and ``n_near``, or as ``named``; these take the place of columns with such names."""
     gone = duplicate_lines(docs, edits, min_chars, short).groupBy("doc", "of_text").agg(F.collect_set("place").alias("places"), F.count_if("near").alias("n_near"))
     doc, of_text = document_key()
     names = docs.columns
@@ -244,11 +244,12 @@ def with_kept_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__places"))
     kept = bind(lines, lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"))
     kept = F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept)
-    return rows.select(*[F.col(f"`{c}`") for c in names], kept.alias("kept"), F.size(lines).alias("n_lines"), F.coalesce(F.size("__places"), F.lit(0)).alias("n_gone"), F.coalesce("__near", F.lit(0)).alias("n_near"))
+    found = [kept, F.size(lines), F.coalesce(F.size("__places"), F.lit(0)), F.coalesce("__near", F.lit(0))]
+    return rows.select(*[F.col(f"`{c}`") for c in names if c.lower() not in named], *[x.alias(c) for x, c in zip(found, named)])
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """The documents, their texts without the lines that go; ``n_chars`` follows where there is one."""
-    rows = with_kept_text(docs, edits, min_chars, short)
-    columns = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    rows = with_kept_text(docs, edits, min_chars, short, ("__kept", "__lines", "__gone", "__near"))
+    columns = [F.col("__kept").alias(c) if c == "text" else F.length("__kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns)

@@ -11,7 +11,8 @@ Base.  Word counts of the whole corpus are gathered and given back in packed for
 word hashes a sorted array, and from each range to each block the sums for its documents.  No word list comes to the driver.
 
 Null and empty texts have the end as their only token.  Without training texts no word is known and the model is as initialised.
-Repeated rows are scored alike; a null id isn't held out.
+Repeated rows are scored alike; a null id isn't held out.  Ids that occur equally often are ranked by number.  Very long texts are scored
+whole, in as many windows as they need.  Other columns are left out, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ pair has changed since are skipped when their bucket is taken.  Many pre-tokens
 between them, so a bucket is merged for all of them by a few array operations; the work for one pre-token of n
 symbols stays O(n) queue operations however long it is.
 
-Null text counts as empty and gives no ids.  Repeated rows and ties have no influence: rows are independent.
+Null text counts as empty and gives no ids.  Repeated rows and ties have no influence: rows are independent.  Very long texts are encoded
+whole.  Other columns are left out, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

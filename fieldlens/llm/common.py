@@ -13,13 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where unset (tests) a folder of our own."""
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return shared or current.get()
     if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="fieldlens-checkpoint-")

@@ -5,6 +5,7 @@ every estimate is exact.  Sketches of parts merge into the sketch of the whole.
 space, in lower case; a text with one to four words has its word sequence as its only shingle.  Null counts as empty, and an
 empty text has an empty sketch: two of them are alike (1), one and another aren't (0).  Equal texts have equal sketches,
 whatever else differs.  Rows with equal ids follow each other by their text.  A null id comes before all others.
+Very long texts are taken whole.  Other columns are left out, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ score is the logistic of the sum of table entries.
 The model is fitted on the driver on at most ``MAX_TRAIN`` labelled rows (those of least hash); every document is scored, from its
 whole text.  Null and empty texts have all-zero features and are scored like any text.  Rows without a label, or with a label
 other than 0 or 1, don't train.  With no labelled rows every score is 0.5; with one class its rate.  Repeated rows
-and ties have no special treatment.
+and ties have no special treatment.  Very long texts are measured whole.  ``scored`` leaves other columns out and ``keep_good`` passes them
+through, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ and the sums, a few thousand rows whatever the size of the corpus.
 
 Null text has no bytes; a record weighs ``OVERHEAD`` bytes besides its text.  Null ids hash as null does.  Rows equal in id
 and text share a slot, and their places in it follow the order Spark meets them in.  Empty tables give an all-empty map.
+Equal texts of different ids may lie in different shards.  Very long texts are one record, whose slot weighs as much.  Other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations

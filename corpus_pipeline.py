@@ -10,7 +10,8 @@ the next one's ``docs``.  All but the last return the columns of the documents t
 4. ``packing``: the tokenised documents as sequences of at most 1024 ids, a row for each piece.
 
 Null and empty texts pass the stages as the operators define: scored like any text, without lines, linked with nothing, one end id.
-Rows that repeat an id are one document from stage 3 on.  Empty tables give empty results.
+Rows that repeat an id are one document from stage 3 on.  Of documents or lines that tie, the first by id (and place) stays.  Very long
+texts are taken whole in every stage.  Extra columns pass through the first three stages.  Empty tables give empty results.
 """
 
 from __future__ import annotations

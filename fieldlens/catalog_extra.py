@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import BALL_W, H, HX, HY, ORACLES, SHOT, big, query, r, short_tracks, touching
 from .functions import geometry as g
-from .operators import diagnosis, evaluation, folds, joins, metrics, projection, ranking, signals, windows
+from .operators import diagnosis, evaluation, folds, homography, joins, metrics, projection, ranking, signals, windows
 from .plans import events, jobs
 from .sources import files
 from .sources.shared import checkpoint, folder
@@ -34,6 +34,22 @@ def track_projection(v, t):
     return projection.on_pitch(v("boxes"), ball_matrices(v)).select("frame", "det_id", r("px").alias("px"), r("py").alias("py"))
 
 
+@query("select track_id, count(*) as n_points, 9e-2 as h0, 0e0 as holdout from boxes group by track_id having count(distinct (x, y)) >= 8", "boxes")
+def homography_fit(v, t):
+    px, py = g.project("x", "y", H)
+    marked = v("boxes").select("track_id", "x", "y", px.alias("u"), py.alias("v"))
+    enough = marked.groupBy("track_id").agg(F.count_distinct("x", "y").alias("n")).where("n >= 8")
+    fits = homography.fit_homographies(marked.join(enough, "track_id", "left_semi"), ["track_id"])
+    return fits.select("track_id", F.col("n_points").cast("bigint").alias("n_points"), r(F.col("h")[0]).alias("h0"), r("holdout").alias("holdout"))
+
+
+@query(None)
+def appearance_probe(v, t):
+    crops = v("crops")
+    weights, bias = evaluation.train_probe(crops.select("embedding", (F.col("hand") == "ref").cast("int").alias("ref")), "embedding", "ref")
+    return crops.select("crop_idx", r(evaluation.appearance_score("embedding", weights, bias)).alias("score"))
+
+
 @query("select seq, unnest(range(1, max(frame) + 1)) as frame, 9e-2 as scale from ball group by seq", "ball")
 def static_projection(v, t):
     still = v("ball").groupBy("seq").agg(F.max("frame").alias("n")).withColumn("h", F.array(*[F.lit(float(x)) for x in H]))

@@ -62,6 +62,16 @@ def appearance_score(vector: str, weights: Sequence[float], bias: float) -> Colu
     return 1 / (1 + F.exp(-(dot(vector, F.array(*[F.lit(float(w)) for w in weights])) + bias)))
 
 
+def train_probe(rows: DataFrame, vector: str, truth: str, decay: float = 1e-3, rounds: int = 300) -> tuple[list[float], float]:
+    """ML8: weights and bias of a logistic model of the vectors for ``appearance_score``, with a penalty on the weights' squares; rows with a null don't train."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    train = rows.where(F.col(vector).isNotNull() & F.col(truth).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(truth).cast("double").alias("label"))
+    model = LogisticRegression(regParam=decay, maxIter=rounds, standardization=False, family="binomial").fit(train)
+    return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
+
+
 def rmse_by_status(track: DataFrame, truth: DataFrame, keys: Sequence[str], within: float) -> DataFrame:
     """AG27: root mean squared error, count and share within a tolerance for each status."""
     rows = track.join(truth.select(*keys, F.col("x").alias("gx"), F.col("y").alias("gy")), list(keys)).withColumn("__d", distance("x", "y", "gx", "gy")).where("__d is not null")

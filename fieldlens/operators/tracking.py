@@ -189,22 +189,3 @@ def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
     h = np.linalg.inv(td) @ np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3) @ ts
     return h / h[2, 2]
-
-
-def fit_homographies(points: DataFrame, keys: Sequence[str], every: int = 5) -> DataFrame:
-    """FD11: ``h`` of each group fitted without every ``every``-th point, whose mean error is ``holdout``; columns x, y, u, v."""
-    kind = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y"])
-        src, dst = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float)
-        test = np.arange(len(src)) % every == every - 1
-        try:
-            h = homography(src[~test], dst[~test])
-        except ValueError:
-            return pd.DataFrame([], columns=[*keys, "h", "holdout"])
-        m = np.c_[src[test], np.ones(test.sum())] @ h.T
-        error = float(np.linalg.norm(m[:, :2] / m[:, 2:] - dst[test], axis=1).mean()) if test.any() else None
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), h.ravel().tolist(), error]], columns=[*keys, "h", "holdout"])
-
-    return points.groupBy(*keys).applyInPandas(run, f"{kind}, h array<double>, holdout double")

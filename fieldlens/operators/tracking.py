@@ -25,35 +25,50 @@ class BallFilter:
     #: Variances of a new track: of its place and of its speed.
     p_pos: float = 16.0
     p_vel: float = 100.0
-    #: Basketball: a re-acquired ball must be seen so many frames in a row, and not be on a head.
+    #: Basketball: how near to a player a ball must be that starts a track, and one that goes on with it; null: anywhere.
+    start_near: float | None = None
+    gate_near: float | None = None
+    #: With ``start_near``: after a miss so many frames in a row need a ball in the gate before one counts.
     reacquire: int = 1
-    reject_flag: str | None = None
+    #: Basketball: no detection on a head counts, or none while the ball is slower than this.
+    reject_head: bool = False
+    head_speed: float | None = None
 
-    def run(self, frames: dict[int, list[tuple[float, float, float, bool]]], last: int) -> list[tuple]:
-        """(frame, status, x, y, vx, vy, n_dets, picked_conf) for frames 1 to ``last``."""
+    def _allowed(self, det: tuple, speed: float, within: float | None) -> bool:
+        on_head = det[3] and (self.reject_head or (self.head_speed is not None and speed < self.head_speed))
+        return not on_head and (self.start_near is None or within is None or det[4] is None or det[4] <= within)
+
+    def run(self, frames: dict[int, list[tuple[float, float, float, bool, float | None]]], last: int) -> list[tuple]:
+        """(frame, status, x, y, vx, vy, n_dets, picked_conf) for frames 1 to ``last``.
+
+        A detection is its place, confidence, whether it is on a head, and how far from the nearest player (null: not known, counts as near).
+        """
         move = np.eye(4) + np.diag([1.0, 1.0], 2)
         noise = np.diag([self.q_pos] * 2 + [self.q_vel] * 2)
         state, cov, missed, pending, out = None, None, 0, 0, []
         for f in range(1, last + 1):
-            dets = [d for d in frames.get(f, []) if not (self.reject_flag and d[3])]
-            picked = None
+            dets, picked = frames.get(f, []), None
             if state is not None:
                 state, cov = move @ state, move @ cov @ move.T + noise
                 near = [(np.hypot(d[0] - state[0], d[1] - state[1]), d) for d in dets]
-                near = [x for x in near if x[0] <= self.gate]
-                if near:
+                speed = float(np.hypot(state[2], state[3]))
+                near = [x for x in near if x[0] <= self.gate and self._allowed(x[1], speed, self.gate_near)]
+                waits = bool(near) and self.start_near is not None and missed > 0 and pending + 1 < self.reacquire
+                if waits:  # the ball has to be seen again before it is followed
+                    pending, missed = pending + 1, missed + 1
+                elif near:
+                    pending = 0
                     picked = min(near, key=lambda x: x[0])[1]
                     gain = cov[:, :2] @ np.linalg.inv(cov[:2, :2] + np.eye(2) * self.r_meas)
                     state = state + gain @ (np.array(picked[:2]) - state[:2])
                     cov, missed = cov - gain @ cov[:2], 0
                 else:
-                    missed += 1
+                    pending, missed = 0, missed + 1
                     if missed > self.max_gap:
-                        state, pending = None, 0
-            if state is None and dets:
-                best = max(dets, key=lambda d: d[2])
-                pending = pending + 1 if best[2] >= self.init_conf else 0
-                if pending >= self.reacquire:
+                        state = None
+            if state is None:
+                best = max((d for d in dets if d[2] >= self.init_conf and self._allowed(d, 0.0, self.start_near)), key=lambda d: d[2], default=None)
+                if best:
                     picked, missed = best, 0
                     state, cov = np.array([best[0], best[1], 0.0, 0.0]), np.diag([self.p_pos] * 2 + [self.p_vel] * 2)
             if state is None:
@@ -66,16 +81,18 @@ class BallFilter:
 TRACK = "frame bigint, status string, x double, y double, vx double, vy double, n_dets bigint, picked_conf double"
 
 
-def kalman_track(detections: DataFrame, keys: Sequence[str], settings: BallFilter = BallFilter(), flag: str | None = None) -> DataFrame:
-    """FD2, FD3: a row for each frame up to the last one with detections (frame, x, y, conf)."""
+def kalman_track(detections: DataFrame, keys: Sequence[str], settings: BallFilter = BallFilter(), flag: str | None = None, near: str | None = None) -> DataFrame:
+    """FD2, FD3: a row for each frame up to the last one with detections (frame, x, y, conf); ``flag``: on a head; ``near``: distance from the nearest player."""
     kind = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keys)
     names = [c.split()[0] for c in TRACK.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frames: dict[int, list] = {}
         pdf = pdf.sort_values(["frame", "conf", "x", "y"], ascending=[True, False, True, True])
-        for f, x, y, c, g in zip(pdf["frame"], pdf["x"], pdf["y"], pdf["conf"], pdf[flag] if flag else [False] * len(pdf)):
-            frames.setdefault(int(f), []).append((x, y, c, bool(g)))
+        heads = pdf[flag].eq(True) if flag else [False] * len(pdf)
+        apart = [None if pd.isna(d) else float(d) for d in pdf[near]] if near else [None] * len(pdf)
+        for f, x, y, c, g, d in zip(pdf["frame"], pdf["x"], pdf["y"], pdf["conf"], heads, apart):
+            frames.setdefault(int(f), []).append((x, y, c, bool(g), d))
         out = pd.DataFrame(settings.run(frames, int(pdf["frame"].max())), columns=names)
         for k in reversed(list(keys)):
             out.insert(0, k, pdf[k].iloc[0])

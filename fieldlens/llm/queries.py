@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, bpe, fingerprints, line_dedup, near_embeddings, ngram_join, packing, quality_gam, sharding, warc
+from . import attention_lm, bpe, collocations, fingerprints, line_dedup, near_embeddings, ngram_join, packing, perplexity, quality_gam, resampling, sharding, warc
 from .common import shared_path, table
 
 
@@ -55,7 +55,21 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op3_prefix_tree, op4_additive_quality, op5_attention_lm, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k)}
+def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_projection_forest, op3_prefix_tree, op4_additive_quality, op5_attention_lm, op6_virtual_slots, op7_segment_lines, op8_warc_ranges, op9_best_fit_packing, op10_bottom_k, op11_kneser_ney, op12_phrase_automata, op13_importance_draw)}
+
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 _REACH = """
 both_ways as (select x, y from links union all select y, x from links),
@@ -90,5 +104,41 @@ select page_id, strlen(html) as payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, i * 5 + 1, 1)::int + 8 * substr(bits, i * 5 + 2, 1)::int + 4 * substr(bits, i * 5 + 3, 1)::int + 2 * substr(bits, i * 5 + 4, 1)::int + substr(bits, i * 5 + 5, 1)::int, 1)), '') as payload_digest,
        case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
 from f
+""",
+    "op12_phrase_automata": rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_CAPITALS}), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+grams as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from w, range(1, 5) t(k) where len(ws) >= k),
+f as (select lang, phrase, count(*)::bigint as f from grams group by lang, phrase),
+c as (select lang, phrase, f as a, string_split(phrase, ' ') as ws from f where f >= 30 and contains(phrase, ' ')),
+cuts as (select lang, phrase, a, k, array_to_string(ws[1:k], ' ') as x, array_to_string(ws[k + 1:], ' ') as y from (select *, unnest(range(1, len(ws))) as k from c)),
+scored as (select cuts.*, l.f as l, r.f as r, ((2000000::hugeint * a) // (l.f + r.f))::bigint as score from cuts join f l on l.lang = cuts.lang and l.phrase = x join f r on r.lang = cuts.lang and r.phrase = y),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+parts as (select lang, a, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from c, range(2, 4) t(k) where len(ws) > k),
+longer as (select lang, phrase, max(a) as a from parts group by lang, phrase)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from (select best.* from best left join longer using (lang, phrase) where longer.a is null or 100 * longer.a::hugeint < 80 * best.a::hugeint) join n using (lang)
+qualify rank <= 2000
+""",
+    "op13_importance_draw": rf"""
+with recursive bits as (select b, b as c, 0 as i from range(256) t(b) union all select b, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from bits where i < 8),
+crc as (select list(c order by b) as t from bits where i = 8),
+texts as (select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id::bigint, text from benchmark),
+w as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts),
+feats as (select kind, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as g from w),
+counted as (select kind, id, g, count(*) as n from feats group by kind, id, g),
+shaped as (select g, list_transform(range(0, strlen(g)), lambda i: ('0x' || hex(encode(g))[2 * i + 1:2 * i + 2])::bigint) as bytes from (select distinct g from counted)),
+hashed as (select g, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from shaped, crc),
+f as (select kind, id, bucket, sum(n) as n from counted join hashed using (g) group by kind, id, bucket),
+s as (select bucket, sum(n) as s from f where kind = 'd' group by bucket), t as (select bucket, sum(n) as t from f where kind = 'b' group by bucket),
+sums as (select coalesce((select sum(s) from s), 0) as su, coalesce((select sum(t) from t), 0) as tu),
+gain as (select bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (su + 10000))::double / ((s + 1) * (tu + 10000))::double))::bigint as gain from s left join t using (bucket), sums),
+weighed as (select id, sum(n)::bigint as n_features, floor(sum(n * gain)::double / sum(n))::bigint as weight from f join gain using (bucket) where kind = 'd' group by id),
+noisy as (select doc_id, ('0x' || sha256('7:' || doc_id)[:8])::bigint as h from documents),
+scored as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score, len(ws) >= 20 as eligible
+           from noisy join (select id, ws from w where kind = 'd') w on w.id = doc_id left join weighed on weighed.id = doc_id),
+placed as (select *, row_number() over (partition by eligible order by score desc, doc_id) as place, count(*) over (partition by eligible) as n from scored)
+select doc_id, n_features, weight, score, case when eligible and place <= 25 * n // 100 then place end as rank from placed
 """,
 }

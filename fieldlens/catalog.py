@@ -327,12 +327,6 @@ def teleport_guard(v, t):
     return folds.teleport_guard(v("ball"), ["seq"], "frame", "pitch_x_m", "pitch_y_m", 1.6).where("teleport").select("seq", "frame")
 
 
-@query(f", s as (select *, frame - last_value(case when status = 'detected' then frame end ignore nulls) over (partition by seq order by frame rows between unbounded preceding and current row) as age from ball) select seq, frame, round(case when status = 'detected' then 1e0 when status = 'predicted' and age is not null then exp(-age / 6e0) else 0e0 end, 4) as w from s", "ball")
-def ball_weight(v, t):
-    age = windows.since(F.col("status") == "detected", F.col("frame"), windows.ordered(["seq"], "frame"))
-    return v("ball").withColumn("age", age).select("seq", "frame", r(F.when(F.col("status") == "detected", 1.0).when((F.col("status") == "predicted") & F.col("age").isNotNull(), F.exp(-F.col("age") / 6.0)).otherwise(0.0)).alias("w"))
-
-
 @query(f", c as (select seq, frame, case when x is null then 480e0 else greatest(320e0, least(x, 640e0)) end as cx from ball), d as (select *, cx - lag(cx) over w as v from c {BALL_W}), e as (select *, v - lag(v) over w as a from d {BALL_W}), f as (select *, a - lag(a) over w as j from e {BALL_W}) select seq, round(avg(abs(a)), 4) as accel, round(avg(abs(j)), 4) as jerk, round(avg(case when cx in (320e0, 640e0) then 1e0 else 0e0 end), 4) as clamped from f group by seq", "ball")
 def crop_jerk(v, t):
     w = windows.ordered(["seq"], "frame")
@@ -463,7 +457,8 @@ def bb_shots(v, t):
 
 @query(EV_BEST.format(b=7, c="speed > 2") + ", run as (select seq, min(i) as s, max(i) as e, arg_max(i, speed * 1e9 - i) as peak, abs(arg_max(px, i) / 4e0 - arg_min(px, i) / 4e0) as dx from g group by seq, run having max(i) - min(i) + 1 >= 2) select r.seq, 'fast_break' as type, r.s as start, r.e as \"end\", r.peak, round(least(greatest(0.45e0 + 0.35e0 * dx / 20e0, 0.3e0), 0.9e0), 2) as confidence from run r join features f on f.seq = r.seq and f.i between r.s and r.e where dx >= 0.1e0 group by r.seq, r.s, r.e, r.peak, dx having abs(avg(f.stream)) > 2", "features")
 def bb_fast_breaks(v, t):
-    return event(events.fast_breaks(v("features"), events.Basketball(break_speed=2.0, break_frames=2, break_metres=0.1)))
+    on_court = v("features").withColumn("px", F.col("px") / 4.0)  # the view's places are of a pitch
+    return event(events.fast_breaks(on_court, events.Basketball(break_speed=2.0, break_frames=2, break_metres=0.1)))
 
 
 def near_sql(hoop: str, cond: str, least: int, ahead: int, aggs: str) -> str:
@@ -486,7 +481,7 @@ def bb_blocks(v, t):
 def made_sql(hoop: str) -> str:
     x = hoop[0]
     return near_sql(hoop, f"d_{hoop} < 1.8e0", 1, 50, f"bool_or(f.hd_{hoop} < -0.2e0) as away, bool_or(f.flip) as fl, arg_max(f.possession, f.i) as p1") + (
-        f", {x}6 as (select *, fl or (p1 <> 0 and p0 <> 0 and p1 <> p0) as turned from {x}5), {x}7 as (select *, coalesce(first_shot, rim) as anchor from (select h.*, n, min(case when h.rim between sh.start and sh.\"end\" + 5 then sh.peak end) as first_shot from {x}6 h join nn on nn.seq = h.seq left join sh on sh.seq = h.seq where away or turned group by all))"
+        f", {x}6 as (select *, fl or (p1 <> 0 and p0 <> 0 and p1 <> p0) as turned from {x}5), {x}7 as (select *, coalesce(first_shot, rim) as anchor from (select h.*, n, arg_min(sh.peak, sh.start) filter (where h.rim between sh.start and sh.\"end\" + 5) as first_shot from {x}6 h join nn on nn.seq = h.seq left join sh on sh.seq = h.seq where away or turned group by all))"
         f", {x}8 as (select seq, 'likely_made_basket' as type, least(anchor, s) as start, least(n - 1, least(n, e + 50)) as \"end\", anchor as peak, round(least(greatest(0.4e0 + 0.2e0 * away::int + 0.2e0 * turned::int, 0.3e0), 0.7e0), 2) as confidence, '{hoop}' as hoop from {x}7)"
     )
 
@@ -584,24 +579,6 @@ def outlier_roles(v, t):
     return identity.outlier_roles(votes(v), 0.8).select("track_id", "role")
 
 
-CENTRES = ", an as (select max(case when crop_idx = 0 then embedding end) as a, max(case when crop_idx = 1 then embedding end) as b from crops)"
-
-
-@query(CENTRES + ", s as (select crop_idx, list_sum(list_transform(list_zip(embedding, a), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))) as da, list_sum(list_transform(list_zip(embedding, b), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))) as db from crops, an) select crop_idx, cast(case when db < da then 1 else 0 end as bigint) as cluster, round(sqrt(least(da, db)), 4) as d from s", "crops")
-def nearest_centroid(v, t):
-    c = v("crops")
-    anchors = c.where("crop_idx in (0, 1)").agg(F.max(F.when(F.col("crop_idx") == 0, F.col("embedding"))).alias("a"), F.max(F.when(F.col("crop_idx") == 1, F.col("embedding"))).alias("b"))
-    rows = c.join(anchors).withColumn("da", g.squared_distance("embedding", "a")).withColumn("db", g.squared_distance("embedding", "b"))  # one row
-    return rows.select("crop_idx", big(F.when(F.col("db") < F.col("da"), 1).otherwise(0)).alias("cluster"), r(F.sqrt(F.least("da", "db"))).alias("d"))
-
-
-@query(CENTRES + " select crop_idx, round(list_sum(list_transform(list_zip(embedding, a), lambda x: x[1]::double * x[2]::double)) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) * list_sum(list_transform(a, lambda x: x::double * x::double))), 4) + 0e0 as similarity from crops, an", "crops")
-def anchor_cosine(v, t):
-    c = v("crops")
-    anchor = c.where("crop_idx = 0").select(F.col("embedding").alias("a"))
-    return c.join(anchor).select("crop_idx", r(evaluation.anchor_similarity(c, "embedding", F.col("a"))).alias("similarity"))
-
-
 @query("select crop_idx from crops where 1 / (1 + exp(-(list_sum(list_transform(embedding, lambda x: x::double * 0.8e0)) + 0.1e0))) >= 0.5", "crops")
 def appearance_filter(v, t):
     return v("crops").where(evaluation.appearance_score("embedding", [0.8] * 64, 0.1) >= 0.5).select("crop_idx")
@@ -643,7 +620,7 @@ def short_tracks(v) -> DataFrame:
 
 
 SHORT = ", s as (select seq, track_id * 100 + cast(floor((frame - 1) / 4) as bigint) as track_id, (track_id * 7) % 50 + frame * 2 as frame, x_m, y_m from trk), n as (select *, row_number() over (partition by track_id order by frame) as up, row_number() over (partition by track_id order by frame desc) as dn, count(*) over (partition by track_id) as n from s), ends as (select seq, track_id, min(frame) as f0, max(frame) as f1, count(*) as n_frames, max(case when up = 1 then x_m end) as x0, max(case when up = 1 then y_m end) as y0, max(case when dn = 1 then x_m end) as x1, max(case when dn = 1 then y_m end) as y1, coalesce((max(case when up = least(4, n) then x_m end) - max(case when up = 1 then x_m end)) / nullif((max(least(4, n)) - 1) * 0.4e0, 0), 0) as vx0, coalesce((max(case when up = least(4, n) then y_m end) - max(case when up = 1 then y_m end)) / nullif((max(least(4, n)) - 1) * 0.4e0, 0), 0) as vy0, coalesce((max(case when dn = 1 then x_m end) - max(case when dn = least(4, n) then x_m end)) / nullif((max(least(4, n)) - 1) * 0.4e0, 0), 0) as vx1, coalesce((max(case when dn = 1 then y_m end) - max(case when dn = least(4, n) then y_m end)) / nullif((max(least(4, n)) - 1) * 0.4e0, 0), 0) as vy1 from n group by seq, track_id)"
-LINKS = SHORT + ", pr as (select a.seq, a.track_id as a, b.track_id as b, b.f0 - a.f1 as df, sqrt(pow(a.x1 + a.vx1 * (b.f0 - a.f1) * 0.4e0 - b.x0, 2) + pow(a.y1 + a.vy1 * (b.f0 - a.f1) * 0.4e0 - b.y0, 2)) as d, sqrt(pow(a.x1 - b.x0, 2) + pow(a.y1 - b.y0, 2)) / ((b.f0 - a.f1) * 0.4e0) as implied, (a.vx1 * b.vx0 + a.vy1 * b.vy0) / nullif(sqrt(a.vx1 * a.vx1 + a.vy1 * a.vy1) * sqrt(b.vx0 * b.vx0 + b.vy0 * b.vy0), 0) as c from ends a join ends b on a.seq = b.seq and b.f0 - a.f1 between 1 and 8 and a.track_id <> b.track_id), cand as (select seq, a, b, df, d, d + 0.3e0 * df as score from pr where d <= 12 and implied <= 30 and coalesce(c >= -0.2e0, true))"
+LINKS = SHORT + ", pr as (select a.seq, a.track_id as a, b.track_id as b, b.f0 - a.f1 as df, sqrt(pow(a.x1 + a.vx1 * (b.f0 - a.f1) * 0.4e0 - b.x0, 2) + pow(a.y1 + a.vy1 * (b.f0 - a.f1) * 0.4e0 - b.y0, 2)) as d, sqrt(pow(a.x1 - b.x0, 2) + pow(a.y1 - b.y0, 2)) / ((b.f0 - a.f1) * 0.4e0) as implied, case when sqrt(a.vx1 * a.vx1 + a.vy1 * a.vy1) > 1 and sqrt(b.vx0 * b.vx0 + b.vy0 * b.vy0) > 1 then (a.vx1 * b.vx0 + a.vy1 * b.vy0) / (sqrt(a.vx1 * a.vx1 + a.vy1 * a.vy1) * sqrt(b.vx0 * b.vx0 + b.vy0 * b.vy0)) end as c from ends a join ends b on a.seq = b.seq and b.f0 - a.f1 between 1 and 8 and a.track_id <> b.track_id), cand as (select seq, a, b, df, d, d + 0.3e0 * df as score from pr where d <= 12 and implied <= 30 and coalesce(c >= -0.2e0, true))"
 
 
 def link_candidates(v) -> DataFrame:
@@ -684,40 +661,9 @@ def speed_band_time_share(v, t):
     return out.select("band", "n", r("pct").alias("pct"))
 
 
-@query(", n as (select seq, i, speed, detected, lag(speed) over (partition by seq order by i) as was from features) select seq, count(*) as n, count(case when detected then 1 end) as n_detected, round(avg(case when detected then 1e0 else 0e0 end), 4) as detected_share, count(case when speed > 11 then 1 end) as fast, round(quantile_cont(speed, 0.5), 4) as p50, round(quantile_cont(speed, 0.9), 4) as p90, round(quantile_cont(speed, 0.99), 4) as p99 from n group by seq", "features")
-def ball_plausibility(v, t):
-    return v("features").groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("n_detected"), r(F.avg(F.col("detected").cast("double"))).alias("detected_share"), F.count_if(F.col("speed") > 11).alias("fast"), *[r(F.expr(f"percentile(speed, {q})")).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])
-
-
-@query(", s as (select frame, count(*) as n, count(case when abs(x - 640) <= 100 and abs(y - 300) <= 100 then 1 end) as centre, count(case when x < 640 then 1 end) as l, count(case when x >= 640 then 1 end) as rr from boxes group by frame), k as (select frame from s where n >= 4 and centre <= 2 and l >= 2 and rr >= 2), m as (select frame, frame // 4096 as part, case when frame - lag(frame) over (partition by frame // 4096 order by frame) <= 20 then 0 else 1 end as nw from k), g as (select *, sum(nw) over (partition by part order by frame) as run from m) select min(frame) as start, max(frame) as \"end\", count(*) as n_rows from g group by part, run", "boxes")
-def kickoff_anchors(v, t):
-    s = v("boxes").groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(F.col("x") - 640) <= 100) & (F.abs(F.col("y") - 300) <= 100)).alias("centre"), F.count_if(F.col("x") < 640).alias("l"), F.count_if(F.col("x") >= 640).alias("rr"))
-    k = s.where("n >= 4 and centre <= 2 and l >= 2 and rr >= 2").withColumn("seq", F.floor(F.col("frame") / 4096))
-    return windows.islands(k, ["seq"], "frame", 20).drop("seq")
-
-
 # ---- grids, jobs, data sets
 
 
-GRID = {"buffer": [30, 60], "match": [0.7, 0.8, 0.9], "thresh": [0.25, 0.5]}
-
-
-@query("select 'buffer' || b || '_match' || m || '_thresh' || t as tag from (values ('30'), ('60')) x(b), (values ('0.7'), ('0.8'), ('0.9')) y(m), (values ('0.25'), ('0.5')) z(t)")
-def sweep_grid_full(v, t):
-    return grid_frame(t, "full")
-
-
-@query("select 'buffer' || b || '_match' || m || '_thresh' || t as tag from (values ('30', '0.7', '0.25'), ('60', '0.7', '0.25'), ('30', '0.8', '0.25'), ('30', '0.9', '0.25'), ('30', '0.7', '0.5')) x(b, m, t)")
-def sweep_grid_oat(v, t):
-    return grid_frame(t, "oat")
-
-
-def grid_frame(t, mode: str) -> DataFrame:
-    spark = t("region").sparkSession
-    rows = [({k: str(x) for k, x in c.items()},) for c in evaluation.expand_grid(GRID, mode)]
-    return spark.createDataFrame(rows, "config map<string,string>").select(evaluation.config_tag(F.col("config")).alias("tag"))
-
-
 @query("select job_id, sport from jobs where state = 'queued' order by created_at, job_id limit 5", "jobs")
 def job_queue_head(v, t):
     return jobs.queue_head(v("jobs"), 5).select("job_id", "sport")
@@ -780,16 +726,6 @@ def kalman_track(v, t):
     return tracking.kalman_track(ball_detections(v), ["seq"])
 
 
-@query(None)
-def butterworth_path(v, t):
-    return tracking.smooth_path(filled(v).select("seq", "frame", "x"), ["seq"], "frame", ["x"], 1.2, 25.0)
-
-
-@query(None)
-def rate_limited_path(v, t):
-    return folds.rate_limited(filled(v).select("seq", "frame", "x"), ["seq"], "frame", "x", 0.6, 0.05, 0.08, 0.5)
-
-
 @query(None)
 def hungarian_identity(v, t):
     p = v("boxes").join(v("gt").select("frame", F.col("track_id").alias("gt_id"), F.col("x").alias("gx"), F.col("y").alias("gy")), "frame")
@@ -797,32 +733,4 @@ def hungarian_identity(v, t):
     return joins.optimal_matches(p, ["frame"], "d", "det_id", "gt_id", 60.0)
 
 
-@query(None)
-def kmeans_teams(v, t):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    c = v("crops").select("crop_idx", array_to_vector("embedding").alias("features"))
-    return KMeans(k=2, seed=0, maxIter=50, tol=1e-4).fit(c).transform(c).select("crop_idx", F.col("prediction").alias("cluster"))
-
-
-@query(None)
-def pca_embed(v, t):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    c = v("crops").select("crop_idx", array_to_vector("embedding").alias("features"))
-    return PCA(k=8, inputCol="features", outputCol="low").fit(c).transform(c).select("crop_idx", vector_to_array("low").alias("low"))
-
-
-@query(None)
-def stream_sessions(v, t):
-    return live.sessions(t("events"))
-
-
-@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
-def stream_window_counts(v, t):
-    return live.counts_by_window(t("events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-
-
-from . import catalog_extra  # noqa: E402, F401  (registers more queries)
+from . import catalog_extra, catalog_more  # noqa: E402, F401  (register more queries)

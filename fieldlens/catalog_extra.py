@@ -188,16 +188,6 @@ def goal_geometry(v, t):
     return v("ball").select("seq", "frame", r(d).alias("d"), r(h).alias("heading"))
 
 
-@query(None)
-def built_features(v, t):
-    return signals.football_features(v("ball"), v("trk"), radius=15.0, near=20.0)
-
-
-@query(None)
-def events_of_built_features(v, t):
-    return events.football_events(checkpoint(signals.football_features(v("ball"), v("trk"), radius=15.0, near=20.0)), events.Football(run_frames=4, run_metres=1.0, lost_frames=3, approach=0.2))
-
-
 @query(", b as (select cls, frame, arg_max(x, conf * 1e9 - x - y / 1e5) as x, arg_max(y, conf * 1e9 - x - y / 1e5) as y from boxes group by cls, frame), j as (select *, frame - lag(frame) over w as gap, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as jump from b window w as (partition by cls order by frame)) select cls, count(*) as n, round(quantile_cont(jump, 0.5), 3) as p50, round(quantile_cont(jump, 0.9), 3) as p90 from j where gap = 1 group by cls", "boxes")
 def detection_jumps(v, t):
     j = windows.jumps(v("boxes"), ["cls"], "frame", "conf", "x", "y")
@@ -324,14 +314,6 @@ def handoff_target(v, t):
     return diagnosis.camera_target(b, p, c, ["seq"], short=1, bind=20.0).select("seq", "frame", "source", r("tx").alias("target"), "holder")
 
 
-@query(f", s as (select *, frame - {LASTV.format(e='case when status = ' + chr(39) + 'detected' + chr(39) + ' then frame end', p='seq', to='current row')} as age from ball), q as (select *, case when status = 'detected' then 1e0 when status = 'predicted' and age is not null then exp(-age / 6e0) else 0e0 end as w from s) select seq, frame, round(case when w > 0 and x is not null then w * x + (1 - w) * 480e0 else 480e0 end, 4) as centre from q", "ball")
-def blended_centre(v, t):
-    age = windows.since(F.col("status") == "detected", F.col("frame"), windows.ordered(["seq"], "frame"))
-    b = v("ball").withColumn("age", age)
-    w = F.when(F.col("status") == "detected", 1.0).when((F.col("status") == "predicted") & F.col("age").isNotNull(), F.exp(-F.col("age") / 6.0)).otherwise(0.0)
-    return b.select("seq", "frame", r(diagnosis.blended(F.col("x"), F.lit(480.0), w)).alias("centre"))
-
-
 @query(FRAMES_SQL + ", dm as (select frame, min(d) as d from touch group by frame), pl as (select case when coalesce(head, false) then 'head' when coalesce(d > 150, true) then 'junk' when d <= 60 and status = 'detected' then 'ball' end as label from bf left join dm on dm.frame = bf.frame where status <> 'lost') select label, count(*) as n from pl where label is not null group by label", "touch", "ball_px")
 def pseudo_labels(v, t):
     d = v("touch").groupBy("frame").agg(F.min("d").alias("d"))

@@ -78,6 +78,33 @@ def rmse_by_status(track: DataFrame, truth: DataFrame, keys: Sequence[str], with
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("__d") * F.col("__d"))).alias("rmse"), F.avg((F.col("__d") <= within).cast("double")).alias("within"))
 
 
+def label_validation(labels: DataFrame, manifest: DataFrame, roles: DataFrame) -> DataFrame:
+    """JN23: hand labels (idx, hand) of crops (idx, seq, track_id) against the roles of their tracks (seq, track_id, role), as one row.
+
+    Teams are scored under the better of both namings.  Besides: labels in all and with a track that has an entry, crops of the teams that a role leaves out, and others that it
+    rightly does; null for what doesn't occur.
+    """
+    pairs = labels.join(manifest, "idx").join(roles, ["seq", "track_id"]).select("hand", "role")
+    team = F.col("hand").isin("A", "B")
+    scored = team & F.coalesce(F.col("role").isin("TeamA", "TeamB"), F.lit(False))
+    direct = (F.col("hand") == "A") == (F.col("role") == "TeamA")
+    out_of_play = F.coalesce(F.col("role").isin("Referee", "Excluded"), F.lit(False)).cast("double")
+
+    def share(mask: Column, value: Column) -> Column:
+        return F.avg(F.when(mask, value.cast("double")))
+
+    counts = pairs.agg(
+        F.count(F.lit(1)).alias("n_matched"), F.count_if(scored).alias("n_scored"), share(scored, direct).alias("accuracy_direct"),
+        share(scored & (F.col("hand") == "A"), direct).alias("__a"), share(scored & (F.col("hand") == "B"), direct).alias("__b"),
+        share(team, out_of_play).alias("team_excluded"), share(F.col("hand").isin("ref", "bench"), out_of_play).alias("others_excluded"),
+    )
+    named = F.col("accuracy_direct") >= 1 - F.col("accuracy_direct")
+    best = {f"accuracy_{k}": F.when(named, F.col(f"__{k}")).otherwise(1 - F.col(f"__{k}")) for k in "ab"}
+    total = labels.agg(F.count(F.lit(1)).alias("n_labelled"))
+    rows = total.join(counts)  # one row each
+    return rows.select("n_labelled", "n_matched", "n_scored", "accuracy_direct", (1 - F.col("accuracy_direct")).alias("accuracy_swapped"), F.greatest(F.col("accuracy_direct"), 1 - F.col("accuracy_direct")).alias("accuracy"), *[c.alias(k) for k, c in best.items()], "team_excluded", "others_excluded")
+
+
 def expand_grid(grid: dict[str, list], mode: str) -> list[dict]:
     """ML17: ``full``: all combinations; ``oat``: the first of each, then one changed at a time."""
     if mode == "full":

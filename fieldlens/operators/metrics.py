@@ -188,3 +188,9 @@ def possession_strip(timeline: DataFrame, keys: Sequence[str] = ("seq",)) -> Dat
     rows = timeline.withColumn("colour", colour)
     rows = rows.withColumn("__run", F.sum(F.coalesce((F.col("colour") != F.lag("colour").over(w)).cast("int"), F.lit(1))).over(w))
     return rows.groupBy(*keys, "__run", "colour").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).drop("__run")
+
+
+def plausibility(features: DataFrame, keys: Sequence[str], fast: float) -> DataFrame:
+    """AG16: frames, those with the ball detected, those faster than a bound, and quantiles of the speed."""
+    share = F.avg(F.col("detected").cast("double")).alias("detected_share")
+    return features.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("n_detected"), share, F.count_if(F.col("speed") > fast).alias("fast"), *[F.expr(f"percentile(speed, {q})").alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])

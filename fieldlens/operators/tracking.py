@@ -1,4 +1,4 @@
-"""Sequential algorithms in numpy, applied to one sequence, frame or pair at a time (FD2, FD3, FD10, FD11, AG9, WN19)."""
+"""Sequential algorithms in numpy, applied to one sequence, frame or pair at a time (FD2, FD3, FD11, AG9)."""
 
 from __future__ import annotations
 
@@ -125,16 +125,6 @@ def low_pass(v: np.ndarray, cutoff: float, fps: float) -> np.ndarray:
     return once(once(ext)[::-1])[::-1][pad : pad + len(v)]
 
 
-def smooth_path(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], cutoff: float, fps: float) -> DataFrame:
-    """WN19: zero-phase low-pass of the values of each sequence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{v: low_pass(pdf[v].to_numpy(float), cutoff, fps) for v in values})
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
-
-
 def hull_area(points: np.ndarray) -> float:
     """Area of the convex hull, 0 if the points are in a line."""
     pts = sorted(set(map(tuple, points)))
@@ -173,23 +163,6 @@ def rigid_fit(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, cq - r @ cp
 
 
-def trimmed_icp(p: np.ndarray, q: np.ndarray, gate: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """FD10: align two formations on their mutual nearest neighbours within the gate."""
-    r, t = np.eye(2), q.mean(0) - p.mean(0)
-    for _ in range(rounds):
-        d = np.linalg.norm((p @ r.T + t)[:, None] - q[None], axis=2)
-        pairs = [(i, int(j)) for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i and d[i, j] <= gate]
-        if len(pairs) < 3:
-            break
-        r2, t2 = rigid_fit(p[[i for i, _ in pairs]], q[[j for _, j in pairs]])
-        done = np.allclose(r, r2, atol=1e-9) and np.allclose(t, t2, atol=1e-9)
-        r, t = r2, t2
-        if done:
-            break
-    d = np.linalg.norm((p @ r.T + t)[:, None] - q[None], axis=2)
-    return r, t, [(i, int(j)) for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i and d[i, j] <= gate]
-
-
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """FD11: least-squares 3x3 map of at least four points (normalised direct linear transform)."""
 

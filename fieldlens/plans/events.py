@@ -188,7 +188,7 @@ def _at_hoop(f: DataFrame, hoop: str) -> DataFrame:
 
 
 def hoop_shots(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
-    """EV8, EV9: flights of a lost ball that get near a rim, and a detected ball that heads for one."""
+    """EV8, EV9: flights of a lost ball that get near a rim (``turn`` 0), and a detected ball that heads for one (1)."""
     out = None
     for hoop in ("left", "right"):
         x = _at_hoop(f, hoop)
@@ -200,12 +200,20 @@ def hoop_shots(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
         mask = F.col("detected") & (F.col("hd") > 0.3) & (F.col("d") < c.approach + c.rim) & (F.col("speed") > 3.0)
         b = islands(x.where(mask), KEYS, "i", c.bridge + 1, 3, [F.min_by("d", "i").alias("d0"), F.max_by("d", "i").alias("d1")])
         b = b.withColumn("peak", F.col("start")).withColumn("confidence", clamp(0.4 + 0.3 * (F.col("d0") - F.col("d1")) / 6.0, 0.3, 0.85))
-        for e in (a, b):
-            e = _event(e.withColumn("hoop", F.lit(hoop)), "shot_attempt", "hoop")
+        for turn, e in enumerate((a, b)):
+            e = _event(e.withColumn("hoop", F.lit(hoop)).withColumn("turn", F.lit(turn)), "shot_attempt", "hoop", "turn")
             out = e if out is None else out.unionByName(e)
     return out
 
 
+def first_shots(found: DataFrame, after: int = 5) -> DataFrame:
+    """JN22: ``seq, peak, sp``: for each frame from a shot's start to ``after`` frames past its end the peak of the first such shot: right hoop before left, flights before
+    headings, then by start.  A shot is a stretch of bounded length, so frames meet shots by equality."""
+    turn = [F.when(F.col("hoop") == "right", 0).otherwise(1) if "hoop" in found.columns else F.lit(0), F.col("turn") if "turn" in found.columns else F.lit(0), F.col("start"), F.col("peak")]
+    rows = found.select("seq", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(turn)]).alias("__turn"), F.col("peak").alias("sp"), F.explode(F.sequence("start", F.col("end") + after)).alias("peak"))
+    return rows.groupBy("seq", "peak").agg(F.min_by("sp", "__turn").alias("sp"))
+
+
 def made_baskets(f: DataFrame, found: DataFrame, c: Basketball = Basketball()) -> DataFrame:
     """EV10: the ball at the rim, then away from it or in other hands."""
     last = f.groupBy("seq").agg(F.max("i").alias("last"))
@@ -216,9 +224,7 @@ def made_baskets(f: DataFrame, found: DataFrame, c: Basketball = Basketball()) -
         w = ahead(x, runs, c.look_ahead, F.bool_or(F.col("hd") < -0.2).alias("away"), F.bool_or("flip").alias("flip"), F.max_by("possession", "i").alias("p1"), keep=("p0",))
         turned = F.col("flip") | ((F.col("p1") != 0) & (F.col("p0") != 0) & (F.col("p1") != F.col("p0")))
         w = w.withColumn("turned", turned).where("away or turned").join(last, "seq")
-        shot = found.select("seq", F.col("start").alias("ss"), F.col("end").alias("se"), F.col("peak").alias("sp"))
-        w = w.join(shot, "seq", "left").withColumn("sp", F.when(F.col("peak").between(F.col("ss"), F.col("se") + 5), F.col("sp")))
-        w = w.groupBy("seq", "start", "end", "peak", "away", "turned", "last").agg(F.min("sp").alias("sp"))
+        w = w.join(first_shots(found), ["seq", "peak"], "left")
         anchor = F.coalesce("sp", "peak")
         w = w.select("seq", F.least(anchor, "start").alias("start"), F.least("last", F.least(F.col("last") + 1, F.col("end") + c.look_ahead)).alias("end"), anchor.alias("peak"), clamp(0.4 + 0.2 * F.col("away").cast("int") + 0.2 * F.col("turned").cast("int"), 0.3, 0.7).alias("confidence"), F.lit(hoop).alias("hoop"))
         e = _event(w, "likely_made_basket", "hoop")
@@ -240,10 +246,9 @@ def blocks(f: DataFrame) -> DataFrame:
 
 
 def fast_breaks(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
-    """EV12: a fast ball over many frames that gets far along the court while the players stream one way."""
-    x = f.withColumn("cx", F.col("px") / 4.0)
-    runs = islands(x.where(F.col("speed") > c.break_speed), KEYS, "i", c.bridge + 1, c.break_frames, [_first_best(F.col("speed")).alias("peak"), F.max_by("cx", "i").alias("x1"), F.min_by("cx", "i").alias("x0")])
-    inside = during(runs, x.select("seq", "i", "stream")).groupBy("seq", "start", "end", "peak", "x0", "x1").agg(F.avg("stream").alias("stream"))
+    """EV12: a fast ball over many frames that gets far along the court (px, in metres) while the players stream one way."""
+    runs = islands(f.where(F.col("speed") > c.break_speed), KEYS, "i", c.bridge + 1, c.break_frames, [_first_best(F.col("speed")).alias("peak"), F.max_by("px", "i").alias("x1"), F.min_by("px", "i").alias("x0")])
+    inside = during(runs, f.select("seq", "i", "stream")).groupBy("seq", "start", "end", "peak", "x0", "x1").agg(F.avg("stream").alias("stream"))
     rows = inside.withColumn("dx", F.abs(F.col("x1") - F.col("x0"))).where((F.col("dx") >= c.break_metres) & (F.abs("stream") > 2.0))
     return _event(rows.withColumn("confidence", clamp(0.45 + 0.35 * F.col("dx") / 20.0, 0.3, 0.9)), "fast_break")
 
@@ -259,7 +264,7 @@ def steals(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
 
 def basketball_events(f: DataFrame, c: Basketball = Basketball()) -> DataFrame:
     found = hoop_shots(f, c)
-    out = found.drop("hoop").unionByName(made_baskets(f, found, c).drop("hoop")).unionByName(blocks(f).drop("hoop"))
+    out = found.drop("hoop", "turn").unionByName(made_baskets(f, found, c).drop("hoop")).unionByName(blocks(f).drop("hoop"))
     return out.unionByName(fast_breaks(f, c)).unionByName(steals(f, c))
 
 

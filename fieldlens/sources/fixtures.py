@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = {"trk": ["events"], "ball": ["events"], "boxes": ["lineitem"], "ball_px": ["orders"], "scored": ["documents", "labels"], "crops": ["embeddings"], "jobs": ["orders"], "gt": ["lineitem"], "features": ["events"], "touch": ["lineitem", "orders"]}
-NEEDS = {"gt": ["boxes"], "features": ["ball"], "touch": ["boxes", "ball_px"]}
+TABLES = {"trk": ["events"], "ball": ["events"], "boxes": ["lineitem"], "ball_px": ["orders"], "scored": ["documents", "labels"], "crops": ["embeddings"], "jobs": ["orders"], "gt": ["lineitem"], "features": ["events"], "touch": ["lineitem", "orders"], "dets": ["events"], "squads": ["events"]}
+NEEDS = {"gt": ["boxes"], "features": ["ball"], "touch": ["boxes", "ball_px"], "dets": ["ball"], "squads": ["ball"]}
 SPARK_K = "cast(get_json_object(props, '$.k') as int)"
 DUCK_K = "cast(json_extract_string(props, '$.k') as integer)"
 
@@ -93,6 +93,19 @@ from (select *, case when status <> 'lost' and ds > 1e-9 then (52.5e0 - px) * dx
                          lag(k % 3) over (partition by seq order by i) as prev_poss
                   from (select seq, frame - 1 as i, case when k % 10 < 4 then 'lost' else status end as status, k,
                                coalesce(pitch_x_m, k * 1e0 - 50e0) as px, coalesce(pitch_y_m, k * 6e-1 - 30e0) as py from ball) a) b) c) d
+""",
+    "dets": """
+select seq, frame, j as object, x + j * 170e0 - 255e0 as x, y + (j % 2) * 90e0 as y, 60e0 + j * 2e0 as w, 120e0 as h,
+       case when (k + 3 * j) % 5 = 0 then 0.15e0 else 0.4e0 + cast(k as double) / 250e0 end as conf, (k + 7 * j) % 9 <> 0 as found
+from ball join (select 0 as j union all select 1 as j union all select 2 as j union all select 3 as j) o on o.j >= 0
+where status <> 'lost'
+""",
+    "squads": """
+select seq, frame, j as track_id, case when j % 2 = 0 then 'TeamA' else 'TeamB' end as role,
+       j * 9e0 - 31.5e0 + cast(floor(frame / 40e0) as bigint) % 7 * j / 10e0 + cast(k % 5 as double) / 50e0 as x_m,
+       (j * 5 % 7) * 8e0 - 24e0 + cast(floor(frame / 40e0) as bigint) % 5 / 4e0 + cast(k % 3 as double) / 50e0 as y_m
+from (select seq, cast(frame as int) as frame, k from ball) b
+join (select 0 as j union all select 1 as j union all select 2 as j union all select 3 as j union all select 4 as j union all select 5 as j union all select 6 as j union all select 7 as j) o on (frame + j) % 23 <> 0
 """,
     "touch": """
 select b.frame, b.det_id, b.track_id, b.role, b.x + b.w / 2e0 as cx, b.y + b.h / 2e0 as cy, b.h, p.b_x, p.b_y, p.status,

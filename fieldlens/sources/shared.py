@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and go on from what was written; a folder of our own only where none is named, as in tests."""
+    """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and go on from what was written; a folder of our own only in local mode, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="fieldlens-checkpoint-")

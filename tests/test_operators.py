@@ -113,12 +113,6 @@ def test_low_pass_keeps_lines_and_homography_fits():
     assert tracking.hull_area(src) == pytest.approx(80) and tracking.hull_area(src[:2]) == 0
 
 
-def test_icp_recovers_a_shift():
-    p = np.array([[0, 0], [10, 1], [20, -3], [5, 12.0]])
-    r, t, pairs = tracking.trimmed_icp(p, p + [1.0, -2.0], 5.0)
-    assert np.allclose(r, np.eye(2), atol=1e-6) and np.allclose(t, [1, -2], atol=1e-6) and len(pairs) == 4
-
-
 def test_truth_as_prediction_is_perfect(spark):
     df = spark.createDataFrame([(i, "a", i / 10, 1) for i in range(5)] + [(9, "a", 0.0, 0)], "id int, cls string, conf double, y int")
     assert evaluation.average_precision(df, "conf", "y", "cls", "id").first().ap <= 1

@@ -208,6 +208,12 @@ def test_products_pass_64_bits(spark):
     assert [(r.phrase, r.l, r.r, r.score) for r in got] == [("a b c", big, big, 2_000_000 * (big - 2) // (2 * big))]
 
 
+def test_passes_hold_every_language_once():
+    sizes = {"en": 700, "de": 120, "fr": 100, "es": 90, "und": 5}
+    got = collocations.passes(sizes, 250)
+    assert got == [(["en"], 0, 3), (["en"], 1, 3), (["en"], 2, 3), (["de", "fr"], 0, 1), (["es", "und"], 0, 1)] and collocations.passes({}, 9) == []
+
+
 def test_sketch_bounds_are_never_below_counts():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 300).astype(np.uint64)[rng.zipf(1.3, 20_000) % 300]

@@ -186,11 +186,24 @@ def more_than_one(rows: DataFrame, key: str, what: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.min(what).alias("__lo"), F.max(what).alias("__hi")).where("__lo <> __hi").select(key), key)
 
 
+def meeting(keys: DataFrame, live: DataFrame, edits: int) -> DataFrame:
+    """``key, id, indexed``: each line once for each of its keys that others have too.
+
+    Few such keys go to all tasks, and what is left is combined there.  Else repeats of a line are combined before keys meet by a shuffle: they add nothing, and would
+    bring a boilerplate line's every occurrence to one task.
+    """
+    once = [F.col("key"), F.col("id")]
+    indexed = (F.min("at") <= edits).alias("indexed")
+    if live.count() <= BROADCAST_ROWS:
+        return keys.join(F.broadcast(live), "key").groupBy(*once).agg(indexed)
+    return keys.groupBy(*once).agg(indexed).join(live, "key")
+
+
 def edit_components(hashed: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """``id, id2, component`` of the lines that link, of ``hashed`` (id, id2, keys) with texts in ``lines`` (id, id2, line)."""
     keys = hashed.where("keys is not null").select("id", F.posexplode("keys").alias("at", "key"))
     live = checkpoint(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
-    met = compact(keys.join(small(live), "key").groupBy("key", "id").agg((F.min("at") <= edits).alias("indexed")))
+    met = compact(meeting(keys, live, edits))
     wanted = compact(met.select("id").distinct())
     texts = lines.join(small(wanted), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line"))
     texts = checkpoint(texts.select("id", "id2", "line", F.monotonically_increasing_id().alias("node"), letters_of(F.col("line")).alias("letters"), words_of(F.col("line")).alias("words")))

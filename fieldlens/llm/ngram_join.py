@@ -124,6 +124,21 @@ def _cut(block: int, tokens: np.ndarray, owners: np.ndarray, parts: int) -> list
     return [(p, block, 1, tokens[i:j].tobytes(), owners[i:j].astype(np.uint16).tobytes(), None) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
 
 
+#: The owner of a token that several sets of a block have.
+SEVERAL = 0xFFFF
+
+
+def _combined(tokens: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One token of those that several of a block's ``n`` sets have, and for each set how many such it has: these are shared whatever other blocks hold."""
+    order = np.argsort(tokens >> np.uint64(16), kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    start = np.append(True, tokens[1:] >> np.uint64(16) != tokens[:-1] >> np.uint64(16)) if len(tokens) else np.zeros(0, bool)
+    first = np.flatnonzero(start)
+    several = np.diff(np.append(first, len(tokens))) > 1
+    own = np.bincount(owners[several[np.cumsum(start) - 1]], minlength=n) if len(tokens) else np.zeros(n, np.int64)
+    return tokens[first], np.where(several, SEVERAL, owners[first]), own
+
+
 def _blocks(parts: int, half: bool):
     """Packs batches of (id, text, hash of the text) or (id, text, k1, k2); ``half``: the longer prefix only, 48 bits of each hash."""
 
@@ -147,7 +162,11 @@ def _blocks(parts: int, half: bool):
             owners = np.repeat(np.arange(len(sets)), list(map(len, taken)))
             tokens = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
             keep = known[owners]
-            yield _emit(rows + _cut(number, tokens[keep], owners[keep], parts))
+            tokens, owners = tokens[keep], owners[keep]
+            if half:
+                tokens, owners, own = _combined(tokens, owners, len(sets))
+                rows[0] = (*rows[0][:3], np.vstack([head, own]).tobytes(), None, None)
+            yield _emit(rows + _cut(number, tokens, owners, parts))
             number += 1
 
     return run
@@ -179,7 +198,7 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     shared = _frequencies(tokens >> np.uint64(16)) > 1
     rows = [tuple(r) for r in pdf.loc[pdf["kind"] == 0, ["part", "block", "kind", "a", "b", "c"]].itertuples(index=False)]
     for block, i, j in zip(blocks, cuts.tolist(), cuts[1:].tolist()):
-        own = owners[i:j][shared[i:j]]
+        own = owners[i:j][shared[i:j] & (owners[i:j] != SEVERAL)]
         if len(own):
             rows.append((0, block, 1, np.bincount(own).astype(np.uint32).tobytes(), None, None))
     return pd.DataFrame(rows, columns=PACKED_KIND.names)
@@ -188,8 +207,8 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
 def _alive(pdf: pd.DataFrame) -> pd.DataFrame:
     """The documents of a block, and whether step 2 leaves them."""
     heads = pdf[pdf["kind"] == 0]
-    ids, sizes, known, k1, k2, of_text = np.frombuffer(heads["a"].iloc[0], np.int64).reshape(6, -1)
-    counts = np.zeros(len(ids), np.int64)
+    ids, sizes, known, k1, k2, of_text, own = np.frombuffer(heads["a"].iloc[0], np.int64).reshape(7, -1)
+    counts = own.copy()
     for x in pdf.loc[pdf["kind"] == 1, "a"]:
         c = np.frombuffer(x, np.uint32)
         counts[: len(c)] += c

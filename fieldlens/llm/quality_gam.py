@@ -5,10 +5,10 @@ tree of few leaves is fitted to the gradients of the logistic loss in the bins a
 pairs that would lower the remaining loss most then get tables over coarser bins of both features, boosted likewise.  A
 score is the logistic of the sum of table entries.
 
-The model is fitted on the driver on at most ``MAX_TRAIN`` labelled rows (those of least hash); every document is scored, from its
-whole text.  Null and empty texts have all-zero features and are scored like any text.  Rows without a label, or with a label
+The model is fitted on the driver on at most ``MAX_TRAIN`` labelled ids (those of least hash), one row for each: of several labels the least, of several texts that with
+the least features; every document is scored, from its whole text.  Null and empty texts have all-zero features and are scored like any text.  Rows without a label, or with a label
 other than 0 or 1, don't train.  With no labelled rows every score is 0.5; with one class its rate.  Repeated rows
-and ties have no special treatment.  Very long texts are measured whole.  ``scored`` leaves other columns out and ``keep_good`` passes them
+are scored alike.  Very long texts are measured whole.  ``scored`` leaves other columns out and ``keep_good`` passes them
 through, whatever their names.  An empty table gives no rows.
 """
 
@@ -179,17 +179,19 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fit on the labelled rows that aren't held out, at most MAX_TRAIN of them."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_TRAIN)
+    """Fit on the labelled rows that aren't held out, one for each id and at most MAX_TRAIN of them."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")  # MAX_TRAIN rows
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in chunks(batches, "text"):
-            x = [features(t or "") for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            x = [features(t or "") for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = texts.select("text", "y").mapInArrow(run, "y int, x array<double>").toPandas()
+    found = texts.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, x array<double>")
+    got = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("doc_id")  # MAX_TRAIN rows
     return fit(np.array(got["x"].tolist()).reshape(-1, len(FEATURES)), got["y"].to_numpy(np.float64))
 
 

@@ -1,11 +1,11 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of ``N_SLOTS`` virtual slots.  The bytes of each slot are summed over all records; the slots, not
+Every record hashes into one of ``N_SLOTS`` virtual slots, by id and text together, so that neither repeated ids nor repeated texts fill one.  The bytes of each slot are summed over all records; the slots, not
 the records, are then placed on shards, the heaviest first on the lightest shard.  The placement is a versioned map with a row
 for each slot, which rebalancing edits: it moves slots and leaves the hash alone.  All that reaches the driver is the map
 and the sums, a few thousand rows whatever the size of the corpus.
 
-Null text has no bytes; a record weighs ``OVERHEAD`` bytes besides its text.  Null ids hash as null does.  Rows equal in id
+Null text has no bytes; a record weighs ``OVERHEAD`` bytes besides its text.  Rows equal in id
 and text share a slot, and their places in it follow the order Spark meets them in.  Empty tables give an all-empty map.
 Equal texts of different ids may lie in different shards.  Very long texts are one record, whose slot weighs as much.  Other columns are
 left out, whatever their names.
@@ -19,6 +19,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import shared_path
+
 N_SLOTS = 4096
 OVERHEAD = 16
 
@@ -94,7 +96,7 @@ def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("key"),
         (F.octet_length(text).cast("bigint") + OVERHEAD).alias("size"),
         crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit("slot")), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64(F.col(id_col), crc, F.octet_length(text), F.lit("slot")), F.lit(n_slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -126,10 +128,14 @@ def assign(slotted: DataFrame, slot_map: SlotMap, rows: list[int]) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """Documents on shards of near-equal bytes (law ``bytes``)."""
+    """Documents on shards of near-equal bytes (law ``bytes``), by the latest version of the map that is stored in the shared folder."""
     slotted = with_slots(docs)
     size, rows = slot_weights(slotted.select("virtual_slot", "size"))
-    slot_map = place(size, n_shards)
+    path = shared_path(docs.sparkSession, "slot-map")
+    first = place(size, n_shards)
+    first.save(docs.sparkSession, path)
+    rebalance(first, size).save(docs.sparkSession, path)
+    slot_map = load_map(docs.sparkSession, path)
     return assign(slotted, slot_map, rows).select(
         F.col("key").cast("bigint").alias("doc_id"),
         "size",

@@ -79,6 +79,12 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     return rows.withColumn("n_shingles", distinct_count(F.col("fingerprint"), k))
 
 
+def up_to(bounds: Column, n: int, key: Column) -> Column:
+    """How many of ``n`` ascending bounds are at most the key, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(bounds, at + s - 1) <= key), at + s).otherwise(at))
+
+
 def compare_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """Every document against its edited text and against the next document.
 
@@ -93,7 +99,7 @@ def compare_with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     ranges = min(20_000, max(256, n // 5000))
     bounds = sorted({least, *map(int, rows.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])}) if n else [0]
     cuts = F.array(*[F.lit(b) for b in bounds]) if len(bounds) <= 1000 else F.from_json(F.lit(str(bounds)), "array<bigint>")
-    part = F.size(F.filter(cuts, lambda b: b <= F.col("key")))
+    part = up_to(cuts, len(bounds), F.col("key"))
     order = Window.partitionBy("part").orderBy("key", "text")
     first = spark.createDataFrame([(b, (i or len(bounds))) for i, b in enumerate(bounds)], "key bigint, part int")  # part: the range before
     heads = rows.join(F.broadcast(first), "key").groupBy("part").agg(F.min("text").alias("head"))

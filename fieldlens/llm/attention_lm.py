@@ -4,7 +4,7 @@ Model.  A text is its words, lower-cased, each as the subword ids of a space and
 ids around them; attention over the ids before gives the next class, and the id follows from its class by its share in all
 training texts, mixed with its share after the id before where that is known well.  Ids' ranks, what stands around them, and shares are counted over all
 training texts, and the weights are trained on every window of them: in ``ROUNDS`` rounds each task takes gradient steps on its windows, a part of them in each round, and the
-mean of the tasks' weights begins the next round.  All windows are shown once, or up to ``ROUNDS`` times where that makes fewer than ``LEAST_SHOWN``.  A text is scored in windows of ``WINDOW`` inputs that overlap by ``OVERLAP``: each id once, with at least that
+mean of the tasks' weights begins the next round.  All windows are shown once, however many there are.  A text is scored in windows of ``WINDOW`` inputs that overlap by ``OVERLAP``: each id once, with at least that
 much before it where the text has so much.  Windows of many texts go through the masked attention together.
 
 Base.  Word counts of the whole corpus are gathered and given back in packed form: for each block of documents and range of
@@ -40,7 +40,6 @@ AROUND, SEEN = 400, 5
 #: Characters that are tokenised together, and ids whose windows are laid out together; longer texts are taken whole.
 CHUNK, LAID_OUT = 12_000_000, 500_000
 ROUNDS, BATCH, RATE = 4, 128, 4e-3
-LEAST_SHOWN = 64_000
 #: Windows that make a task of their own worth while.
 PER_TASK = 20_000
 #: Ids, or numbers of the other weights, whose means are taken together.
@@ -327,7 +326,7 @@ class State:
             w[key] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.98**self.step)) + 1e-8)).astype(np.float32)
 
 
-def _round(sent, rnd: int, passes: int):
+def _round(sent, rnd: int):
     """Steps on the windows whose turn it is; weights, and how far ids have moved, in slices."""
 
     def run(batches):
@@ -337,7 +336,7 @@ def _round(sent, rnd: int, passes: int):
         rate = RATE * (1 - rnd / ROUNDS) + 1e-5
         for ids, cuts in ((i, c) for b in batches for i, c in zip(b.column(0), b.column(1))):
             inputs, targets, _ = windows(np.frombuffer(ids.as_py(), np.uint16).astype(np.int32), np.frombuffer(cuts.as_py(), np.int64))
-            turn = np.flatnonzero((np.arange(at, at + len(inputs)) + rnd) % ROUNDS < passes)
+            turn = np.flatnonzero((np.arange(at, at + len(inputs)) + rnd) % ROUNDS == 0)
             at += len(inputs)
             n += len(turn)
             order = rng.permutation(turn)
@@ -381,11 +380,11 @@ def _means(pdf: pd.DataFrame) -> pd.DataFrame:
 def fit(blocks: DataFrame, n_windows: int, model: Model, known: np.ndarray) -> Model:
     """Trains the weights on all windows of the blocks."""
     zeros = lambda: {k: np.zeros_like(x) for k, x in model.weights.items() if k != "id_in"}
-    state, passes = State(model, known, zeros(), zeros()), min(ROUNDS, max(1, -(-LEAST_SHOWN // max(1, n_windows))))
+    state = State(model, known, zeros(), zeros())
     blocks, share = blocks.select("ids", "cuts").coalesce(max(1, n_windows // PER_TASK)), 0.5
     for rnd in range(ROUNDS if n_windows else 0):
         sent = blocks.sparkSession.sparkContext.broadcast(state)  # of fixed size, about 15 MB
-        got = blocks.mapInArrow(_round(sent, rnd, passes), ROUND).groupBy("part").applyInPandas(_means, ROUND).toPandas()  # at most the weights
+        got = blocks.mapInArrow(_round(sent, rnd), ROUND).groupBy("part").applyInPandas(_means, ROUND).toPandas()  # at most the weights
         sent.destroy()
         got = got.set_index("part").sort_index()
         if not len(got):

@@ -1,9 +1,11 @@
 """Every operator on texts: nulls, empty and very long texts, ties, repeated rows, clashing columns, empty tables."""
 
+import bisect
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,73 @@ def test_shard_bytes_are_near_equal(spark):
     assert len(sizes) == 40 and max(sizes) < 1.02 * min(sizes)
 
 
+def test_shard_bytes_are_near_equal_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{i} " + "word " * rng.randrange(0, 60)) for i in range(20_000)]
+    got = sharding.shard_documents(docs(spark, rows, False), 40)
+    sizes = [r.s for r in got.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 40 and max(sizes) < 1.02 * min(sizes)
+    assert {r.map_version for r in got.select("map_version").distinct().collect()} == {2}
+
+
+def test_binary_search_of_bounds(spark):
+    for n in (1, 2, 255, 1000, 20_000):
+        bounds = sorted(random.Random(n).sample(range(10 * n), n))
+        keys = [-1, 0, bounds[0], bounds[-1], bounds[n // 2], bounds[n // 2] + 1, 10 * n + 5]
+        df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+        got = [r.p for r in df.select(fingerprints.up_to(F.from_json(F.lit(str(bounds)), "array<bigint>"), n, F.col("k")).alias("p")).collect()]
+        assert got == [bisect.bisect_right(bounds, k) for k in keys]
+
+
+def test_labelled_ids_train_once(spark, monkeypatch):
+    rows = [(i, f"text number {i} of some words") for i in range(60) for _ in range(5)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(60) for _ in range(3)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y: seen.append(len(y)))
+    quality_gam.train(docs(spark, rows, True), marks)
+    monkeypatch.setattr(quality_gam, "MAX_TRAIN", 10)
+    quality_gam.train(docs(spark, rows, True), marks)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(60)), 10]
+
+
+def hot_lines():
+    rng = random.Random(6)
+    words = ["stone", "river", "light", "window", "garden", "paper"]
+    boiler = "all rights reserved by the owners of this page"
+    return [(i, "\n".join([boiler, " ".join(rng.choice(words) for _ in range(9)) + f" {i}", boiler[:-1] + "s" if i % 50 == 0 else "x"])) for i in range(400)]
+
+
+def test_repeats_of_a_line_meet_once(spark, monkeypatch):
+    d = docs(spark, hot_lines(), False).repartition(4)
+    want = sorted(map(str, line_dedup.deduplicate(d, short=True).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, line_dedup.deduplicate(d, short=True).collect())) == want
+    keys = spark.createDataFrame([(1, 1, 0)] * 500 + [(1, 2, 5), (2, 2, 1)], "key bigint, id bigint, at int").repartition(4)
+    got = line_dedup.meeting(keys, spark.createDataFrame([(1,)], "key bigint"), 2)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, True), (1, 2, False)]
+
+
+def test_a_shingle_that_all_texts_share_is_sent_once_a_block(spark):
+    tokens = np.array([5 << 16, 7 << 16, 5 << 16, 9 << 16, 7 << 16, 5 << 16, 11 << 16], np.uint64)
+    kept, owners, own = ngram_join._combined(tokens, np.array([0, 0, 1, 1, 2, 3, 3]), 5)
+    assert (kept >> np.uint64(16)).tolist() == [5, 7, 9, 11] and owners.tolist() == [ngram_join.SEVERAL, ngram_join.SEVERAL, 1, 3] and own.tolist() == [2, 1, 1, 1, 0]
+    assert ngram_join._combined(tokens[:0], np.zeros(0, int), 2)[2].tolist() == [0, 0]
+    rng = random.Random(2)
+    licence = "this text is free for all to use as they like best".split()
+    rows = []
+    for i in range(300):
+        body = [f"w{rng.randrange(400)}" for _ in range(20)]
+        rows.append((i, " ".join(body + licence)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(body + licence + ["end"])))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(docs(spark, rows, False).repartition(3)).collect()}
+    for i in range(0, 300, 10):
+        a, b = sets[i], sets[1000 + i]
+        assert (got[1000 + i] == got[i]) == (100 * len(a & b) >= 75 * len(a | b))
+    assert sum(k != v for k, v in got.items()) == 30
+
+
 def test_near_next_equals_jaccard_below_k(spark):
     rng = random.Random(8)
     base = [f"v{rng.randrange(900)}" for _ in range(150)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as g
-from .operators import evaluation, folds, identity, joins, metrics, tracking, windows
+from .operators import evaluation, folds, identity, joins, metrics, signals, tracking, windows
 from .plans import events, jobs
 from .sources import files
 from .sources.fixtures import oracle, view
@@ -179,8 +179,7 @@ TIMELINE = NEAREST + ", tl as (select p.frame, cast(case when n.role = 'TeamA' t
 
 def timeline(v) -> DataFrame:
     near = joins.nearest(touching(v), ["frame"], "d", ["track_id", "det_id"], 250.0)
-    code = big(F.when(F.col("role") == "TeamA", 1).when(F.col("role") == "TeamB", 2).otherwise(0))
-    return v("ball_px").select("frame").join(near.select("frame", "role"), "frame", "left").select("frame", code.alias("possession"))
+    return signals.possession_timeline(v("ball_px"), near, ["frame"])
 
 
 @query(TIMELINE + " select * from tl", "touch", "ball_px")
@@ -525,7 +524,7 @@ def iou_pairs(v, t):
     return p.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), r(F.avg("iou")).alias("mean_iou"))
 
 
-@query(None)
+@query(", pr as (select b.frame, b.cls, b.det_id, q.det_id as g_det_id, b.conf, greatest(0e0, least(b.x + b.w, q.x + q.w) - greatest(b.x, q.x)) * greatest(0e0, least(b.y + b.h, q.y + q.h) - greatest(b.y, q.y)) as meet, b.w * b.h + q.w * q.h as two from boxes b join gt q on q.frame = b.frame and q.cls = b.cls), iv as (select *, meet / (two - meet) as iou from pr where meet / (two - meet) >= 0.5e0), od as (select *, row_number() over (partition by frame, cls order by conf desc, det_id, iou desc, g_det_id) as rn from iv), gm as (select frame, cls, rn, det_id, g_det_id, iou, true as ok, [det_id] as l, [g_det_id] as rr from od where rn = 1 union all select o.frame, o.cls, o.rn, o.det_id, o.g_det_id, o.iou, not (list_contains(l, o.det_id) or list_contains(rr, o.g_det_id)), case when list_contains(l, o.det_id) or list_contains(rr, o.g_det_id) then l else list_append(l, o.det_id) end, case when list_contains(l, o.det_id) or list_contains(rr, o.g_det_id) then rr else list_append(rr, o.g_det_id) end from gm join od o on o.frame = gm.frame and o.cls = gm.cls and o.rn = gm.rn + 1) select frame, cls, det_id, g_det_id, round(iou, 4) as iou from gm where ok", "boxes", "gt")
 def greedy_detection_match(v, t):
     b = v("gt").select("frame", "cls", *[F.col(c).alias(f"g_{c}") for c in ("det_id", "x", "y", "w", "h")])
     p = v("boxes").join(b, ["frame", "cls"]).withColumn("iou", g.iou(("x", "y", "w", "h"), ("g_x", "g_y", "g_w", "g_h"))).where("iou >= 0.5")
@@ -632,7 +631,7 @@ def relink_candidates(v, t):
     return link_candidates(v).select("seq", "a", "b", "df", r("d").alias("d"), r("score").alias("score"))
 
 
-@query(None)
+@query(LINKS + ", od as (select *, row_number() over (partition by seq order by score, a, b) as rn from cand), gm as (select seq, rn, a, b, true as ok, [a] as l, [b] as rr from od where rn = 1 union all select o.seq, o.rn, o.a, o.b, not (list_contains(l, o.a) or list_contains(rr, o.b)), case when list_contains(l, o.a) or list_contains(rr, o.b) then l else list_append(l, o.a) end, case when list_contains(l, o.a) or list_contains(rr, o.b) then rr else list_append(rr, o.b) end from gm join od o on o.seq = gm.seq and o.rn = gm.rn + 1), ln as materialized (select b as id, a as parent from gm where ok), up as (select id, parent as root from ln union all select up.id, ln.parent from up join ln on ln.id = up.root) select id, root from up where root not in (select id from ln)", "trk")
 def relink_chain(v, t):
     c = link_candidates(v).withColumn("worth", -F.col("score"))
     links = joins.greedy_matches(c, ["seq"], "worth", "a", "b").select(F.col("b").alias("id"), F.col("a").alias("parent"))

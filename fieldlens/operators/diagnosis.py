@@ -69,8 +69,7 @@ def break_causes(tracks: DataFrame, keys: Sequence[str] = ("seq",), c: Breaks =
 
 def _occluded(ends: DataFrame, tracks: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """JN18: of the tracks' ends those with another track's box within the radius."""
-    here = tracks.join(ends.select(*keys, "frame").distinct(), [*keys, "frame"], "left_semi")
-    return near_another(here, keys, "frame", "track_id", "cx", "cy", radius).where("occluded").join(ends.select(*keys, "track_id", "frame"), [*keys, "track_id", "frame"], "left_semi").select(*keys, "track_id", "occluded").distinct()
+    return near_another(ends, tracks, keys, "frame", "track_id", "cx", "cy", radius).where("occluded").select(*keys, "track_id", "occluded")
 
 
 def cause_shares(causes: DataFrame) -> DataFrame:

@@ -198,15 +198,15 @@ def heaviest_matches(pairs: DataFrame, group: Sequence[str], worth: str, left: s
     return in_batches(pairs.select(*group, left, right, worth), group, lambda pdf: pd.concat([solve(x) for _, x in pdf.groupby(list(group), sort=False)]), kind)
 
 
-def near_another(rows: DataFrame, keys: Sequence[str], frame: str, track: str, x: str, y: str, radius: float) -> DataFrame:
-    """JN18: the rows with ``occluded``: whether another track's row of the same frame is nearer than the radius.
+def near_another(asking: DataFrame, rows: DataFrame, keys: Sequence[str], frame: str, track: str, x: str, y: str, radius: float) -> DataFrame:
+    """JN18: the asking rows with ``occluded``: whether another track's row of the same frame is nearer than the radius.
 
-    Rows meet in squares as wide as the radius, their own and those around it.
+    Rows meet in squares as wide as the radius; those that ask look into their own and those around it.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     step = F.array(*map(F.lit, (-1, 0, 1)))
     there = rows.select(*keys, frame, F.col(track).alias("__t"), F.col(x).alias("__x"), F.col(y).alias("__y"), cell(x).alias("__i"), cell(y).alias("__j"))
-    here = rows.select(*keys, frame, track, x, y).distinct().withColumn("__di", F.explode(step)).withColumn("__dj", F.explode(step)).withColumn("__i", cell(x) + F.col("__di")).withColumn("__j", cell(y) + F.col("__dj"))
+    here = asking.select(*keys, frame, track, x, y).distinct().withColumn("__di", F.explode(step)).withColumn("__dj", F.explode(step)).withColumn("__i", cell(x) + F.col("__di")).withColumn("__j", cell(y) + F.col("__dj"))
     apart = F.sqrt((F.col(x) - F.col("__x")) ** 2 + (F.col(y) - F.col("__y")) ** 2)
     hit = here.join(there, [*keys, frame, "__i", "__j"]).where((F.col(track) != F.col("__t")) & (apart < radius)).select(*keys, frame, track, x, y).distinct()
-    return rows.join(hit.withColumn("__hit", F.lit(True)), [*keys, frame, track, x, y], "left").withColumn("occluded", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    return asking.join(hit.withColumn("__hit", F.lit(True)), [*keys, frame, track, x, y], "left").withColumn("occluded", F.coalesce("__hit", F.lit(False))).drop("__hit")

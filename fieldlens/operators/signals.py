@@ -20,6 +20,12 @@ def with_roles(rows: DataFrame, roles: DataFrame, keys: Sequence[str] = ("track_
     return rows.join(roles.select(*keys, "role"), [*keys]).where(F.col("role").isin(*keep))
 
 
+def possession_timeline(frames: DataFrame, holders: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """JN1: ``keys, possession`` of every frame: 1 and 2 where the one at the ball (keys, role) plays for TeamA or TeamB, else 0."""
+    code = F.when(F.col("role") == "TeamA", 1).when(F.col("role") == "TeamB", 2).otherwise(0).cast("bigint")
+    return frames.select(*keys).join(holders.select(*keys, "role"), list(keys), "left").select(*keys, code.alias("possession"))
+
+
 def court_possession(ball: DataFrame, players: DataFrame, keys: Sequence[str], half: Sequence[float], radius: float = 3.0) -> DataFrame:
     """JN7: who has the ball (bx, by): the nearest of the players (px, py) on the court, if near enough."""
     on = players.where((F.abs("px") <= half[0]) & (F.abs("py") <= half[1]))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .joins import in_batches
+from .sequential import fold_batches, schema_of
 
 
 @dataclass(frozen=True)
@@ -39,66 +40,102 @@ class BallFilter:
         return not on_head and (self.start_near is None or within is None or det[4] is None or det[4] <= within)
 
     def run(self, frames: dict[int, list[tuple[float, float, float, bool, float | None]]], last: int) -> list[tuple]:
-        """(frame, status, x, y, vx, vy, n_dets, picked_conf) for frames 1 to ``last``.
+        """``BallTrack.step`` over frames 1 to ``last``."""
+        track = BallTrack(self)
+        return [row for f in range(1, last + 1) for row in track.until(f, frames.get(f, []))]
+
+
+class BallTrack:
+    """The filter between two frames: place and speed with their covariance, if the ball is followed, frames since it was seen, and frames that
+    a ball has been in the gate for again."""
+
+    def __init__(self, settings: BallFilter):
+        self.settings = settings
+        self.frame, self.missed, self.pending = 0, 0, 0
+        self.mean: np.ndarray | None = None
+        self.cov = np.zeros((4, 4))
+        self.move = np.eye(4) + np.diag([1.0, 1.0], 2)
+        self.noise = np.diag([settings.q_pos] * 2 + [settings.q_vel] * 2)
+
+    def numbers(self) -> tuple:
+        """The state as plain numbers, for a state store."""
+        known = self.mean is not None
+        return self.frame, self.missed, self.pending, known, (self.mean if known else np.zeros(4)).tolist(), self.cov.ravel().tolist()
+
+    def load(self, frame: int, missed: int, pending: int, known: bool, mean: Sequence[float], cov: Sequence[float]) -> BallTrack:
+        self.frame, self.missed, self.pending = int(frame), int(missed), int(pending)
+        self.mean, self.cov = np.array(mean, float) if known else None, np.array(cov, float).reshape(4, 4)
+        return self
+
+    def until(self, frame: int, dets: list[tuple]) -> list[tuple]:
+        """Rows of the frames up to this one: those in between had no detections."""
+        return [self.step(dets if f == frame else []) for f in range(self.frame + 1, frame + 1)]
+
+    def step(self, dets: list[tuple]) -> tuple:
+        """(frame, status, x, y, vx, vy, n_dets, picked_conf) of the next frame.
 
         A detection is its place, confidence, whether it is on a head, and how far from the nearest player (null: not known, counts as near).
         """
-        move = np.eye(4) + np.diag([1.0, 1.0], 2)
-        noise = np.diag([self.q_pos] * 2 + [self.q_vel] * 2)
-        state, cov, missed, pending, out = None, None, 0, 0, []
-        for f in range(1, last + 1):
-            dets, picked = frames.get(f, []), None
-            if state is not None:
-                state, cov = move @ state, move @ cov @ move.T + noise
-                near = [(np.hypot(d[0] - state[0], d[1] - state[1]), d) for d in dets]
-                speed = float(np.hypot(state[2], state[3]))
-                near = [x for x in near if x[0] <= self.gate and self._allowed(x[1], speed, self.gate_near)]
-                waits = bool(near) and self.start_near is not None and missed > 0 and pending + 1 < self.reacquire
-                if waits:  # the ball has to be seen again before it is followed
-                    pending, missed = pending + 1, missed + 1
-                elif near:
-                    pending = 0
-                    picked = min(near, key=lambda x: x[0])[1]
-                    gain = cov[:, :2] @ np.linalg.inv(cov[:2, :2] + np.eye(2) * self.r_meas)
-                    state = state + gain @ (np.array(picked[:2]) - state[:2])
-                    cov, missed = cov - gain @ cov[:2], 0
-                else:
-                    pending, missed = 0, missed + 1
-                    if missed > self.max_gap:
-                        state = None
-            if state is None:
-                best = max((d for d in dets if d[2] >= self.init_conf and self._allowed(d, 0.0, self.start_near)), key=lambda d: d[2], default=None)
-                if best:
-                    picked, missed = best, 0
-                    state, cov = np.array([best[0], best[1], 0.0, 0.0]), np.diag([self.p_pos] * 2 + [self.p_vel] * 2)
-            if state is None:
-                out.append((f, "lost", None, None, None, None, len(dets), None))
+        s, picked = self.settings, None
+        self.frame += 1
+        if self.mean is not None:
+            self.mean, self.cov = self.move @ self.mean, self.move @ self.cov @ self.move.T + self.noise
+            near = [(np.hypot(d[0] - self.mean[0], d[1] - self.mean[1]), d) for d in dets]
+            speed = float(np.hypot(self.mean[2], self.mean[3]))
+            near = [x for x in near if x[0] <= s.gate and s._allowed(x[1], speed, s.gate_near)]
+            waits = bool(near) and s.start_near is not None and self.missed > 0 and self.pending + 1 < s.reacquire
+            if waits:  # the ball has to be seen again before it is followed
+                self.pending, self.missed = self.pending + 1, self.missed + 1
+            elif near:
+                self.pending = 0
+                picked = min(near, key=lambda x: x[0])[1]
+                gain = self.cov[:, :2] @ np.linalg.inv(self.cov[:2, :2] + np.eye(2) * s.r_meas)
+                self.mean = self.mean + gain @ (np.array(picked[:2]) - self.mean[:2])
+                self.cov, self.missed = self.cov - gain @ self.cov[:2], 0
             else:
-                out.append((f, "detected" if picked else "predicted", *map(float, state), len(dets), float(picked[2]) if picked else None))
-        return out
+                self.pending, self.missed = 0, self.missed + 1
+                if self.missed > s.max_gap:
+                    self.mean = None
+        if self.mean is None:
+            best = max((d for d in dets if d[2] >= s.init_conf and s._allowed(d, 0.0, s.start_near)), key=lambda d: d[2], default=None)
+            if best:
+                picked, self.missed = best, 0
+                self.mean, self.cov = np.array([best[0], best[1], 0.0, 0.0]), np.diag([s.p_pos] * 2 + [s.p_vel] * 2)
+        if self.mean is None:
+            return self.frame, "lost", None, None, None, None, len(dets), None
+        return (self.frame, "detected" if picked else "predicted", *map(float, self.mean), len(dets), float(picked[2]) if picked else None)
 
 
 TRACK = "frame bigint, status string, x double, y double, vx double, vy double, n_dets bigint, picked_conf double"
+TRACK_COLUMNS = [c.split()[0] for c in TRACK.split(", ")]
+
+
+def detections_by_frame(pdf: pd.DataFrame, flag: str | None, near: str | None):
+    """(frame, detections), frames in order from 1, detections by confidence."""
+    pdf = pdf.sort_values(["frame", "conf", "x", "y"], ascending=[True, False, True, True])
+    heads = pdf[flag].eq(True) if flag else [False] * len(pdf)
+    apart = [None if pd.isna(d) else float(d) for d in pdf[near]] if near else [None] * len(pdf)
+    frames: dict[int, list] = {}
+    for f, x, y, c, g, d in zip(pdf["frame"], pdf["x"], pdf["y"], pdf["conf"], heads, apart):
+        if f >= 1:
+            frames.setdefault(int(f), []).append((x, y, c, bool(g), d))
+    yield from frames.items()
 
 
 def kalman_track(detections: DataFrame, keys: Sequence[str], settings: BallFilter = BallFilter(), flag: str | None = None, near: str | None = None) -> DataFrame:
-    """FD2, FD3: a row for each frame up to the last one with detections (frame, x, y, conf); ``flag``: on a head; ``near``: distance from the nearest player."""
-    kind = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keys)
-    names = [c.split()[0] for c in TRACK.split(", ")]
+    """FD2, FD3: a row for each frame up to the last one with detections (frame, x, y, conf); ``flag``: on a head; ``near``: distance from the nearest player.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames: dict[int, list] = {}
-        pdf = pdf.sort_values(["frame", "conf", "x", "y"], ascending=[True, False, True, True])
-        heads = pdf[flag].eq(True) if flag else [False] * len(pdf)
-        apart = [None if pd.isna(d) else float(d) for d in pdf[near]] if near else [None] * len(pdf)
-        for f, x, y, c, g, d in zip(pdf["frame"], pdf["x"], pdf["y"], pdf["conf"], heads, apart):
-            frames.setdefault(int(f), []).append((x, y, c, bool(g), d))
-        out = pd.DataFrame(settings.run(frames, int(pdf["frame"].max())), columns=names)
-        for k in reversed(list(keys)):
+    Frames are folded in their order; what is carried between batches is the filter.
+    """
+    keys = list(keys)
+
+    def step(track: BallTrack, pdf: pd.DataFrame) -> tuple:
+        out = pd.DataFrame([row for f, dets in detections_by_frame(pdf, flag, near) for row in track.until(f, dets)], columns=TRACK_COLUMNS)
+        for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
-        return out
+        return track, out.astype({c: "float64" for c in ("x", "y", "vx", "vy", "picked_conf")})
 
-    return detections.groupBy(*keys).applyInPandas(run, f"{kind}, {TRACK}")
+    return fold_batches(detections, keys, ["frame"], lambda: BallTrack(settings), step, f"{schema_of(detections, keys)}, {TRACK}", whole=["frame"])
 
 
 def low_pass(v: np.ndarray, cutoff: float, fps: float) -> np.ndarray:

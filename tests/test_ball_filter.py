@@ -1,6 +1,8 @@
+import random
 from dataclasses import replace
 
 from fieldlens.operators.tracking import BallFilter, kalman_track
+from fieldlens.streaming import live
 
 NEAR = BallFilter(start_near=150.0, gate_near=300.0, max_gap=3)
 
@@ -49,3 +51,27 @@ def test_columns_say_heads_and_distances(spark):
     df = spark.createDataFrame(rows, "seq string, frame int, x double, y double, conf double, head boolean, apart double")
     got = kalman_track(df, ["seq"], replace(NEAR, reject_head=True), "head", "apart").orderBy("frame").collect()
     assert [(r.status, r.picked_conf, r.n_dets) for r in got] == [("detected", 0.4, 2), ("detected", 0.8, 1)]
+
+
+def test_rules_hold_in_streams_and_across_batches(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [("a", f, 100.0 + 2 * f + rng.gauss(0, 1), 100.0, 0.9, f % 11 == 5, 20.0 if f % 7 else 400.0) for f in range(1, 80) if f % 9 and not 30 < f < 36]
+    rows += [("a", f, 600.0, 400.0, 0.95, False, None) for f in range(2, 80, 5)]
+    df = spark.createDataFrame(rows, "seq string, frame bigint, x double, y double, conf double, head boolean, apart double")
+    rules = replace(NEAR, reacquire=2, head_speed=8.0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        want = [(r.frame, r.status, r.x, r.y) for r in kalman_track(df, ["seq"], rules, "head", "apart").orderBy("frame").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frames: dict = {}
+    for _, f, *d in sorted(rows, key=lambda r: (r[1], -r[4])):
+        frames.setdefault(f, []).append(tuple(d))
+    assert [(r[0], r[1], r[2], r[3]) for r in rules.run(frames, max(frames))] == want and {s for _, s, *_ in want} == {"detected", "predicted", "lost"}
+    before = 0
+    for end in (1, 17, 33, 79):
+        df.where(f"frame > {before} and frame <= {end}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        before = end
+        live.run_available(live.track_ball(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rules, "head", "apart"), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("frame").collect()
+    assert [(r.frame, r.status, r.x, r.y) for r in got] == want

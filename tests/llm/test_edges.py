@@ -1,6 +1,7 @@
 """Every operator on texts: nulls, empty and very long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import bisect
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,8 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.llm import attention_lm, bpe, common, fingerprints, line_dedup, ngram_join, packing, quality_gam, sharding
+import corpus_pipeline
+from fieldlens.llm import attention_lm, bpe, common, fingerprints, line_dedup, near_embeddings, ngram_join, packing, quality_gam, sharding, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 CLASH = ("id", "n", "a", "b", "place", "part", "block", "kind", "key", "size", "slot", "shard", "score", "held_out", "features", "quality", "hash", "words", "line", "kept", "n_lines", "doc", "of_text", "total")
@@ -192,3 +194,37 @@ def test_checkpoints_need_a_shared_folder_off_the_local_machine(monkeypatch):
     session = type("Session", (), {"conf": Conf(), "sparkContext": Context()})
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.ensure_checkpoint_dir(session)
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_pipeline_from_end_to_end(spark, tmp_path, rows):
+    d = docs(spark, rows, True)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    labels(d).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.quality(spark, d, str(tmp_path)).collect()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {r.doc_id for r in kept} and bool(got) == bool(kept)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in places.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(x))]
+        assert [a for a, _ in sorted(x)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_vectors_with_odd_rows_and_clashing_columns(spark):
+    v = [1.0, 0.5, -0.25, 2.0]
+    rows = [(1, v, 0), (2, [2 * x for x in v], 0), (3, v, 1), (4, v, None), (5, None, 0), (6, [0.0] * 4, 0), (7, [float("nan")] * 4, 0), (8, [1.0, None, 1.0, 1.0], 0), (9, [-x for x in v], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    df = df.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("id", "a", "b", "n", "hash", "key", "part", "component", "tree", "leaf"))))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_embeddings.link_embeddings(df, 0.93).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), **{i: (0, i, True) for i in range(3, 10)}}
+
+
+def test_pages_with_repeated_and_null_ids(spark, tmp_path):
+    rows = [(5, "<p>a</p>"), (5, "<p>a</p>"), (2, "<p>b</p>"), (None, "<p>b</p>"), (None, None), (7, "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string").withColumn("url", F.lit("http://x"))
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w"), keep_payload=False).collect()
+    assert len(got) == 6 and sorted(r.payload_bytes for r in got) == [0, 0, 8, 8, 8, 8]
+    assert sum(r.record_type == "response" for r in got) >= 3

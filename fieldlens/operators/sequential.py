@@ -70,10 +70,11 @@ def rate_limited(df: DataFrame, keys: Sequence[str], order: str, values: Sequenc
 
     def follow(at: list, target: float) -> list:
         place, speed = at
-        error = target - place
-        wanted = math.copysign(min(vmax, math.sqrt(2 * decel * max(0.0, abs(error) - dead_zone))), error)
-        most = accel if abs(wanted) > abs(speed) else decel
-        speed += max(-most, min(most, wanted - speed))
+        way = target - place
+        braking = (2 * decel * max(0.0, abs(way) - dead_zone)) ** 0.5  # from which it can still stop in time
+        wanted = min(vmax, braking) if way > 0 else -min(vmax, braking)
+        bound = accel if abs(wanted) > abs(speed) else decel
+        speed += float(np.clip(wanted - speed, -bound, bound))
         return [place + speed, speed]
 
     def step(state: dict, pdf: pd.DataFrame) -> tuple:

@@ -18,15 +18,14 @@ def tiny_batches(spark):
 
 
 def follow(targets, vmax, accel, decel, zone):
-    place, speed, out = targets[0], 0.0, [targets[0]]
+    at, v, out = targets[0], 0.0, [targets[0]]
     for t in targets[1:]:
-        room = max(0.0, abs(t - place) - zone)
-        wanted = math.copysign(min(vmax, math.sqrt(2 * decel * room)), t - place) if room > 0 else 0.0
-        change = wanted - speed
-        most = accel if abs(wanted) > abs(speed) else decel
-        speed += math.copysign(most, change) if abs(change) > most else change
-        place += speed
-        out.append(place)
+        far = abs(t - at) - zone
+        goal = np.sign(t - at) * min(vmax, (2 * decel * far) ** 0.5) if far > 0 else 0.0
+        step = accel if abs(goal) > abs(v) else decel
+        v = goal if abs(goal - v) <= step else v + np.sign(goal - v) * step
+        at += v
+        out.append(at)
     return out
 
 

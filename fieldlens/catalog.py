@@ -126,7 +126,7 @@ def player_centroid_trimmed(v, t):
     return metrics.trimmed_centroid(v("boxes"), ["frame"], "x", "y").select("frame", r("cx").alias("cx"), r("cy").alias("cy"), "n")
 
 
-@query(None)
+@query(", pt as (select distinct frame, role, x, y from boxes), ed as (select p.frame, p.role, p.x as px, p.y as py, q.x as qx, q.y as qy from pt p join pt q on q.frame = p.frame and q.role = p.role and (q.x <> p.x or q.y <> p.y)), tr as (select ed.*, (qx - px) * (o.y - py) - (qy - py) * (o.x - px) as side, (o.x - px) * (qx - px) + (o.y - py) * (qy - py) as along, (qx - px) * (qx - px) + (qy - py) * (qy - py) as len from ed join pt o on o.frame = ed.frame and o.role = ed.role), rim as (select frame, role, px, py, qx, qy from tr group by frame, role, px, py, qx, qy having min(side) >= 0 and not bool_or(side = 0 and (along < 0 or along > len))) select frame, role, round(sum(px * qy - qx * py) / 2, 4) as area from rim group by frame, role having sum(px * qy - qx * py) > 0", "boxes")
 def team_hull_area(v, t):
     return tracking.hull_areas(v("boxes"), ["frame", "role"], "x", "y").select("frame", "role", r("area").alias("area"))
 

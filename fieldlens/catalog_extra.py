@@ -609,9 +609,9 @@ def streamed(sql: str | None = None):
     return add
 
 
-@streamed()
+@streamed("with f as (select user_id, date_trunc('minute', min(ts)) as start from events group by user_id) select start, count(*) as new_ids from f where start + interval 1 minute <= (select max(ts) - interval 1 hour from events) group by start")
 def stream_new_ids(stream):
-    return live.new_ids(stream)
+    return live.new_ids(stream).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @streamed("select distinct user_id as job_id, event_type as state from events")

@@ -20,15 +20,24 @@ def decisions(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pool", "job_id", "state", "at"]).astype({"pool": object, "job_id": "int64", "state": object, "at": "datetime64[ns]"})
 
 
+#: Milliseconds whose waiting jobs are kept together.
+HOUR = 3_600_000
+
+
 class Desk(StatefulProcessor):
-    """A pool's jobs: when results expire, and who waits.  Each expiry is a timer, which expires its jobs and promotes as many of those that waited by then."""
+    """A pool's jobs: when results expire, and who waits, by the hour in which they came; no hour before ``head`` has any.
+
+    Each expiry is a timer, which expires its jobs and promotes as many of those that waited by then: it looks into the first hours alone.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ready = handle.getMapState("ready", "expires bigint", "jobs array<bigint>")
-        self.waiting = handle.getMapState("waiting", "created bigint, job_id bigint", "is boolean")
+        self.waiting = handle.getMapState("waiting", "hour bigint", "created array<bigint>, jobs array<bigint>")
+        self.head = handle.getValueState("head", "hour bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came: dict[int, list] = {}
         for pdf in rows:
             for job, state, created, expires in zip(pdf["job_id"], pdf["state"], pdf["created_ms"], pdf["expires_ms"]):
                 if state == "ready" and not pd.isna(expires):
@@ -36,17 +45,40 @@ class Desk(StatefulProcessor):
                     self.ready.updateValue(at, ([*(self.ready.getValue(at)[0] if self.ready.containsKey(at) else []), int(job)],))
                     self.handle.registerTimer(int(expires))
                 elif state == "quota_waiting":
-                    self.waiting.updateValue((int(created), int(job)), (True,))
+                    came.setdefault(int(created) // HOUR, []).append((int(created), int(job)))
+        for hour, jobs in came.items():
+            self._wait(hour, self._waiting(hour) + jobs)
+        if came:
+            self.head.update((min([*came, *([self.head.get()[0]] if self.head.exists() else [])]),))
         yield decisions([])
 
+    def _waiting(self, hour: int) -> list[tuple[int, int]]:
+        return sorted(zip(*self.waiting.getValue((hour,)))) if self.waiting.containsKey((hour,)) else []
+
+    def _wait(self, hour: int, jobs: list[tuple[int, int]]) -> None:
+        if jobs:
+            self.waiting.updateValue((hour,), tuple(map(list, zip(*jobs))))
+        else:
+            self.waiting.removeKey((hour,))
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         gone = sorted(self.ready.getValue((at,))[0]) if self.ready.containsKey((at,)) else []
         self.ready.removeKey((at,))
-        turn = sorted(k for k in self.waiting.keys() if k[0] <= at)[: len(gone)]
-        for k in turn:
-            self.waiting.removeKey(tuple(k))
-        rows = [(key[0], j, "expired", pd.Timestamp(at, unit="ms")) for j in gone] + [(key[0], k[1], "approved", pd.Timestamp(at, unit="ms")) for k in turn]
+        rows = [(key[0], j, "expired", pd.Timestamp(at, unit="ms")) for j in gone]
+        room, hour, last = len(gone), self.head.get()[0] if self.head.exists() else at, at // HOUR
+        while room and hour <= last:
+            here = self._waiting(hour)
+            turn = [x for x in here if x[0] <= at][:room]
+            if turn:
+                self._wait(hour, here[len(turn) :])
+                rows += [(key[0], j, "approved", pd.Timestamp(at, unit="ms")) for _, j in turn]
+                room -= len(turn)
+            if len(turn) < len(here) or hour == last:  # others wait, or may still come, in this hour
+                break
+            hour += 1
+        if self.head.exists():
+            self.head.update((min(hour, last),))
         yield decisions(rows)
 
     def close(self) -> None:

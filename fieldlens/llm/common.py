@@ -68,3 +68,20 @@ def chunks(batches, column: str, limit: int = 24_000_000):
             total += size
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def tidy(run):
+    """``run`` over Arrow batches; when it has ended, memory that isn't in use any more goes back to the machine, as an idle worker would keep it."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return whole

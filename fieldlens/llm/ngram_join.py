@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, compact
+from .common import checkpoint, chunks, compact, tidy
 from .components import Forest, connected_components
 
 WORDS = 5
@@ -418,7 +418,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``doc_id, of_text, n_shingles, least, component_id`` of every document; ``least``: id and text hash of the first in its component."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = _power(int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES)
-    packed = rows.withColumn("of_text", F.xxhash64("text")).mapInArrow(_blocks48(parts), PACKED)
+    packed = rows.withColumn("of_text", F.xxhash64("text")).mapInArrow(tidy(_blocks48(parts)), PACKED)
     known = packed.groupBy("part").applyInPandas(_counted, PACKED).groupBy("block").applyInPandas(_alive, "doc_id bigint, n bigint, k1 bigint, k2 bigint, of_text bigint, alive boolean")
     known = checkpoint(known)
     name = F.struct("doc_id", "of_text")
@@ -426,7 +426,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     reps = checkpoint(reps.withColumn("rep", F.monotonically_increasing_id()))
     texts = rows.join(reps.select("id", "rep", "k1", "k2"), "id").select("rep", "text", "k1", "k2")
     few = _power(int(reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // PART_SHINGLES)
-    sets = texts.mapInArrow(_blocks(few, False), PACKED).groupBy("part").applyInPandas(_shared, PACKED)
+    sets = texts.mapInArrow(tidy(_blocks(few, False)), PACKED).groupBy("part").applyInPandas(_shared, PACKED)
     sets = checkpoint(sets.groupBy("block").applyInPandas(_ordered, "rep bigint, n bigint, shared binary, prefix array<bigint>, alone bigint, signature array<bigint>"))
     comps = link_sets(sets).withColumnRenamed("id", "rep")
     named = reps.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

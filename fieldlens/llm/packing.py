@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, load
-from .common import checkpoint, chunks
+from .common import checkpoint, chunks, tidy
 
 CAPACITY = 1024
 #: A sequence this full is emitted at once.
@@ -129,7 +129,7 @@ def tokenise(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields)], schema=pa.schema(fields))
 
     columns = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, columns)
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(tidy(run), columns)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_rows: int = 20_000) -> DataFrame:

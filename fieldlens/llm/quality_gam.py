@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, tidy
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             x = [features(t or "") for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    found = texts.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, x array<double>")
+    found = texts.select("doc_id", "y", "text").mapInArrow(tidy(run), f"doc_id {kind}, y int, x array<double>")
     got = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("doc_id")  # MAX_TRAIN rows
     return fit(np.array(got["x"].tolist()).reshape(-1, len(FEATURES)), got["y"].to_numpy(np.float64))
 
@@ -205,7 +205,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -216,4 +216,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_distance, project
+from ..functions.text import printed
 from .windows import ordered
 
 PITCH = (52.5, 34.0)
@@ -104,13 +105,13 @@ def calibration_quality(landmark_m: Column, register_px: Column, method: Column)
     return [
         F.when(by_marks, F.coalesce(method, F.lit("manual"))).when(by_fit, "auto-register (retired)").otherwise(F.coalesce(method, F.lit("unknown"))).alias("method"),
         F.when(by_marks, "landmark recon").when(by_fit, "align resid").otherwise("calib").alias("label"),
-        F.when(by_marks, F.format_string("%.1f m", landmark_m)).when(by_fit, F.format_string("%.0f px", register_px)).otherwise("n/a").alias("value"),
+        F.when(by_marks, F.concat(printed(landmark_m, 1), F.lit(" m"))).when(by_fit, F.concat(printed(register_px, 0), F.lit(" px"))).otherwise("n/a").alias("value"),
     ]
 
 
 def tag_text(types: Column, confidence: Column, start: Column, end: Column) -> Column:
     """PRJ24: what a clip is headed with."""
-    return F.concat(F.replace(F.array_join(types, "+"), F.lit("_"), F.lit(" ")), F.format_string("  c=%.2f  [%.1f-%.1fs]", confidence, start, end))
+    return F.concat(F.replace(F.array_join(types, "+"), F.lit("_"), F.lit(" ")), F.lit("  c="), printed(confidence, 2), F.lit("  ["), printed(start, 1), F.lit("-"), printed(end, 1), F.lit("s]"))
 
 
 def court_landmarks(spark: SparkSession, length: float, width: float, lane_width: float, lane_length: float, basket: float, arc: float) -> DataFrame:

@@ -18,3 +18,13 @@ def test_numbers_are_printed_as_c_prints_them(spark):
         assert [(r.v, r.t) for r in got] == [(r.v, "%.*f" % (digits, r.v)) for r in got]
     half = spark.range(1).select(*projection.calibration_quality(F.lit(None).cast("double"), F.lit(2.5), F.lit("football"))).first()
     assert half.value == "2 px"
+
+
+def test_rim_of_equal_distances_is_the_first_frame(spark):
+    """Distances that rounding alone sets apart are equal in the SQL too."""
+    d = [5.0, 1.0 + 1e-15, 1.0, *[5.0] * 60]
+    rows = [("s", i, x, 5.0, -1.0, 0.0, True, 1, False) for i, x in enumerate(d)]
+    f = spark.createDataFrame(rows, "seq string, i bigint, d_left double, d_right double, hd_left double, hd_right double, detected boolean, possession int, flip boolean")
+    none = spark.createDataFrame([], "seq string, type string, start bigint, end bigint, peak bigint, confidence double")
+    (r,) = events.made_baskets(f, none).collect()
+    assert r.peak == 1 and math.isclose(r.confidence, 0.6)

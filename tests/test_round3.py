@@ -28,3 +28,16 @@ def test_rim_of_equal_distances_is_the_first_frame(spark):
     none = spark.createDataFrame([], "seq string, type string, start bigint, end bigint, peak bigint, confidence double")
     (r,) = events.made_baskets(f, none).collect()
     assert r.peak == 1 and math.isclose(r.confidence, 0.6)
+
+
+def test_new_ids_count_in_the_window_of_their_least_time(spark, tmp_path):
+    """Whichever file of a batch is read first."""
+    late = [(u, f"2024-01-01 05:{m:02d}:30") for u in ("7", "8", "null") for m in range(60)] + [("9", "2024-01-02 00:00:00")]
+    early = [(u, "2024-01-01 04:10:30.25") for u in ("7", "null")] + [("8", "2024-01-01 04:12:00")]
+    for name, rows in (("a", late), ("b", early)):
+        texts = ", ".join(f"({u}, timestamp '{t}')" for u, t in rows)
+        spark.sql(f"select cast(user_id as bigint) as user_id, ts from values {texts} t(user_id, ts)").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{name}"))
+    stream = spark.readStream.schema("user_id bigint, ts timestamp").parquet(str(tmp_path / "in/*"))
+    live.run_available(live.new_ids(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(str(r.start), r.new_ids) for r in spark.read.schema("start timestamp, new_ids bigint").parquet(str(tmp_path / "out")).collect()}
+    assert got == {("2024-01-01 04:10:00", 2), ("2024-01-01 04:12:00", 1)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -162,40 +164,95 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) if flip else (i, j) for i, j in pairs)
 
 
+def heaviest(left: Sequence, right: Sequence, worth: Sequence[float]) -> np.ndarray:
+    """Which of the given pairs (each once) are in one-to-one matches of greatest total worth; only pairs worth more than nothing are.
+
+    Shortest augmenting paths over the pairs alone: most rows can have what is worth most to them, and a path only goes where others claim the same.
+    """
+    near: dict = {}
+    for k, (i, j, w) in enumerate(zip(left, right, worth)):
+        if w > 0:
+            near.setdefault(i, []).append((j, w, k))
+    u, v, mate, owner = {i: max(w for _, w, _ in e) for i, e in near.items()}, {}, {}, {}
+    waiting = []
+    for i, edges in near.items():
+        free = next(((j, k) for j, w, k in edges if w == u[i] and j not in owner), None)
+        if free:
+            mate[i], owner[free[0]] = free, i
+        else:
+            waiting.append(i)
+    for start in waiting:
+        at, settled, way, least = {start: 0.0}, {}, {}, {}
+        heap, n = [(u[start], 0, None, start)], 0  # ends: a row that goes without, or a column that is free
+        i, d = start, 0.0
+        while True:
+            for j, w, k in near[i]:
+                if j not in settled:
+                    far = d + max(0.0, u[i] + v.get(j, 0.0) - w)
+                    if far < least.get(j, math.inf):
+                        least[j], way[j], n = far, (i, k), n + 1
+                        heapq.heappush(heap, (far, n, j, i))
+            while True:
+                far, _, j, via = heapq.heappop(heap)
+                if j is None or (j not in settled and far == least[j]):
+                    break
+            if j is None or j not in owner:
+                break
+            settled[j] = far
+            i, d = owner[j], far
+            at[i], n = d, n + 1
+            heapq.heappush(heap, (d + u[i], n, None, i))
+        for i, d in at.items():
+            u[i] -= far - d
+        for c, d in settled.items():
+            v[c] = v.get(c, 0.0) + far - d
+        if j is None:  # ``via`` goes without, and its column is passed on
+            if via == start:
+                continue
+            j = mate.pop(via)[0]
+        while True:
+            i, k = way[j]
+            passed = mate.get(i)
+            mate[i], owner[j] = (j, k), i
+            if i == start:
+                break
+            j = passed[0]
+    kept = np.zeros(len(worth), bool)
+    kept[[k for _, k in mate.values()]] = True
+    return kept
+
+
+def heaviest_rows(pdf: pd.DataFrame, group: Sequence[str], left: str, right: str, worth: np.ndarray) -> np.ndarray:
+    """``heaviest`` in many groups at once: pairs that share neither side with another are taken as they are."""
+    within = pdf.groupby(list(group), sort=False, dropna=False).ngroup().to_numpy()
+    a, b = (pd.Series(within).astype("int64") * (len(pdf) + 1) + pd.factorize(pdf[c])[0] for c in (left, right))
+    kept = worth > 0
+    shared = np.flatnonzero((a.duplicated(keep=False) | b.duplicated(keep=False)).to_numpy() & kept)
+    kept[shared] = heaviest(a.to_numpy()[shared].tolist(), b.to_numpy()[shared].tolist(), worth[shared].tolist())
+    return kept
+
+
 def optimal_matches(pairs: DataFrame, group: Sequence[str], cost: str, left: str, right: str, gate: float) -> DataFrame:
     """JN16: of each group (a frame) the one-to-one matches of least total cost within the gate."""
+    group = list(group)
     kind = pairs.select(*group, left, right, cost).schema
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(pdf[left].unique()), sorted(pdf[right].unique())
-        c = np.full((len(a), len(b)), gate * 1e3)
-        ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-        first = pdf.drop_duplicates([left, right])
-        c[[ia[x] for x in first[left]], [ib[x] for x in first[right]]] = np.minimum(first[cost], gate * 1e3)
-        chosen = {(a[i], b[j]) for i, j in assign(c) if c[i, j] <= gate}
-        return first[[(x, y) in chosen for x, y in zip(first[left], first[right])]]
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([solve(x) for _, x in pdf.groupby(list(group), sort=False)])
+        first = pdf.drop_duplicates([*group, left, right]).reset_index(drop=True)
+        kept = heaviest_rows(first, group, left, right, gate * 1e3 - np.minimum(first[cost].to_numpy(float), gate * 1e3))
+        return first[kept & (first[cost] <= gate)]
 
-    return in_batches(pairs.select(*group, left, right, cost), group, each, kind)
+    return in_batches(pairs.select(*group, left, right, cost), group, solve, kind)
 
 
 def heaviest_matches(pairs: DataFrame, group: Sequence[str], worth: str, left: str, right: str) -> DataFrame:
     """JN17: of each group (a sequence) the one-to-one matches of greatest total worth; pairs that aren't given are worth nothing.
 
-    The pairs are counts by two ids, so a group is as large as the product of the ids that meet in a sequence.
+    A group is as large as the number of pairs of ids that meet in a sequence.
     """
+    group = list(group)
     kind = pairs.select(*group, left, right, worth).schema
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(pdf[left].unique()), sorted(pdf[right].unique())
-        m, ia, ib = np.zeros((len(a), len(b))), {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-        m[[ia[x] for x in pdf[left]], [ib[x] for x in pdf[right]]] = pdf[worth]
-        chosen = {(a[i], b[j]) for i, j in assign(-m) if m[i, j] > 0}
-        return pdf[[x in chosen for x in zip(pdf[left], pdf[right])]]
-
-    return in_batches(pairs.select(*group, left, right, worth), group, lambda pdf: pd.concat([solve(x) for _, x in pdf.groupby(list(group), sort=False)]), kind)
+    return in_batches(pairs.select(*kind.names), group, lambda pdf: pdf[heaviest_rows(pdf, group, left, right, pdf[worth].to_numpy(float))], kind)
 
 
 def near_another(asking: DataFrame, rows: DataFrame, keys: Sequence[str], frame: str, track: str, x: str, y: str, radius: float) -> DataFrame:

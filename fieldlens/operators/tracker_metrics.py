@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from .joins import assign, heaviest_matches, in_batches
+from ..sources.shared import checkpoint
+from .joins import heaviest, heaviest_matches, heaviest_rows, in_batches
 from .sequential import fold_batches
 
 #: Overlaps at which tracks are scored, in hundredths: 5, 10, ... 95.
@@ -53,25 +54,18 @@ def best_matches(pairs: DataFrame, aligned: DataFrame, keys: Sequence[str], fram
     kind = worth.select(*keys, frame, "gt_id", "track_id", "iou", "__worth").schema
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for at in pdf.groupby([*keys, frame], sort=False, dropna=False).indices.values():
-            g, t = (np.unique(pdf[c].to_numpy()[at], return_inverse=True) for c in ("gt_id", "track_id"))
-            m = np.zeros((len(g[0]), len(t[0])))
-            row = np.full(m.shape, -1)
-            m[g[1], t[1]], row[g[1], t[1]] = pdf["__worth"].to_numpy()[at], at
-            kept += [row[i, j] for i, j in assign(-m) if m[i, j] > 0]
-        return pdf.iloc[sorted(kept)]
+        return pdf[heaviest_rows(pdf, [*keys, frame], "gt_id", "track_id", pdf["__worth"].to_numpy(float))]
 
     return in_batches(worth.select(*kind.names), [*keys, frame], solve, kind).drop("__worth")
 
 
-def hota(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame") -> DataFrame:
+def hota(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame", pairs: DataFrame | None = None) -> DataFrame:
     """``keys, alpha, tp, fn, fp, det_a, ass_a, loc_a, hota`` of each sequence and overlap (``alpha`` in hundredths).
 
     ``ass_a`` is the mean over matches of the Jaccard index of their two identities: matches of the pair against rows of either.
     """
     keys = list(keys)
-    pairs = overlapping(truth, tracks, keys, frame)
+    pairs = checkpoint(overlapping(truth, tracks, keys, frame)) if pairs is None else pairs
     matched = best_matches(pairs, alignment(pairs, truth, tracks, keys, frame), keys, frame)
     # 19 overlaps are told apart by the number of them that a match reaches, so matches are counted once and small tables are exploded
     reach = matched.withColumn("__reach", F.floor((F.col("iou") + _CLOSE) * 100 / 5).cast("int"))
@@ -104,14 +98,14 @@ def combined_hota(by_sequence: DataFrame) -> DataFrame:
     return rows.select("alpha", "tp", "fn", "fp", *_hota_shares(F.col("tp") + F.col("fn") + F.col("fp")))
 
 
-def clear_counts(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame", least: float = 0.5) -> DataFrame:
+def clear_counts(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame", least: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
     """``keys, tp, fn, fp, switches, mota`` of each sequence at one overlap.
 
     Within a frame pairs that were matched in the last frame with boxes of both kinds come before all others, then more overlap; a switch is a match with another track
     than the person's last one.  Frames are folded in their order; what is carried is the last track of each person.
     """
     keys = list(keys)
-    pairs = overlapping(truth, tracks, keys, frame).where(F.col("iou") >= least - _CLOSE)
+    pairs = (overlapping(truth, tracks, keys, frame) if pairs is None else pairs).where(F.col("iou") >= least - _CLOSE)
     both = truth.select(*keys, frame).distinct().join(tracks.select(*keys, frame).distinct(), [*keys, frame])
     rows = both.join(pairs, [*keys, frame], "left")  # frames with boxes of both kinds but no pair end what was matched before them
     kind = ", ".join(f"{k} {truth.schema[k].dataType.simpleString()}" for k in keys)
@@ -119,17 +113,23 @@ def clear_counts(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame
     def step(state: tuple, pdf: pd.DataFrame) -> tuple:
         last, before = state
         tp = switches = 0
-        for at in pdf.groupby(frame, sort=True).indices.values():
-            part = pdf.iloc[at].dropna(subset=["gt_id", "track_id"])
-            now = {}
-            if len(part):
-                (g, gi), (t, ti) = (np.unique(part[c].to_numpy(), return_inverse=True) for c in ("gt_id", "track_id"))
-                m = np.zeros((len(g), len(t)))
-                m[gi, ti] = part["iou"].to_numpy() + 1000.0 * np.fromiter((before.get(a) == b for a, b in zip(part["gt_id"], part["track_id"])), bool, len(part))
-                now = {g[i]: t[j] for i, j in assign(-m) if m[i, j] > 0}
-            switches += sum(k in last and last[k] != v for k, v in now.items())
+        there = (pdf["gt_id"].notna() & pdf["track_id"].notna()).to_numpy()
+        ends = np.flatnonzero(np.diff(pdf[frame].to_numpy(), append=np.nan) != 0) + 1
+        people, tracks_, overlap, there = pdf["gt_id"].tolist(), pdf["track_id"].tolist(), pdf["iou"].tolist(), there.tolist()
+        begin = 0
+        for end in ends.tolist():
+            g, t, m = people[begin:end], tracks_[begin:end], overlap[begin:end]
+            if not there[begin]:
+                now = {}
+            elif len(set(g)) == len(set(t)) == len(g):
+                now = dict(zip(g, t))
+            else:
+                kept = heaviest(g, t, [w + 1000.0 * (before.get(a) == b) for a, b, w in zip(g, t, m)])
+                now = {a: b for a, b, k in zip(g, t, kept) if k}
+            switches += sum(last.get(a, b) != b for a, b in now.items())
             tp += len(now)
-            last, before = {**last, **now}, now
+            last.update(now)
+            before, begin = now, end
         return (last, before), pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "tp": [tp], "switches": [switches]})
 
     found = fold_batches(rows, keys, [frame], lambda: ({}, {}), step, f"{kind}, tp bigint, switches bigint", whole=[frame])
@@ -139,10 +139,10 @@ def clear_counts(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame
     return every.select(*keys, "tp", fn.alias("fn"), fp.alias("fp"), "switches", F.try_divide(F.col("tp") - fp - F.col("switches"), F.col("n_gt")).alias("mota"))
 
 
-def identity_scores(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame", least: float = 0.5) -> DataFrame:
+def identity_scores(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame", least: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
     """``keys, idtp, idf1``: rows explained by the best one-to-one naming of tracks by people."""
     keys = list(keys)
-    met = overlapping(truth, tracks, keys, frame).where(F.col("iou") >= least - _CLOSE).groupBy(*keys, "gt_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
+    met = (overlapping(truth, tracks, keys, frame) if pairs is None else pairs).where(F.col("iou") >= least - _CLOSE).groupBy(*keys, "gt_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
     named = heaviest_matches(met, keys, "n", "gt_id", "track_id").groupBy(*keys).agg(F.sum("n").alias("idtp"))
     every = _totals(truth, tracks, keys).join(named, keys, "left").fillna(0, ["idtp"])
     return every.select(*keys, "idtp", F.try_divide(2 * F.col("idtp"), F.col("n_gt") + F.col("n_tracks")).alias("idf1"))
@@ -151,5 +151,6 @@ def identity_scores(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], fr
 def tracker_report(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame") -> DataFrame:
     """A row for each sequence: means over all overlaps of HOTA, DetA, AssA and LocA, then MOTA, switches and IDF1 at one half."""
     keys = list(keys)
-    mean = hota(truth, tracks, keys, frame).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a")])
-    return mean.join(clear_counts(truth, tracks, keys, frame).select(*keys, "mota", "switches"), keys).join(identity_scores(truth, tracks, keys, frame).select(*keys, "idf1"), keys)
+    pairs = checkpoint(overlapping(truth, tracks, keys, frame))
+    mean = hota(truth, tracks, keys, frame, pairs).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a")])
+    return mean.join(clear_counts(truth, tracks, keys, frame, pairs=pairs).select(*keys, "mota", "switches"), keys).join(identity_scores(truth, tracks, keys, frame, pairs=pairs).select(*keys, "idf1"), keys)

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fieldlens.functions.text import printed
-from fieldlens.operators import projection
+from fieldlens.operators import joins, projection, tracker_metrics
 from fieldlens.plans import events
 from fieldlens.streaming import live
 
@@ -41,3 +42,23 @@ def test_new_ids_count_in_the_window_of_their_least_time(spark, tmp_path):
     live.run_available(live.new_ids(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {(str(r.start), r.new_ids) for r in spark.read.schema("start timestamp, new_ids bigint").parquet(str(tmp_path / "out")).collect()}
     assert got == {("2024-01-01 04:10:00", 2), ("2024-01-01 04:12:00", 1)}
+
+
+def test_sparse_matching_is_as_heavy_as_dense():
+    rng = np.random.default_rng(3)
+    for t in range(1000):
+        n, m = rng.integers(1, 9, 2)
+        w = (rng.integers(0, 4, (n, m)).astype(float) if t % 2 else rng.random((n, m))) * (rng.random((n, m)) < rng.random())
+        i, j = np.nonzero(w)
+        kept = joins.heaviest(i.tolist(), j.tolist(), w[i, j].tolist())
+        assert math.isclose(w[i, j][kept].sum(), sum(w[a, b] for a, b in joins.assign(-w)), abs_tol=1e-9)
+        assert len(set(i[kept])) == kept.sum() == len(set(j[kept]))
+
+
+def test_boxes_of_two_ids_that_meet_twice_in_a_frame_count_by_the_best(spark):
+    """Whichever of them comes last."""
+    box = "seq string, frame bigint, {} bigint, x double, y double, w double, h double"
+    truth = spark.createDataFrame([("s", 1, 1, 0.0, 0.0, 10.0, 10.0)], box.format("gt_id"))
+    for places in ((0.0, 4.0), (4.0, 0.0)):
+        tracks = spark.createDataFrame([("s", 1, 5, x, 0.0, 10.0, 10.0) for x in places], box.format("track_id")).coalesce(1)
+        assert {r.tp for r in tracker_metrics.hota(truth, tracks, ["seq"]).collect()} == {1}

@@ -29,6 +29,9 @@ def test_rim_of_equal_distances_is_the_first_frame(spark):
     none = spark.createDataFrame([], "seq string, type string, start bigint, end bigint, peak bigint, confidence double")
     (r,) = events.made_baskets(f, none).collect()
     assert r.peak == 1 and math.isclose(r.confidence, 0.6)
+    frames = spark.createDataFrame([("s", len(d))], "seq string, n bigint")
+    (m,) = events.moments(events.made_baskets(f, none).drop("hoop"), frames, events.INTEREST, gap=20, longest=275).collect()
+    assert (m.peak, m.rank) == (1, 1)
 
 
 def test_new_ids_count_in_the_window_of_their_least_time(spark, tmp_path):

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldlens.operators import association
+from fieldlens.plans import events
 
 
 def test_a_small_frame_is_associated_without_arrays(monkeypatch):
@@ -23,3 +24,12 @@ def test_a_small_frame_is_associated_without_arrays(monkeypatch):
     few = association.Tracks(association.Tracker())
     assert [few.step(f, d) for f, d in frames] == want and few.rows() == many.rows()
     assert not calls
+
+
+def test_rows_of_all_places_are_not_broadcast(spark):
+    runs = spark.createDataFrame([("s", 0, 59), ("s", 30, 89)], "seq string, start bigint, end bigint")
+    frames = spark.range(100).select(F.lit("s").alias("seq"), F.col("id").alias("i"))
+    met = events.during(runs, frames)
+    assert met.count() == 120
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan

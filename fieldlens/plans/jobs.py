@@ -42,6 +42,7 @@ def resolve_steps(jobs: DataFrame, steps: DataFrame) -> DataFrame:
     """JB2: of the ordered steps (step, no, needs) those of the foundation (no needs) or of something asked for, once each."""
     own = jobs.select("job_id", F.explode(F.concat(F.array(F.lit("")), F.split("deliverables", ","))).alias("needs"))
     named = steps.select("step", "no", F.explode(F.split(F.coalesce("needs", F.lit("")), ",")).alias("needs"))
+    named = F.broadcast(named)  # a handful of steps, whose few needs would each bring a part of all jobs to one task
     return own.join(named, "needs").select("job_id", "step", "no").distinct()
 
 

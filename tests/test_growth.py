@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldlens.operators import association
-from fieldlens.plans import events
+from fieldlens.plans import events, jobs
 
 
 def test_a_small_frame_is_associated_without_arrays(monkeypatch):
@@ -33,3 +33,12 @@ def test_rows_of_all_places_are_not_broadcast(spark):
     assert met.count() == 120
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_steps_are_brought_to_the_jobs(spark):
+    """Not all jobs of a need to one task."""
+    asked = spark.range(50).select(F.col("id").alias("job_id"), F.lit("a,b").alias("deliverables"))
+    steps = spark.createDataFrame([("one", 1, None), ("two", 2, "a"), ("three", 3, "c,b")], "step string, no int, needs string")
+    found = jobs.resolve_steps(asked, steps)
+    assert found.count() == 150
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association
+from fieldlens.operators import association, folds
 from fieldlens.plans import events, jobs
 
 
@@ -42,3 +42,23 @@ def test_steps_are_brought_to_the_jobs(spark):
     found = jobs.resolve_steps(asked, steps)
     assert found.count() == 150
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_hold_no_sequence_in_one_row(spark):
+    rows = spark.range(4000).select((F.col("id") % 2).cast("string").alias("seq"), (F.col("id") * 7 % 5000).alias("i"), (F.col("id") * 13 % 97 / 10.0).alias("x"), F.lit(0.0).alias("y"))
+    kept, guarded = folds.emitted(rows, ["seq"], "i", 15), folds.teleport_guard(rows, ["seq"], "i", "x", "y", 1.6)
+    want, far = set(), set()
+    for seq in "01":
+        last = at = None
+        for r in sorted(rows.where(F.col("seq") == seq).collect(), key=lambda r: r.i):
+            if last is None or r.i - last >= 15:
+                want.add((seq, r.i))
+                last = r.i
+            if at is not None and abs(r.x - at.x) / max(1, r.i - at.i) > 1.6:
+                far.add((seq, r.i))
+            else:
+                at = r
+    assert {(r.seq, r.i) for r in kept.collect()} == want
+    assert {(r.seq, r.i) for r in guarded.where("teleport").collect()} == far and guarded.count() == 4000
+    for df in (kept, guarded):
+        assert "collect_" not in df._jdf.queryExecution().executedPlan().toString()

@@ -45,14 +45,24 @@ def involved(pairs: DataFrame, group: Sequence[str], distance: str, ties: Sequen
 def asof_within(left: DataFrame, right: DataFrame, left_id: str, left_time: str, right_id: str, right_time: str, tolerance: int, by: Sequence[str] = ()) -> DataFrame:
     """JN8: for each left row and ``by`` value of the right side, the right row nearest in time within the tolerance.
 
-    Times are whole numbers.  Both sides meet in buckets as wide as the tolerance: a right row goes to its own and both neighbours, so the
-    join is an equi-join.  Equal distances go to the least right id.
+    Times are whole numbers.  Both sides meet in buckets as wide as the tolerance: a right row goes to its own and both neighbours.  In a bucket a left row
+    looks at the last right time before it and the first after it, of each ``by`` value that is there, so no two rows are paired.  Equal distances go to the
+    least right id.
     """
+    by = list(by)
+    at = ["__bucket", *by]
     bucket = lambda t: F.floor(F.col(t) / tolerance)
-    a = left.withColumn("__bucket", bucket(left_time))
-    b = right.withColumn("__bucket", F.explode(F.array(*[bucket(right_time) + d for d in (-1, 0, 1)])))
-    pairs = a.join(b, "__bucket").withColumn("dt", F.abs(F.col(left_time) - F.col(right_time))).where(F.col("dt") <= tolerance)
-    return nearest(pairs.drop("__bucket"), [left_id, *by], "dt", [right_id])
+    there = right.where(F.col(right_time).isNotNull()).withColumn("__bucket", F.explode(F.array(*[bucket(right_time) + d for d in (-1, 0, 1)])))
+    there = there.groupBy(*at, F.col(right_time).alias("__time")).agg(F.min_by(F.struct(*[F.col(c) for c in right.columns]), right_id).alias("__right"))
+    kinds = there.select(*at).distinct()
+    asking = left.where(F.col(left_time).isNotNull()).select(bucket(left_time).alias("__bucket"), F.col(left_time).alias("__time"), F.struct(*[F.col(c) for c in left.columns]).alias("__left")).join(kinds, "__bucket")
+    rows = there.withColumn("__asks", F.lit(0)).unionByName(asking.withColumn("__asks", F.lit(1)), allowMissingColumns=True)
+    seen = [F.last("__right", True).over(Window.partitionBy(*at).orderBy(order, "__asks").rowsBetween(Window.unboundedPreceding, 0)) for order in (F.col("__time"), F.desc("__time"))]
+    rows = rows.withColumns({"__before": seen[0], "__after": seen[1]}).where("__asks = 1")
+    far = [F.abs(F.col("__time") - F.col(f"{c}.{right_time}")) for c in ("__before", "__after")]
+    later = far[0].isNull() | (far[1] < far[0]) | ((far[1] == far[0]) & (F.col(f"__after.{right_id}") < F.col(f"__before.{right_id}")))
+    best = rows.select("__left.*", F.when(later, F.col("__after")).otherwise(F.col("__before")).alias("__best")).select("*", "__best.*").drop("__best")
+    return nearest(best.withColumn("dt", F.abs(F.col(left_time) - F.col(right_time))).where(F.col("dt") <= tolerance), [left_id, *by], "dt", [right_id])
 
 
 def mutual_nearest(pairs: DataFrame, group: Sequence[str], left: str, right: str, distance: str, strict: bool = False) -> DataFrame:

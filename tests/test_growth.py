@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association, folds
+from fieldlens.operators import association, folds, joins
 from fieldlens.plans import events, jobs
 
 
@@ -62,3 +62,37 @@ def test_folds_hold_no_sequence_in_one_row(spark):
     assert {(r.seq, r.i) for r in guarded.where("teleport").collect()} == far and guarded.count() == 4000
     for df in (kept, guarded):
         assert "collect_" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def most_rows(spark, make) -> int:
+    """The rows of the largest step of a plan."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = make()
+        df.collect()
+        nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            n = nodes.pop()
+            if n.metrics().contains("numOutputRows"):
+                most = max(most, n.metrics().apply("numOutputRows").value())
+            nodes += [n.children().apply(k) for k in range(n.children().size())]
+        return most
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_as_of_pairs_no_two_rows(spark):
+    """As many rows at one time as there may be."""
+    left = spark.range(600).select(F.col("id").alias("l"), (F.col("id") % 30 + 95).alias("t"))
+    right = spark.range(600).select(F.col("id").alias("r"), (F.col("id") * 7 % 90 * 3).alias("s"), (F.col("id") % 3).alias("tag"))
+    make = lambda: joins.asof_within(left, right, "l", "t", "r", "s", 10, ["tag"])
+    got = {(x.l, x.tag, x.r, x.dt) for x in make().collect()}
+    want = set()
+    for a in left.collect():
+        best = {}
+        for b in right.collect():
+            if abs(a.t - b.s) <= 10:
+                best[b.tag] = min(best.get(b.tag, (99, 0)), (abs(a.t - b.s), b.r))
+        want |= {(a.l, tag, r, dt) for tag, (dt, r) in best.items()}
+    assert got == want and len(want) > 600
+    assert most_rows(spark, make) < 6000  # of up to 360,000 pairs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -258,13 +260,26 @@ def optimal_matches(pairs: DataFrame, group: Sequence[str], cost: str, left: str
 def heaviest_matches(pairs: DataFrame, group: Sequence[str], worth: str, left: str, right: str) -> DataFrame:
     """JN17: of each group (a sequence) the one-to-one matches of greatest total worth; pairs that aren't given are worth nothing.
 
-    A group is as large as the number of pairs of ids that meet in a sequence.
+    With fewer ids on one side than on the other, one of the first side only needs as many of its best pairs as there are ids on its side: of so many one is always free.
+    A group is as large as the number of such pairs.
     """
     group = list(group)
     kind = pairs.select(*group, left, right, worth).schema
+    pairs = _needed(pairs.select(*kind.names), group, worth, left, right)
     return in_batches(pairs.select(*kind.names), group, lambda pdf: pdf[heaviest_rows(pdf, group, left, right, pdf[worth].to_numpy(float))], kind)
 
 
+def _needed(pairs: DataFrame, group: list[str], worth: str, left: str, right: str) -> DataFrame:
+    """The pairs of which a heaviest one-to-one match can be made up."""
+    sides = ((left, right), (right, left))
+    for me, other in sides:
+        n = pairs.select(*[F.col(k).alias(f"__{k}") for k in group], me).distinct().groupBy(*[f"__{k}" for k in group]).agg(F.count(F.lit(1)).alias("__n"))
+        ranked = pairs.withColumn("__rank", F.row_number().over(Window.partitionBy(*group, me).orderBy(F.desc(worth), other)))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in group], F.lit(True))
+        pairs = ranked.join(n, same).where("__rank <= __n").select(*group, left, right, worth)
+    return pairs
+
+
 def near_another(asking: DataFrame, rows: DataFrame, keys: Sequence[str], frame: str, track: str, x: str, y: str, radius: float) -> DataFrame:
     """JN18: the asking rows with ``occluded``: whether another track's row of the same frame is nearer than the radius.
 

@@ -96,3 +96,14 @@ def test_as_of_pairs_no_two_rows(spark):
         want |= {(a.l, tag, r, dt) for tag, (dt, r) in best.items()}
     assert got == want and len(want) > 600
     assert most_rows(spark, make) < 6000  # of up to 360,000 pairs
+
+
+def test_a_heaviest_match_needs_few_pairs_of_the_smaller_side(spark):
+    rng = np.random.default_rng(2)
+    for n, m in ((3, 200), (200, 3), (5, 5)):
+        w = rng.integers(0, 6, (n, m))
+        rows = spark.createDataFrame([(None if g else "g", i, j, int(w[i, j])) for g in (0, 1) for i in range(n) for j in range(m)], "g string, a int, b int, n bigint")
+        got = {r.g: r.n for r in joins.heaviest_matches(rows, ["g"], "n", "a", "b").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+        best = sum(w[i, j] for i, j in joins.assign(-w.astype(float)))
+        assert got == {"g": best, None: best}
+        assert joins._needed(rows, ["g"], "n", "a", "b").count() <= 2 * min(n, m) ** 2

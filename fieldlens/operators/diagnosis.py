@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
-from .joins import band_join, heaviest_matches, near_another, nearest
+from .joins import heaviest_matches, in_batches, near_another, nearest
+from .sequential import schema_of
 from .windows import held, ordered
 
 
@@ -43,11 +46,56 @@ def successors(ends: DataFrame, starts: DataFrame, keys: Sequence[str], max_gap:
 
     The least gap wins, then the least track id.
     """
-    b = starts.select(*keys, F.col("frame").alias("__f"), F.col("track_id").alias("successor"), F.col("cx").alias("__x"), F.col("cy").alias("__y"))
-    pairs = band_join(ends, b, "frame", "__f", 1, max_gap, keys).withColumn("gap", F.col("__f") - F.col("frame"))
-    d = distance(F.col("cx") + F.col("vx") * F.col("gap"), F.col("cy") + F.col("vy") * F.col("gap"), "__x", "__y")
-    near = pairs.where(d < link)
-    return nearest(near, [*keys, "track_id"], "gap", ["successor"]).select(*keys, "track_id", "gap", "successor")
+    keys = list(keys)
+    stretch = lambda c: F.floor(c / max_gap)
+    place = lambda x, y: [F.col(x).cast("double").alias("cx"), F.col(y).cast("double").alias("cy")]
+    a = ends.select(*keys, "track_id", F.col("frame").cast("bigint").alias("frame"), *place("cx", "cy"), F.col("vx").cast("double").alias("vx"), F.col("vy").cast("double").alias("vy"), stretch(F.col("frame") + 1).alias("__at"))
+    b = starts.select(*keys, "track_id", F.col("frame").cast("bigint").alias("frame"), *place("cx", "cy"), F.explode(F.array(stretch(F.col("frame")), stretch(F.col("frame")) - 1)).alias("__at"))
+    rows = a.unionByName(b, allowMissingColumns=True)  # starts have no speed
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.groupby([*keys, "__at"], sort=False, dropna=False):
+            ends_ = g["vx"].notna() & g["vy"].notna()
+            first = _first_near(g[ends_], g[~ends_].sort_values("track_id"), max_gap, link)
+            out.append(first[[*keys, "track_id", "gap", "successor"]])
+        return pd.concat(out)
+
+    kind = f"{schema_of(rows, [*keys, 'track_id'])}, gap bigint, successor {rows.schema['track_id'].dataType.simpleString()}"
+    return in_batches(rows, [*keys, "__at"], find, kind)
+
+
+def _first_near(ends: pd.DataFrame, starts: pd.DataFrame, max_gap: int, link: float) -> pd.DataFrame:
+    """The ends that have a successor, gap after gap for those without one; a frame's starts are looked at from the least track on, more and more at a time."""
+    by_frame = {f: (g[["cx", "cy"]].to_numpy(), g["track_id"].to_numpy()) for f, g in starts.groupby("frame", sort=False)}
+    frame, place, speed = ends["frame"].to_numpy(), ends[["cx", "cy"]].to_numpy(), ends[["vx", "vy"]].to_numpy()
+    gap, successor, left = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.arange(len(ends))
+    for step in range(1, max_gap + 1):
+        left = left[np.argsort(frame[left], kind="stable")]
+        for some in np.split(left, np.flatnonzero(np.diff(frame[left])) + 1) if len(left) else []:
+            at, ids = by_frame.get(frame[some[0]] + step, (None, None))
+            if at is None:
+                continue
+            to = place[some] + speed[some] * step
+            near = _beside(to, at, link)
+            some, to, done, width = some[near], to[near], 0, 16
+            while len(some) and done < len(ids):
+                there = at[done : done + width]
+                close = np.sqrt((to[:, None, 0] - there[None, :, 0]) ** 2 + (to[:, None, 1] - there[None, :, 1]) ** 2) < link
+                hit = close.any(1)
+                gap[some[hit]], successor[some[hit]] = step, ids[done + close[hit].argmax(1)]
+                some, to, done = some[~hit], to[~hit], done + width
+                width = max(16, min(4 * width, 1_000_000 // max(1, len(some))))
+        left = left[gap[left] == 0]
+    return ends.assign(gap=gap, successor=successor)[gap > 0]
+
+
+def _beside(points: np.ndarray, others: np.ndarray, radius: float) -> np.ndarray:
+    """Which points have one of the others in their square, as wide as the radius, or in one around it."""
+    squares = np.unique(np.floor(others / radius), axis=0)
+    mine = np.floor(points / radius)
+    taken = {(i + x, j + y) for i, j in squares.tolist() for x in (-1, 0, 1) for y in (-1, 0, 1)}
+    return np.fromiter((k in taken for k in map(tuple, mine.tolist())), bool, len(points))
 
 
 def break_causes(tracks: DataFrame, keys: Sequence[str] = ("seq",), c: Breaks = Breaks()) -> DataFrame:

@@ -283,12 +283,18 @@ def _needed(pairs: DataFrame, group: list[str], worth: str, left: str, right: st
 def near_another(asking: DataFrame, rows: DataFrame, keys: Sequence[str], frame: str, track: str, x: str, y: str, radius: float) -> DataFrame:
     """JN18: the asking rows with ``occluded``: whether another track's row of the same frame is nearer than the radius.
 
-    Rows meet in squares as wide as the radius; those that ask look into their own and those around it.
+    All that is in one square is nearer than the radius, as squares are 0.7 of it wide.  Those that are alone in theirs, at most one track for a square, look into
+    the squares around it.
     """
-    cell = lambda c: F.floor(F.col(c) / radius)
-    step = F.array(*map(F.lit, (-1, 0, 1)))
+    cell = lambda c: F.floor(F.col(c) / (0.7 * radius))
+    step = F.array(*map(F.lit, (-2, -1, 0, 1, 2)))
     there = rows.select(*keys, frame, F.col(track).alias("__t"), F.col(x).alias("__x"), F.col(y).alias("__y"), cell(x).alias("__i"), cell(y).alias("__j"))
-    here = asking.select(*keys, frame, track, x, y).distinct().withColumn("__di", F.explode(step)).withColumn("__dj", F.explode(step)).withColumn("__i", cell(x) + F.col("__di")).withColumn("__j", cell(y) + F.col("__dj"))
+    at = [*keys, frame, "__i", "__j"]
+    crowd = there.groupBy(*at).agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+    all_here = asking.select(*keys, frame, track, x, y).distinct().withColumn("__i", cell(x)).withColumn("__j", cell(y)).join(crowd, at, "left")
+    beside = F.coalesce((F.col("__lo") != F.col(track)) | (F.col("__hi") != F.col(track)), F.lit(False))
+    crowded = all_here.where(beside).select(*keys, frame, track, x, y)
+    here = all_here.where(~beside).select(*keys, frame, track, x, y).withColumn("__di", F.explode(step)).withColumn("__dj", F.explode(step)).withColumn("__i", cell(x) + F.col("__di")).withColumn("__j", cell(y) + F.col("__dj"))
     apart = F.sqrt((F.col(x) - F.col("__x")) ** 2 + (F.col(y) - F.col("__y")) ** 2)
-    hit = here.join(there, [*keys, frame, "__i", "__j"]).where((F.col(track) != F.col("__t")) & (apart < radius)).select(*keys, frame, track, x, y).distinct()
+    hit = here.join(there, [*keys, frame, "__i", "__j"]).where((F.col(track) != F.col("__t")) & (apart < radius)).select(*keys, frame, track, x, y).distinct().unionByName(crowded)
     return asking.join(hit.withColumn("__hit", F.lit(True)), [*keys, frame, track, x, y], "left").withColumn("occluded", F.coalesce("__hit", F.lit(False))).drop("__hit")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association, folds, joins
+from fieldlens.operators import association, diagnosis, folds, joins
 from fieldlens.plans import events, jobs
 
 
@@ -107,3 +107,22 @@ def test_a_heaviest_match_needs_few_pairs_of_the_smaller_side(spark):
         best = sum(w[i, j] for i, j in joins.assign(-w.astype(float)))
         assert got == {"g": best, None: best}
         assert joins._needed(rows, ["g"], "n", "a", "b").count() <= 2 * min(n, m) ** 2
+
+
+def test_successors_and_neighbours_are_looked_for_without_all_pairs(spark):
+    """Many tracks that end and begin in one place at one time."""
+    ends = spark.range(400).select(F.lit("s").alias("seq"), F.col("id").alias("track_id"), (F.col("id") % 3).alias("frame"), (F.col("id") * 37 % 500 + 0.0).alias("cx"), (F.col("id") * 11 % 90 + 0.0).alias("cy"), F.lit(3.0).alias("vx"), F.lit(-1.0).alias("vy"))
+    starts = spark.range(400).select(F.lit("s").alias("seq"), (900 - F.col("id")).alias("track_id"), (F.col("id") % 9).alias("frame"), (F.col("id") * 53 % 430 + 0.0).alias("cx"), (F.col("id") * 7 % 95 + 0.0).alias("cy"))
+    make = lambda: diagnosis.successors(ends, starts, ["seq"], 6, 20.0)
+    want, there = set(), starts.collect()
+    for a in ends.collect():
+        near = [(b.frame - a.frame, b.track_id) for b in there if 1 <= b.frame - a.frame <= 6 and ((a.cx + 3 * (b.frame - a.frame) - b.cx) ** 2 + (a.cy - (b.frame - a.frame) - b.cy) ** 2) ** 0.5 < 20]
+        if near:
+            want.add((a.track_id, *min(near)))
+    assert {(r.track_id, r.gap, r.successor) for r in make().collect()} == want and len(want) > 100
+    assert most_rows(spark, make) <= 1200
+    rows = ends.withColumn("cx", F.col("cx") % 70).withColumn("cy", F.col("cy") % 40)
+    ask = lambda: joins.near_another(rows, rows, ["seq"], "frame", "track_id", "cx", "cy", 30.0)
+    all_ = rows.collect()
+    assert {r.track_id for r in ask().where("occluded").collect()} == {a.track_id for a in all_ if any(a.track_id != b.track_id and a.frame == b.frame and (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 < 900 for b in all_)}
+    assert most_rows(spark, ask) < 4000  # of 50,000 pairs

@@ -191,7 +191,7 @@ def goal_geometry(v, t):
 @query(", b as (select cls, frame, arg_max(x, conf * 1e9 - x - y / 1e5) as x, arg_max(y, conf * 1e9 - x - y / 1e5) as y from boxes group by cls, frame), j as (select *, frame - lag(frame) over w as gap, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as jump from b window w as (partition by cls order by frame)) select cls, count(*) as n, round(quantile_cont(jump, 0.5), 3) as p50, round(quantile_cont(jump, 0.9), 3) as p90 from j where gap = 1 group by cls", "boxes")
 def detection_jumps(v, t):
     j = windows.jumps(v("boxes"), ["cls"], "frame", "conf", "x", "y")
-    return j.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), r(F.expr("percentile(jump, 0.5)"), 3).alias("p50"), r(F.expr("percentile(jump, 0.9)"), 3).alias("p90"))
+    return windows.percentiles(j, ["cls"], "jump", {"p50": 0.5, "p90": 0.9}).select("cls", "n", r("p50", 3).alias("p50"), r("p90", 3).alias("p90"))
 
 
 @query(f", d as (select seq, frame, x - lag(x) over w as v, x - 2 * lag(x) over w + lag(x, 2) over w as a, x - 3 * lag(x) over w + 3 * lag(x, 2) over w - lag(x, 3) over w as j from ball {BALL_W}) select seq, round(avg(abs(v)), 3) as velocity, round(avg(abs(a)), 3) as acceleration, round(avg(abs(j)), 3) as jerk from d group by seq", "ball")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association, diagnosis, folds, joins
+from fieldlens.operators import association, diagnosis, folds, joins, windows
 from fieldlens.plans import events, jobs
 
 
@@ -126,3 +126,13 @@ def test_successors_and_neighbours_are_looked_for_without_all_pairs(spark):
     all_ = rows.collect()
     assert {r.track_id for r in ask().where("occluded").collect()} == {a.track_id for a in all_ if any(a.track_id != b.track_id and a.frame == b.frame and (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 < 900 for b in all_)}
     assert most_rows(spark, ask) < 4000  # of 50,000 pairs
+
+
+def test_percentiles_hold_no_key_in_one_aggregate(spark):
+    rows = spark.range(3001).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("k"), F.when(F.col("id") % 50 > 0, F.col("id") * 71 % 1009 / 7).alias("v"))
+    got = windows.percentiles(rows, ["k"], "v", {"a": 0.5, "b": 0.9, "c": 1.0})
+    want = rows.where("v is not null").groupBy("k").agg(F.count("v").alias("n"), *[F.expr(f"percentile(v, {p})").alias(c) for c, p in (("a", 0.5), ("b", 0.9), ("c", 1.0))])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    boxes = spark.range(9000).select(F.lit("F").alias("cls"), F.col("id").alias("frame"), F.lit(1.0).alias("conf"), (F.col("id") * 3.0).alias("x"), F.lit(0.0).alias("y"))
+    jumps = windows.jumps(boxes.where("frame <> 5000"), ["cls"], "frame", "conf", "x", "y")
+    assert jumps.count() == 8997 and {r.jump for r in jumps.select("jump").distinct().collect()} == {3.0}

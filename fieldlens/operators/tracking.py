@@ -214,5 +214,5 @@ def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     rows = []
     for (x, y), (u, v) in zip(a, b):
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    h = np.linalg.inv(td) @ np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3) @ ts
+    h = np.linalg.inv(td) @ np.linalg.svd(np.array(rows), full_matrices=len(rows) < 9)[2][-1].reshape(3, 3) @ ts
     return h / h[2, 2]

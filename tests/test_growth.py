@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association, diagnosis, folds, joins, windows
+from fieldlens.operators import association, diagnosis, folds, joins, tracking, windows
 from fieldlens.plans import events, jobs
 
 
@@ -136,3 +136,18 @@ def test_percentiles_hold_no_key_in_one_aggregate(spark):
     boxes = spark.range(9000).select(F.lit("F").alias("cls"), F.col("id").alias("frame"), F.lit(1.0).alias("conf"), (F.col("id") * 3.0).alias("x"), F.lit(0.0).alias("y"))
     jumps = windows.jumps(boxes.where("frame <> 5000"), ["cls"], "frame", "conf", "x", "y")
     assert jumps.count() == 8997 and {r.jump for r in jumps.select("jump").distinct().collect()} == {3.0}
+
+
+def test_a_fit_solves_no_larger_system_than_it_needs(monkeypatch):
+    """The square of the number of points isn't made."""
+    sizes, svd = [], np.linalg.svd
+
+    def noted(a, full_matrices=True, **more):
+        sizes.append(a.shape[-2] if full_matrices else 0)
+        return svd(a, full_matrices=full_matrices, **more)
+
+    monkeypatch.setattr(np.linalg, "svd", noted)
+    src = np.random.default_rng(1).random((60, 2)) * 100
+    h = tracking.homography(src, src * 2 + 1)
+    assert np.allclose(h, [[2, 0, 1], [0, 2, 1], [0, 0, 1]], atol=1e-8) and max(sizes) < 9
+    assert np.allclose(tracking.homography(src[:4], src[:4] * 2 + 1), h, atol=1e-6)

@@ -151,3 +151,12 @@ def test_a_fit_solves_no_larger_system_than_it_needs(monkeypatch):
     h = tracking.homography(src, src * 2 + 1)
     assert np.allclose(h, [[2, 0, 1], [0, 2, 1], [0, 0, 1]], atol=1e-8) and max(sizes) < 9
     assert np.allclose(tracking.homography(src[:4], src[:4] * 2 + 1), h, atol=1e-6)
+
+
+def test_hulls_of_many_groups_take_a_step_at_a_time():
+    rng = np.random.default_rng(4)
+    for n in range(3, 9):
+        groups = [sorted({(float(a), float(b)) for a, b in rng.integers(0, 5, (n, 2))}) for _ in range(300)]
+        groups = [g for g in groups if len(g) == n]
+        got = tracking.hull_areas_of(np.array(groups).reshape(-1, n, 2))
+        assert got.tolist() == [tracking.hull_area(np.array(g)) for g in groups]

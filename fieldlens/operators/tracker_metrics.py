@@ -32,6 +32,14 @@ def overlapping(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame:
     return both.where("iou > 0").select(*keys, frame, "gt_id", "track_id", "iou")
 
 
+def meetings(pairs: DataFrame, keys: Sequence[str], frame: str = "frame") -> DataFrame:
+    """``pairs`` with ``share``, a pair's overlap as a share of what either box overlaps in its frame, and ``alone``: neither box overlaps another."""
+    by_gt, by_track = Window.partitionBy(*keys, frame, "gt_id"), Window.partitionBy(*keys, frame, "track_id")
+    share = F.col("iou") / (F.sum("iou").over(by_gt) + F.sum("iou").over(by_track) - F.col("iou"))
+    one = F.lit(1)
+    return pairs.withColumns({"share": share, "alone": (F.count(one).over(by_gt) == 1) & (F.count(one).over(by_track) == 1)})
+
+
 def sizes(rows: DataFrame, keys: Sequence[str], who: str, name: str) -> DataFrame:
     return rows.groupBy(*keys, who).agg(F.count(F.lit(1)).alias(name))
 
@@ -41,41 +49,49 @@ def alignment(pairs: DataFrame, truth: DataFrame, tracks: DataFrame, keys: Seque
 
     In each frame a pair counts its overlap as a share of what either box overlaps; the sum is set against the rows of both identities.
     """
-    by_gt, by_track = Window.partitionBy(*keys, frame, "gt_id"), Window.partitionBy(*keys, frame, "track_id")
-    share = F.col("iou") / (F.sum("iou").over(by_gt) + F.sum("iou").over(by_track) - F.col("iou"))
-    met = pairs.withColumn("__share", share).groupBy(*keys, "gt_id", "track_id").agg(F.sum("__share").alias("__met"))
+    met = meetings(pairs, keys, frame).groupBy(*keys, "gt_id", "track_id").agg(F.sum("share").alias("__met"))
     met = met.join(sizes(truth, keys, "gt_id", "__ng"), [*keys, "gt_id"]).join(sizes(tracks, keys, "track_id", "__nt"), [*keys, "track_id"])
     return met.select(*keys, "gt_id", "track_id", (F.col("__met") / (F.col("__ng") + F.col("__nt") - F.col("__met"))).alias("aligned"))
 
 
-def best_matches(pairs: DataFrame, aligned: DataFrame, keys: Sequence[str], frame: str = "frame") -> DataFrame:
-    """For each frame the one-to-one pairs with the greatest sum of alignment times overlap."""
-    worth = pairs.join(aligned, [*keys, "gt_id", "track_id"]).withColumn("__worth", F.col("aligned") * F.col("iou"))
-    kind = worth.select(*keys, frame, "gt_id", "track_id", "iou", "__worth").schema
+def best_matches(met: DataFrame, truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame") -> DataFrame:
+    """For each frame the one-to-one pairs with the greatest sum of alignment times overlap, of ``meetings``, with the rows of both identities (``n_gt, n_track``).
+
+    Meetings are dealt out by person, which gives what two identities share without a table of them, then by track.  Those that are alone are matches; only others are solved.
+    """
+    met = met.repartition(*keys, "gt_id").withColumn("__met", F.sum("share").over(Window.partitionBy(*keys, "gt_id", "track_id")))
+    met = met.join(sizes(truth, keys, "gt_id", "n_gt"), [*keys, "gt_id"]).join(sizes(tracks, keys, "track_id", "n_track"), [*keys, "track_id"])
+    worth = met.withColumn("__worth", F.col("__met") / (F.col("n_gt") + F.col("n_track") - F.col("__met")) * F.col("iou"))
+    out = [*keys, frame, "gt_id", "track_id", "iou", "n_gt", "n_track"]
+    kind = worth.select(*out, "__worth").schema
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[heaviest_rows(pdf, [*keys, frame], "gt_id", "track_id", pdf["__worth"].to_numpy(float))]
 
-    return in_batches(worth.select(*kind.names), [*keys, frame], solve, kind).drop("__worth")
+    solved = in_batches(worth.where("not alone").select(*kind.names), [*keys, frame], solve, kind)
+    return worth.where("alone and __worth > 0 and not isnan(__worth)").select(*out).unionByName(solved.select(*out))
 
 
-def hota(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame", pairs: DataFrame | None = None) -> DataFrame:
+def hota(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame", met: DataFrame | None = None) -> DataFrame:
     """``keys, alpha, tp, fn, fp, det_a, ass_a, loc_a, hota`` of each sequence and overlap (``alpha`` in hundredths).
 
     ``ass_a`` is the mean over matches of the Jaccard index of their two identities: matches of the pair against rows of either.
     """
     keys = list(keys)
-    pairs = checkpoint(overlapping(truth, tracks, keys, frame)) if pairs is None else pairs
-    matched = best_matches(pairs, alignment(pairs, truth, tracks, keys, frame), keys, frame)
-    # 19 overlaps are told apart by the number of them that a match reaches, so matches are counted once and small tables are exploded
-    reach = matched.withColumn("__reach", F.floor((F.col("iou") + _CLOSE) * 100 / 5).cast("int"))
-    reach = reach.withColumn("__reach", F.least("__reach", F.lit(len(ALPHAS)))).where("__reach >= 1")
-    counted = reach.groupBy(*keys, "gt_id", "track_id", "__reach").agg(F.count(F.lit(1)).alias("__n"), F.sum("iou").alias("__iou"))
-    met = counted.withColumn("alpha", F.explode(F.transform(F.sequence(F.lit(1), F.col("__reach")), lambda k: k * 5)))
-    met = met.groupBy(*keys, "alpha", "gt_id", "track_id").agg(F.sum("__n").alias("__n"), F.sum("__iou").alias("__iou"))
-    met = met.join(sizes(truth, keys, "gt_id", "__ng"), [*keys, "gt_id"]).join(sizes(tracks, keys, "track_id", "__nt"), [*keys, "track_id"])
-    jaccard = F.col("__n") / (F.col("__ng") + F.col("__nt") - F.col("__n"))
-    found = met.groupBy(*keys, "alpha").agg(F.sum("__n").alias("tp"), F.sum("__iou").alias("__iou"), F.sum(F.col("__n") * jaccard).alias("__ass"))
+    met = meetings(overlapping(truth, tracks, keys, frame), keys, frame) if met is None else met
+    matched = best_matches(met, truth, tracks, keys, frame)
+    # 19 overlaps are columns of a pair, counted where its matches meet, so matches move once and only sums of sequences become a row for each overlap
+    reach = F.floor((F.col("iou") + _CLOSE) * 100 / 5)
+    levels = range(1, len(ALPHAS) + 1)
+    of_pair = matched.select(*keys, frame, "gt_id", "track_id", "iou", "n_gt", "n_track", reach.alias("__reach")).where("__reach >= 1").repartition(*keys, "gt_id", "track_id")
+    of_pair = of_pair.groupBy(*keys, "gt_id", "track_id").agg(
+        F.first("n_gt").alias("__ng"), F.first("n_track").alias("__nt"),
+        *[F.count(F.when(F.col("__reach") >= k, F.col(frame))).alias(f"__n{k}") for k in levels], *[F.sum(F.when(F.col("__reach") >= k, F.col("iou"))).alias(f"__iou{k}") for k in levels],
+    )
+    jaccard = {k: F.col(f"__n{k}") / (F.col("__ng") + F.col("__nt") - F.col(f"__n{k}")) for k in levels}
+    sums = of_pair.groupBy(*keys).agg(*[f for k in levels for f in (F.sum(f"__n{k}").alias(f"__tp{k}"), F.sum(f"__iou{k}").alias(f"__iou{k}"), F.sum(F.col(f"__n{k}") * jaccard[k]).alias(f"__ass{k}"))])
+    each = F.array(*[F.struct(F.lit(a).alias("alpha"), *[F.col(f"__{c}{k}").alias(c) for c in ("tp", "iou", "ass")]) for k, a in zip(levels, ALPHAS)])
+    found = sums.select(*keys, F.explode(each).alias("__each")).select(*keys, "__each.alpha", "__each.tp", F.col("__each.iou").alias("__iou"), F.col("__each.ass").alias("__ass"))
     every = _totals(truth, tracks, keys).withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
     rows = every.join(found, [*keys, "alpha"], "left").fillna(0, ["tp", "__iou", "__ass"])
     return rows.select(*keys, "alpha", "tp", (F.col("n_gt") - F.col("tp")).alias("fn"), (F.col("n_tracks") - F.col("tp")).alias("fp"), *_hota_shares(F.col("n_gt") + F.col("n_tracks") - F.col("tp")))
@@ -107,7 +123,7 @@ def clear_counts(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame
     keys = list(keys)
     pairs = (overlapping(truth, tracks, keys, frame) if pairs is None else pairs).where(F.col("iou") >= least - _CLOSE)
     both = truth.select(*keys, frame).distinct().join(tracks.select(*keys, frame).distinct(), [*keys, frame])
-    rows = both.join(pairs, [*keys, frame], "left")  # frames with boxes of both kinds but no pair end what was matched before them
+    rows = both.join(pairs.select(*keys, frame, "gt_id", "track_id", "iou"), [*keys, frame], "left")  # frames with boxes of both kinds but no pair end what was matched before them
     kind = ", ".join(f"{k} {truth.schema[k].dataType.simpleString()}" for k in keys)
 
     def step(state: tuple, pdf: pd.DataFrame) -> tuple:
@@ -151,6 +167,6 @@ def identity_scores(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], fr
 def tracker_report(truth: DataFrame, tracks: DataFrame, keys: Sequence[str], frame: str = "frame") -> DataFrame:
     """A row for each sequence: means over all overlaps of HOTA, DetA, AssA and LocA, then MOTA, switches and IDF1 at one half."""
     keys = list(keys)
-    pairs = checkpoint(overlapping(truth, tracks, keys, frame))
+    pairs = checkpoint(meetings(overlapping(truth, tracks, keys, frame), keys, frame))
     mean = hota(truth, tracks, keys, frame, pairs).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a")])
     return mean.join(clear_counts(truth, tracks, keys, frame, pairs=pairs).select(*keys, "mota", "switches"), keys).join(identity_scores(truth, tracks, keys, frame, pairs=pairs).select(*keys, "idf1"), keys)

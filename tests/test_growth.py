@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association, diagnosis, folds, joins, tracking, windows
+from fieldlens.operators import association, diagnosis, folds, joins, tracker_metrics, tracking, windows
 from fieldlens.plans import events, jobs
 
 
@@ -160,3 +160,10 @@ def test_hulls_of_many_groups_take_a_step_at_a_time():
         groups = [g for g in groups if len(g) == n]
         got = tracking.hull_areas_of(np.array(groups).reshape(-1, n, 2))
         assert got.tolist() == [tracking.hull_area(np.array(g)) for g in groups]
+
+
+def test_overlaps_are_counted_without_a_row_for_each_of_a_pair(spark):
+    rows = spark.range(1000).select(F.lit("s").alias("seq"), F.floor(F.col("id") / 2).alias("frame"), F.col("id").alias("gt_id"), (F.col("id") % 2 * 100.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(20.0).alias("h"))
+    make = lambda: tracker_metrics.hota(rows, rows.withColumnRenamed("gt_id", "track_id"), ["seq"])
+    assert [(r.tp, r.fn, r.fp, r.hota) for r in make().collect()] == [(1000, 0, 0, 1.0)] * 19
+    assert most_rows(spark, make) <= 2000  # of 19,000

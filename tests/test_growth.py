@@ -1,9 +1,11 @@
 """What grew faster than its input, or cost too much a row, on larger tables."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association, diagnosis, folds, joins, tracker_metrics, tracking, windows
+from fieldlens.operators import association, diagnosis, folds, identity, joins, tracker_metrics, tracking, windows
 from fieldlens.plans import events, jobs
 
 
@@ -167,3 +169,35 @@ def test_overlaps_are_counted_without_a_row_for_each_of_a_pair(spark):
     make = lambda: tracker_metrics.hota(rows, rows.withColumnRenamed("gt_id", "track_id"), ["seq"])
     assert [(r.tp, r.fn, r.fp, r.hota) for r in make().collect()] == [(1000, 0, 0, 1.0)] * 19
     assert most_rows(spark, make) <= 2000  # of 19,000
+
+
+def test_relinking_makes_no_table_of_all_candidates(spark, monkeypatch):
+    """Copies of tracks, equal scores and slices, against the walk over all candidates."""
+    rng = np.random.default_rng(7)
+    at = lambda n: (rng.integers(0, 12, n) / 2.0).tolist()
+    base = [(f"s{i % 2}", int(f), int(f) + i % 3, *p) for i, (f, *p) in enumerate(zip(rng.integers(0, 12, 120), at(120), at(120), at(120), at(120), at(120), at(120)))]
+    rows = [(k * 1000 + (i * 37 % 120), s, f0, f1, x0, y0, x1, y1, vx - 3, vy - 3, vx - 3, vy - 3) for k in range(3) for i, (s, f0, f1, x0, y0, x1, y1, vx, vy) in enumerate(base)]
+    ends = spark.createDataFrame(rows, "track_id bigint, seq string, f0 bigint, f1 bigint, x0 double, y0 double, x1 double, y1 double, vx0 double, vy0 double, vx1 double, vy1 double")
+    rule = identity.Relink(gap=6, metres=4.0, dt=0.2, top_speed=30.0)
+    all_ = identity.relink_candidates(ends, rule.gap, rule.metres, rule.dt, rule.top_speed)
+    there, near = ends.collect(), set()
+    for a in there:
+        for b in there:
+            t = (b.f0 - a.f1) * 0.2
+            if a.seq == b.seq and a.track_id != b.track_id and 1 <= b.f0 - a.f1 <= 6 and math.hypot(a.x1 + a.vx1 * t - b.x0, a.y1 + a.vy1 * t - b.y0) <= 4 and math.hypot(a.x1 - b.x0, a.y1 - b.y0) / t <= 30:
+                both = math.hypot(a.vx1, a.vy1), math.hypot(b.vx0, b.vy0)
+                if min(both) <= 1 or (a.vx1 * b.vx0 + a.vy1 * b.vy0) / (both[0] * both[1]) >= -0.2:
+                    near.add((a.track_id, b.track_id))
+    assert {(r.a, r.b) for r in all_.collect()} == near
+    used, want = set(), set()
+    for r in sorted(all_.collect(), key=lambda r: (r.score, r.a, r.b)):
+        if ("a", r.a) not in used and ("b", r.b) not in used:
+            used |= {("a", r.a), ("b", r.b)}
+            want.add((r.seq, r.a, r.b))
+    assert len(want) > 100
+    walked, walk = [], identity.fold_batches
+    monkeypatch.setattr(identity, "fold_batches", lambda df, *a, **k: walked.append(df.where("score is not null").count()) or walk(df, *a, **k))
+    for at_once, each in ((50, 0), (2_000_000, 8)):
+        assert {tuple(r) for r in identity.relink_greedily(ends, rule, at_once, each).collect()} == want
+    assert len(walked) > 2 and max(walked) < all_.count() / 4
+    assert identity.relink_greedily(ends.limit(0), rule).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,70 +17,95 @@ OUT = "pool string, job_id bigint, state string, at timestamp"
 
 
 def decisions(rows: list[tuple]) -> pd.DataFrame:
-    """Texts as plain objects, which is all that stateful processors take."""
-    return pd.DataFrame(rows, columns=["pool", "job_id", "state", "at"]).astype({"pool": object, "job_id": "int64", "state": object, "at": "datetime64[ns]"})
+    """Rows with times in milliseconds; texts as plain objects, which is all that stateful processors take."""
+    out = pd.DataFrame(rows, columns=["pool", "job_id", "state", "at"]).astype({"pool": object, "job_id": "int64", "state": object, "at": "int64"})
+    return out.assign(at=out["at"].to_numpy().astype("datetime64[ms]").astype("datetime64[ns]"))
 
 
-#: Milliseconds whose waiting jobs are kept together.
+#: Milliseconds whose jobs are kept together.
 HOUR = 3_600_000
 
 
 class Desk(StatefulProcessor):
-    """A pool's jobs: when results expire, and who waits, by the hour in which they came; no hour before ``head`` has any.
+    """A pool's jobs by the hour: when results expire, and who waits.
 
-    Each expiry is a timer, which expires its jobs and promotes as many of those that waited by then: it looks into the first hours alone.
+    One timer stands for the earliest expiry.  It goes through all expiries that the watermark has passed, each of which promotes one of those that waited by then, so an
+    hour's jobs are read and written once for a micro-batch, not for each expiry.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ready = handle.getMapState("ready", "expires bigint", "jobs array<bigint>")
+        self.ready = handle.getMapState("ready", "hour bigint", "expires array<bigint>, jobs array<bigint>")
         self.waiting = handle.getMapState("waiting", "hour bigint", "created array<bigint>, jobs array<bigint>")
-        self.head = handle.getValueState("head", "hour bigint")
+        self.timer = handle.getValueState("timer", "due bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came: dict[int, list] = {}
+        came: tuple[dict, dict] = {}, {}
         for pdf in rows:
             for job, state, created, expires in zip(pdf["job_id"], pdf["state"], pdf["created_ms"], pdf["expires_ms"]):
                 if state == "ready" and not pd.isna(expires):
-                    at = (int(expires),)
-                    self.ready.updateValue(at, ([*(self.ready.getValue(at)[0] if self.ready.containsKey(at) else []), int(job)],))
-                    self.handle.registerTimer(int(expires))
+                    came[0].setdefault(int(expires) // HOUR, []).append((int(expires), int(job)))
                 elif state == "quota_waiting":
-                    came.setdefault(int(created) // HOUR, []).append((int(created), int(job)))
-        for hour, jobs in came.items():
-            self._wait(hour, self._waiting(hour) + jobs)
-        if came:
-            self.head.update((min([*came, *([self.head.get()[0]] if self.head.exists() else [])]),))
+                    came[1].setdefault(int(created) // HOUR, []).append((int(created), int(job)))
+        for kept, new in zip((self.ready, self.waiting), came):
+            for hour, jobs in new.items():
+                self._keep(kept, hour, self._jobs(kept, hour) + jobs)
+        if came[0]:
+            self._due(min([min(came[0][min(came[0])])[0], *(self.timer.get() if self.timer.exists() else ())]))
         yield decisions([])
 
-    def _waiting(self, hour: int) -> list[tuple[int, int]]:
-        return sorted(zip(*self.waiting.getValue((hour,)))) if self.waiting.containsKey((hour,)) else []
-
-    def _wait(self, hour: int, jobs: list[tuple[int, int]]) -> None:
+    def _due(self, at: int | None) -> None:
+        """The one timer is for ``at``; none if nothing expires."""
+        was = self.timer.get()[0] if self.timer.exists() else None
+        if at == was:
+            return
+        if was is not None:
+            self.handle.deleteTimer(was)
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    @staticmethod
+    def _jobs(kept, hour: int) -> list[tuple[int, int]]:
+        return sorted(zip(*kept.getValue((hour,)))) if kept.containsKey((hour,)) else []
+
+    @staticmethod
+    def _keep(kept, hour: int, jobs: list[tuple[int, int]]) -> None:
         if jobs:
-            self.waiting.updateValue((hour,), tuple(map(list, zip(*jobs))))
+            kept.updateValue((hour,), tuple(map(list, zip(*jobs))))
         else:
-            self.waiting.removeKey((hour,))
+            kept.removeKey((hour,))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        gone = sorted(self.ready.getValue((at,))[0]) if self.ready.containsKey((at,)) else []
-        self.ready.removeKey((at,))
-        rows = [(key[0], j, "expired", pd.Timestamp(at, unit="ms")) for j in gone]
-        room, hour, last = len(gone), self.head.get()[0] if self.head.exists() else at, at // HOUR
-        while room and hour <= last:
-            here = self._waiting(hour)
-            turn = [x for x in here if x[0] <= at][:room]
-            if turn:
-                self._wait(hour, here[len(turn) :])
-                rows += [(key[0], j, "approved", pd.Timestamp(at, unit="ms")) for _, j in turn]
-                room -= len(turn)
-            if len(turn) < len(here) or hour == last:  # others wait, or may still come, in this hour
+        if self.timer.exists() and self.timer.get()[0] == expiredTimerInfo.getExpiryTimeInMs():  # it is gone by itself
+            self.timer.clear()
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        hours, waits = (sorted(k[0] for k in kept.keys()) for kept in (self.ready, self.waiting))
+        hour, turn, i, due = None, [], 0, None
+        for h in hours:
+            held = self._jobs(self.ready, h)
+            n = sum(at <= until for at, _ in held)
+            rows = []
+            for at, job in held[:n]:
+                rows.append((key[0], job, "expired", at))
+                if i == len(turn) and waits and waits[0] <= at // HOUR:
+                    if hour is not None:
+                        self._keep(self.waiting, hour, [])
+                    hour = waits.pop(0)
+                    turn, i = self._jobs(self.waiting, hour), 0
+                if i < len(turn) and turn[i][0] <= at:
+                    rows.append((key[0], turn[i][1], "approved", at))
+                    i += 1
+            if n:
+                self._keep(self.ready, h, held[n:])
+            yield decisions(rows)
+            if n < len(held):
+                due = held[n][0]
                 break
-            hour += 1
-        if self.head.exists():
-            self.head.update((min(hour, last),))
-        yield decisions(rows)
+        if hour is not None and i:
+            self._keep(self.waiting, hour, turn[i:])
+        self._due(due)
 
     def close(self) -> None:
         pass
@@ -102,15 +128,15 @@ def queue_batch(jobs: DataFrame, until) -> DataFrame:
     waits = F.col("state") == "quota_waiting"
     rows = rows.select("pool", F.when(waits, F.col("created_ms")).otherwise(F.col("expires_ms")).alias("at_ms"), F.when(waits, 0).otherwise(1).alias("kind"), "job_id", F.unix_millis(until).alias("until"))
 
-    def step(waiting: list, pdf: pd.DataFrame) -> tuple:
+    def step(waiting: deque, pdf: pd.DataFrame) -> tuple:
         out = []
         for pool, at, kind, job, until_ms in zip(*(pdf[c] for c in ("pool", "at_ms", "kind", "job_id", "until"))):
             if kind == 0:
                 waiting.append(job)
             elif at <= until_ms:
-                out.append((pool, job, "expired", pd.Timestamp(at, unit="ms")))
+                out.append((pool, job, "expired", at))
                 if waiting:
-                    out.append((pool, waiting.pop(0), "approved", pd.Timestamp(at, unit="ms")))
+                    out.append((pool, waiting.popleft(), "approved", at))
         return waiting, decisions(out)
 
-    return fold_batches(rows, ["pool"], ["at_ms", "kind", "job_id"], list, step, OUT)
+    return fold_batches(rows, ["pool"], ["at_ms", "kind", "job_id"], deque, step, OUT)

@@ -1,12 +1,15 @@
 """What grew faster than its input, or cost too much a row, on larger tables."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fieldlens.operators import association, diagnosis, folds, identity, joins, tracker_metrics, tracking, windows
 from fieldlens.plans import events, jobs
+from fieldlens.streaming import queue
 
 
 def test_a_small_frame_is_associated_without_arrays(monkeypatch):
@@ -201,3 +204,62 @@ def test_relinking_makes_no_table_of_all_candidates(spark, monkeypatch):
         assert {tuple(r) for r in identity.relink_greedily(ends, rule, at_once, each).collect()} == want
     assert len(walked) > 2 and max(walked) < all_.count() / 4
     assert identity.relink_greedily(ends.limit(0), rule).count() == 0
+
+
+class Kept:
+    """A map or value state that counts what is read and written."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def containsKey(self, k):
+        return k in self.held
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.held[k]
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.held[k] = v
+
+    def removeKey(self, k):
+        self.held.pop(k, None)
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, v):
+        self.held[()] = v
+
+    def clear(self):
+        self.held.clear()
+
+
+def test_an_hour_of_waiting_jobs_is_not_written_for_each_expiry():
+    states, timers = [], set()
+    new = lambda *_: states.append(Kept()) or states[-1]
+    handle = SimpleNamespace(getMapState=new, getValueState=new, registerTimer=timers.add, deleteTimer=timers.discard)
+    desk, hour = queue.Desk(), queue.HOUR
+    desk.init(handle)
+    rows = [(i, "quota_waiting", i % 100 + hour * (i % 2), None) for i in range(400)] + [(1000 + i, "ready", 0, 50 + i * hour // 100) for i in range(300)]
+    list(desk.handleInputRows(("p",), iter([pd.DataFrame(rows, columns=["job_id", "state", "created_ms", "expires_ms"])]), None))
+    got, until = [], 5 * hour // 2
+    while timers and min(timers) <= until:
+        at = min(timers)
+        times = SimpleNamespace(getExpiryTimeInMs=lambda at=at: at, getCurrentWatermarkInMs=lambda: until)
+        got += [r for pdf in desk.handleExpiredTimer(("p",), times, times) for r in zip(pdf["job_id"], pdf["state"], pdf["at"].astype("int64") // 1_000_000)]
+        timers.discard(at)
+    waiting, want = sorted((c, j) for j, s, c, _ in rows if s == "quota_waiting"), []
+    for at, job in sorted((e, j) for j, s, _, e in rows if s == "ready" and e <= until):
+        want.append((job, "expired", at))
+        if waiting and waiting[0][0] <= at:
+            want.append((waiting.pop(0)[1], "approved", at))
+    assert got == want and len(want) > 400 and min(timers) > until
+    assert sum(s.calls for s in states) < 40  # not some for each of 250 expiries

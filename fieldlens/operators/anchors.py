@@ -64,17 +64,19 @@ def align(p: np.ndarray, q: np.ndarray, gate: float = 6.0, rounds: int = 12) ->
     """FD10: pairs of two formations, after turning and shifting ``p`` onto ``q``.
 
     From where they are, each round fits the points of ``p`` that have a nearest point of ``q`` within the gate onto that, while there are two of these; the
-    pairs are then each other's nearest within the gate.
+    pairs are then each other's nearest within the gate.  Rounds end when one picks what the last picked, as all further ones would.
     """
     if len(p) < 2 or len(q) < 2:
         return []
-    moved = p
+    moved, picked = p, None
     for _ in range(rounds):
         apart = np.linalg.norm(moved[:, None] - q[None], axis=2)
         nearest = apart.argmin(1)
         near = apart[np.arange(len(p)), nearest] <= gate
-        if near.sum() < 2:
+        pick = np.where(near, nearest, -1)
+        if near.sum() < 2 or (picked is not None and (pick == picked).all()):
             break
+        picked = pick
         turn, shift = rigid_fit(p[near], q[nearest[near]])
         moved = p @ turn.T + shift
     apart = np.linalg.norm(moved[:, None] - q[None], axis=2)
@@ -95,11 +97,13 @@ def aligned_pairs(found: DataFrame, tracks: DataFrame, keys: Sequence[str], gate
     kind = f"{schema_of(rows, [*keys, 'frame_a', 'frame_b'])}, a {tracks.schema['track_id'].dataType.simpleString()}, b {tracks.schema['track_id'].dataType.simpleString()}"
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = [*keys, "frame_a", "frame_b"]
+        pdf = pdf.assign(__g=pdf.groupby(group, sort=False, dropna=False).ngroup()).sort_values(["__g", "side", "track_id"], kind="stable")
+        at = np.searchsorted(2 * pdf["__g"].to_numpy() + (pdf["side"] == "b").to_numpy(), np.arange(2 * pdf["__g"].max() + 3))
+        ids, places, names = pdf["track_id"].tolist(), pdf[["x", "y"]].to_numpy(), list(zip(*(pdf[c].tolist() for c in group)))
         out = []
-        for k, g in pdf.groupby([*keys, "frame_a", "frame_b"], sort=False, dropna=False):
-            a, b = (g[g["side"] == s].sort_values("track_id") for s in "ab")
-            ids_a, ids_b = a["track_id"].tolist(), b["track_id"].tolist()
-            out += [(*k, ids_a[i], ids_b[j]) for i, j in align(a[["x", "y"]].to_numpy(), b[["x", "y"]].to_numpy(), gate, rounds)]
+        for i, j, end in zip(at[:-2:2].tolist(), at[1::2].tolist(), at[2::2].tolist()):
+            out += [(*names[i], ids[i + m], ids[j + n]) for m, n in align(places[i:j], places[j:end], gate, rounds)]
         return pd.DataFrame(out, columns=[*keys, "frame_a", "frame_b", "a", "b"])
 
     return in_batches(rows, [*keys, "frame_a", "frame_b"], pairs, kind)

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fieldlens.operators import association, diagnosis, folds, identity, joins, tracker_metrics, tracking, windows
+from fieldlens.operators import anchors, association, diagnosis, folds, identity, joins, tracker_metrics, tracking, windows
 from fieldlens.plans import events, jobs
 from fieldlens.streaming import queue
 
@@ -263,3 +263,11 @@ def test_an_hour_of_waiting_jobs_is_not_written_for_each_expiry():
             want.append((waiting.pop(0)[1], "approved", at))
     assert got == want and len(want) > 400 and min(timers) > until
     assert sum(s.calls for s in states) < 40  # not some for each of 250 expiries
+
+
+def test_alignment_ends_when_nothing_moves(monkeypatch):
+    fits, fit = [], anchors.rigid_fit
+    monkeypatch.setattr(anchors, "rigid_fit", lambda *a: fits.append(1) or fit(*a))
+    p = np.random.default_rng(3).random((8, 2)) * 50
+    assert anchors.align(p, p + 0.5) == [(i, i) for i in range(8)]
+    assert len(fits) <= 2  # of 12 rounds

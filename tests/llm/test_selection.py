@@ -144,6 +144,34 @@ def test_shares_of_a_model_sum_to_one():
         assert (2 ** m.score(context * 32 + np.arange(32), 0)).sum() == pytest.approx(1)
 
 
+def test_rules_tell_apart_bytes_beyond_ascii(spark):
+    rng = random.Random(9)
+
+    def text(syllables):
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(80))
+
+    rows = [(i, text(["во", "на", "ли", "то"]), "ru") for i in range(60)]
+    foreign = [(100 + i, "".join(c if c == " " else chr(rng.choice([0x100, 0x380, 0x530, 0x590]) + rng.randrange(48)) for c in t), "ru") for i, t, _ in rows[:3]]
+    got = {r.doc_id: r for r in perplexity.judged(table(spark, rows + foreign)).collect()}
+    assert all(got[i].kept for i, _, _ in rows) and not any(got[i].kept or got[i].base_failed for i, _, _ in foreign)
+    assert all(got[100 + i].byte_perplexity > 3 * got[i].byte_perplexity for i in range(3))
+
+
+def test_shares_of_bytes_in_a_class_sum_to_one():
+    rng = random.Random(2)
+    at, codes = perplexity.spellings(pa.array([prose(rng, 3000) + " Ünï日本語, 12.5", None, "", "Ж"]))
+    assert len(at) == len(codes) and codes[-1] & 255 == 0x96 and codes[-2] == (32 << 16) + (32 << 8) + 0xD0
+    parts = perplexity.estimate_bytes(*np.unique(codes.astype(np.int64), return_counts=True), "en")
+    keys, log_p, contexts, left = map(np.concatenate, parts)
+    a, b = np.argsort(keys), np.argsort(contexts)
+    m = perplexity.Model(["en"], keys[a], log_p[a], contexts[b], left[b])
+    for context in [*rng.sample(range(256**2), 40), *(codes[:40] // 256).tolist()]:
+        share = 2 ** m.spell(context * 256 + np.arange(256), 0)
+        for kind in range(32):
+            members = perplexity.CLASS_OF == kind
+            assert not members.any() or share[members].sum() == pytest.approx(1)
+
+
 def test_rules_keep_clean_labelled_texts(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op11_kneser_ney(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality", "base_failed", "kept").count().collect()

@@ -242,6 +242,23 @@ def test_passes_hold_every_language_once():
     assert got == [(["en"], 0, 3), (["en"], 1, 3), (["en"], 2, 3), (["de", "fr"], 0, 1), (["es", "und"], 0, 1)] and collocations.passes({}, 9) == []
 
 
+def test_automata_read_only_what_their_words_begin():
+    codes, reach = np.arange(12, dtype=np.int32), np.array([4, 3, 2, 1, 2, 1, 1, 3, 2, 1, 1, 1], np.int32)
+    whole = collocations.joined(codes, reach, np.arange(12))
+    assert whole.tolist() == [-1, 0, 1, 2, 3, -1, 4, 5, -1, 6, -1, 7, 8, 9, -1, 10, -1, 11]
+    parts = [collocations.joined(codes, reach, np.flatnonzero(codes % 4 == k)) for k in range(4)]
+    assert [x.tolist() for x in parts] == [[-1, 0, 1, 2, 3, -1, 4, 5, -1, 8, 9], [-1, 1, 2, 3, -1, 5, -1, 9], [-1, 2, 3, -1, 6, -1, 10], [-1, 3, -1, 7, 8, 9, -1, 11]]
+    assert collocations.joined(codes[:0], reach[:0], np.zeros(0, np.int64)).tolist() == []
+
+
+def test_many_automata_read_little_more_than_one():
+    rng = np.random.default_rng(3)
+    codes, reach = rng.integers(0, 900, 50_000).astype(np.int32), rng.integers(1, 5, 50_000).astype(np.int32)
+    reach = np.minimum(reach, np.arange(50_000, 0, -1))
+    read = [len(collocations.joined(codes, reach, np.flatnonzero(codes % 40 == k))) for k in range(40)]
+    assert sum(read) < 5 * len(codes)  # 40 passes over all words before
+
+
 def test_sketch_bounds_are_never_below_counts():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 300).astype(np.uint64)[rng.zipf(1.3, 20_000) % 300]
